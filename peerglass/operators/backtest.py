@@ -124,7 +124,8 @@ def backtest(
     )
     sim = sim.join(segment_days, PHASE + ["segment", "day"], "left")
     if leader_days is not None:
-        sim = sim.join(leader_days.select(*keys, "phase", "day", "leaders_margin"), keys + ["phase", "day"], "left")
+        own = leader_days.select(*COMBO, "phase", "day", "leaders_margin")
+        sim = sim.join(own, COMBO + ["phase", "day"], "left")
     else:
         sim = sim.withColumn("leaders_margin", F.lit(None).cast("double"))
     if levels is not None:
@@ -249,7 +250,7 @@ def clone_fidelity(days: DataFrame, realised: DataFrame, keys: list[str] = COMBO
 
     Days without a leader do not count; null when there are none.
     """
-    joined = days.join(realised, keys + ["phase", "day"])
+    joined = days.drop("leaders_margin").join(realised, COMBO + ["phase", "day"])
     mae = {
         s: dec_round(F.avg(F.abs(F.col(f"recommended_{s}") - F.col(f"realised_{s}"))), 2)
         for s in SHARES

@@ -79,10 +79,14 @@ def with_relative(panel: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def study_days(panel: DataFrame, keys: list[str] = WINDOW) -> DataFrame:
-    """Number of days of each window that have any entity-day."""
+def study_days(benchmark: DataFrame, keys: list[str] = WINDOW) -> DataFrame:
+    """Number of days of each window that have any entity-day.
+
+    Every such day has a benchmark row in some segment, so the small table of
+    benchmarks is counted instead of the panel.
+    """
     return (
-        panel.groupBy(*keys, "day")
+        benchmark.groupBy(*keys, "day")
         .agg(F.lit(1).alias("x"))
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n_study_days"))

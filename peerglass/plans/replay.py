@@ -49,7 +49,7 @@ def replay(
     keep = durable if store else (lambda df, label: df)
     # Every policy is tried with the median demand of its segment, unless told otherwise.
     demand = SG.reference_demand(s.labelled) if demand is None else demand
-    on = [c for c in demand.columns if c in SEGMENT]
+    on = [c for c in demand.columns if c in keys]
     policies = keep(
         PO.pack_policies(rules, keys).join(demand, on).where("demand_ref > 0"), "policies"
     )

@@ -100,7 +100,7 @@ def study(
         raise ValueError(f"unknown labels {labels!r}")
     benchmark = keep(PN.segment_day_benchmark(rows), "benchmark")
     labelled = keep(PN.with_relative(rows, benchmark), "labelled")
-    return Study(segmented, labelled, benchmark, keep(PN.study_days(labelled), "days"), profiles)
+    return Study(segmented, labelled, benchmark, PN.study_days(benchmark), profiles)
 
 
 def evaluation_panel(

@@ -30,6 +30,7 @@ from peerglass.params import Selection
 from peerglass.plans import replay as RP
 from peerglass.plans import study as ST
 from peerglass.sources import proxies as PX
+from peerglass.sources.tables import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,14 +111,24 @@ def events(spark, sf_dir, **changes) -> Events:
     return Events(market, settings, ST.daily(market, settings), windows, WN.phase_spans(windows, 2))
 
 
-def with_leaders(e: Events):
-    s = e.study()
+def with_leaders(e: Events, store: bool = False):
+    s = stored_study(e) if store else e.study()
     stats = PN.entity_stats(s.labelled)
     return s, stats, SE.leaders(stats, s.days, e.settings.selection)
 
 
+def stored_study(e: Events, phase: str = "select"):
+    """A study whose labelled panel is written once and read by everything after it."""
+    s = e.study(phase)
+    labelled = durable(s.labelled, "labelled")
+    benchmark = PN.segment_day_benchmark(labelled)
+    return replace(s, labelled=labelled, benchmark=benchmark, days=PN.study_days(benchmark))
+
+
 def event_replay(e: Events, weighted=False):
-    s, stats, chosen = with_leaders(e)
+    s = stored_study(e)
+    stats = PN.entity_stats(s.labelled)
+    chosen = durable(SE.leaders(stats, s.days, e.settings.selection), "leaders")
     training = PO.leader_days(s.labelled, chosen)
     rules = (
         PO.fit_weighted(training, SE.leader_weights(chosen), e.settings.bins)
@@ -126,7 +137,7 @@ def event_replay(e: Events, weighted=False):
     )
     r = RP.replay(
         s,
-        e.evaluation(s),
+        durable(e.evaluation(s), "evaluation"),
         rules,
         e.settings,
         chosen=chosen,
@@ -309,7 +320,7 @@ _ND = "JOIN (SELECT window_id, n_study_days FROM ndays WHERE phase = 'select') U
 
 @query("period_balance", CH + _balance_sql("") + f"SELECT window_id, {_BAL} FROM bal {_ND}")
 def period_balance(spark, sf):
-    s = events(spark, sf).study()
+    s = stored_study(events(spark, sf))
     return RK.mark_outliers(RK.period_balance(RK.daily_ranking(s.labelled)), s.days, 20.0)
 
 
@@ -458,7 +469,7 @@ sens AS (SELECT s.*, g.top, g.min_presence_pct, row_number() OVER (PARTITION BY
     CH + _SENS + f"SELECT {O.CMB}, {BIG('top')}, CAST(min_presence_pct AS DOUBLE) AS min_presence_pct, string_agg(agent_id, ',' ORDER BY pos) AS codes FROM sens WHERE pos <= top GROUP BY ALL",
 )
 def selection_sensitivity(spark, sf):
-    s = events(spark, sf).study()
+    s = stored_study(events(spark, sf))
     return SE.selection_sensitivity(PN.entity_stats(s.labelled), s.days)
 
 
@@ -551,7 +562,7 @@ winners AS (SELECT window_id, segment, nullif(bin, '*') AS bin, cluster_id, arch
 @query("winners_by_bin", CH + _WIN + f"SELECT window_id, segment, bin, {BIG('cluster_id')}, archetype, relative_median FROM winners")
 def winners_by_bin(spark, sf):
     e = events(spark, sf)
-    return SE.winners_by_bin(e.study().labelled, e.settings.bins)
+    return SE.winners_by_bin(stored_study(e).labelled, e.settings.bins)
 
 
 _AFIT = _WIN.rstrip() + f""",
@@ -566,7 +577,7 @@ afit AS (SELECT window_id, segment, wbin AS bin, {_MED}, count(*) AS n_days, max
 @query("policy_fit_archetype", CH + _AFIT + _rule_sql("afit", "window_id, segment"))
 def policy_fit_archetype(spark, sf):
     e = events(spark, sf)
-    s = e.study()
+    s = stored_study(e)
     w = SE.winners_by_bin(s.labelled, e.settings.bins)
     return _rules(PO.fit_archetype(s.labelled, w, e.settings.bins), WINDOW + ["segment"])
 
@@ -664,6 +675,7 @@ def stress_scenarios(spark, sf):
 def event_judged(spark, sf):
     e = events(spark, sf)
     s, stats, chosen, r = event_replay(e)
+    r = replace(r, days=durable(r.days, "days"))
     trials = stats.groupBy(*COMBO).agg(F.count(F.lit(1)).alias("n_trials"))
     return RP.judge(
         r, s, e.settings, SR.regime_total(e.market.prices), trials, COMBO, study_phase="select"
@@ -708,7 +720,7 @@ _BOOT = (
 )
 def bootstrap_best_median(spark, sf):
     e = events(spark, sf)
-    s = e.study()
+    s = stored_study(e)
     eligible = SE.present_enough(
         PN.entity_stats(s.labelled), s.days, e.settings.selection.min_presence_pct
     )
@@ -727,7 +739,7 @@ _CROSS_CH = CH.replace("FROM eligible s)", "FROM stats s)").replace(
     _CROSS_CH + O._boot_tail("lab", "window_id, archetype", 200) + f"SELECT {_BOOT} FROM boot",
 )
 def bootstrap_cross_segment(spark, sf):
-    s = events(spark, sf).study()
+    s = stored_study(events(spark, sf))
     return VA.bootstrap_best_median(
         VA.bootstrap_units(PN.entity_stats(s.labelled)),
         s.labelled,
@@ -759,7 +771,7 @@ null2 AS (SELECT m.window_id, m.segment, s.rel AS v FROM max2 m JOIN sizes2 z US
  FROM null2 n JOIN besta b ON b.window_id = n.window_id AND b.segment = n.segment GROUP BY n.window_id, n.segment, b.unit""",
 )
 def bootstrap_archetype(spark, sf):
-    s = events(spark, sf).study()
+    s = stored_study(events(spark, sf))
     units = VA.archetype_units(s.labelled)
     keys = WINDOW + ["segment"]
     boot = VA.bootstrap_best_median(units, s.labelled, keys=keys, n_boot=200, unbounded_units=True)
@@ -805,8 +817,8 @@ SELECT w.window_id, w.segment, w.archetype, CAST(coalesce(m.n, 0) AS BIGINT) AS
 )
 def holdout_persistence_archetype(spark, sf):
     e = events(spark, sf)
-    s = e.study()
-    h = e.study("holdout")
+    s = stored_study(e)
+    h = stored_study(e, "holdout")
     winners = SE.winners_by_bin(s.labelled, e.settings.bins).where(F.col("bin").isNull())
     return VA.archetype_persistence(
         winners, h.labelled, h.days, e.settings.selection.min_presence_pct
