@@ -170,6 +170,12 @@ ROW_FINANCE = finance(
 CLIPPED = f"greatest(-{M.margin_clip}, least({M.margin_clip}, {ROW_FINANCE['margin']}))"
 
 
+def weights_sql():
+    return f"""wts AS (SELECT *, e / sum(e) OVER (PARTITION BY {CMB}) AS weight FROM (SELECT *, exp((median_margin - max(median_margin) OVER w)
+  / greatest(max(median_margin) OVER w - min(median_margin) OVER w, 1.0) + 0.5 * (n_days / max(n_days) OVER w)) AS e
+  FROM leaders WINDOW w AS (PARTITION BY {CMB})))"""
+
+
 def chain(
     source: str,
     spans: str,
@@ -178,6 +184,7 @@ def chain(
     *,
     activities=None,
     main="select",
+    weighted=False,
     sel: P.Selection = P.Selection(),
     rules: P.PolicyRules = P.PolicyRules(),
     boot=200,
@@ -188,6 +195,19 @@ def chain(
     scale = f"(date_diff('day', start_day, end_day) + 1) / {float(sizes.per_days)}" if sizes.per_days else "1.0"
     score = "relative_median" if sel.relative else "median_margin"
     med = ", ".join(f"{R(f'median({f})', 2 if f == 'has_auction' else 1)} AS {f}" for f in PROFILE)
+    mix = ", ".join(
+        f"{R(f'sum(weight * {f}) / sum(weight)', 2 if f == 'has_auction' else 1)} AS {f}" for f in PROFILE
+    )
+    ranges = "min(spread) AS spread_min, max(spread) AS spread_max"
+    if weighted:
+        fit_sql = f"""{weights_sql()},
+each AS (SELECT {CMB}, bin, agent_id, {med}, count(*) AS n_days, {ranges}
+  FROM train GROUP BY GROUPING SETS (({CMB}, bin, agent_id), ({CMB}, agent_id))),
+fit AS (SELECT {CMB}, bin, {mix}, sum(n_days) AS n_days, min(spread_min) AS spread_min, max(spread_max) AS spread_max
+  FROM each JOIN (SELECT {CMB}, agent_id, weight FROM wts) USING ({CMB}, agent_id) GROUP BY ALL)"""
+    else:
+        fit_sql = f"""fit AS (SELECT {CMB}, bin, {med}, count(*) AS n_days, {ranges}
+  FROM train GROUP BY GROUPING SETS (({CMB}, bin), ({CMB})))"""
     expo = rules.outside_exposure_factor
     previous = "coalesce(lag(spot) OVER (PARTITION BY window_id, phase ORDER BY day), spot)"
     follower_cost = "(demand_ref * (pct_contract / 100.0)) * contract + (demand_ref * (pct_spot / 100.0)) * spot"
@@ -246,8 +266,7 @@ evalp AS (SELECT s.window_id, s.phase, p.*, g.segment FROM panel p JOIN spans s
   LEFT JOIN seg g ON g.window_id = s.window_id AND g.phase = '{main}' AND g.agent_id = p.agent_id),
 train AS (SELECT l.* FROM lab l SEMI JOIN leaders k ON l.window_id = k.window_id AND l.segment = k.segment
   AND l.archetype = k.archetype AND l.agent_id = k.agent_id),
-fit AS (SELECT {CMB}, bin, {med}, count(*) AS n_days, min(spread) AS spread_min, max(spread) AS spread_max
-  FROM train GROUP BY GROUPING SETS (({CMB}, bin), ({CMB}))),
+{fit_sql},
 band AS (SELECT {CMB}, {R('spread_min')} AS range_lo, {R('spread_max')} AS range_hi FROM fit WHERE bin IS NULL),
 dref AS (SELECT window_id, segment, median(demand) AS demand_ref FROM lab WHERE demand > 0 GROUP BY ALL),
 cap AS (SELECT window_id, segment, median(d) AS segment_demand FROM
@@ -345,10 +364,117 @@ boot AS (SELECT {CMB}, n_units, z.n_pool, {b} AS n_boot, boot_best, boot_null_p5
 """
 
 
+# Standard normal: a series of positive terms for the distribution function, and
+# Acklam's published rational approximation with one Newton step for its inverse.
+def PHI(z):
+    terms = (
+        f"list_sum(list_transform(range(0, 150), lambda n: exp((2 * n + 1) * ln(greatest(abs({z}), 1e-300)) "
+        "- (n + 1) * ln(2.0) - lgamma(n + 1.5) + 0.5 * ln(pi()))))"
+    )
+    return f"(CASE WHEN {z} > 8 THEN 1.0 WHEN {z} < -8 THEN 0.0 ELSE 0.5 + sign({z}) * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * {terms} END)"
+
+
+def PPF0(p):
+    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
+    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
+
+    def horner(coef, x):
+        out = f"({coef[0]!r})"
+        for k in coef[1:]:
+            out = f"({out} * {x} + ({k!r}))"
+        return out
+
+    q, r = f"({p} - 0.5)", f"(({p} - 0.5) * ({p} - 0.5))"
+    lo, hi = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))"
+    mid = f"{horner(a, r)} * {q} / {horner(b + (1.0,), r)}"
+    low = f"{horner(c, lo)} / {horner(d + (1.0,), lo)}"
+    high = f"-{horner(c, hi)} / {horner(d + (1.0,), hi)}"
+    return f"(CASE WHEN {p} < 0.02425 THEN {low} WHEN {p} > 0.97575 THEN {high} ELSE {mid} END)"
+
+
+def sharpe_sql(sims, keys, trials):
+    """Moments, expected maximum and deflated Sharpe ratio of eval series.
+
+    ``trials`` is a table with ``n_trials`` per key.
+    """
+    shape = "(1.0 - skew * sr + (kurt - 1.0) / 4.0 * sr * sr)"
+    newton = lambda x, p: f"({x} - ({PHI(x)} - {p}) / (exp(-{x} * {x} / 2) / sqrt(2 * pi())))"
+    e = "2.718281828459045"
+    return f"""
+mo0 AS (SELECT {keys}, count(follower_margin) AS n, avg(follower_margin) AS a, stddev_samp(follower_margin) AS sd,
+  avg(follower_margin ** 2) AS m2, avg(follower_margin ** 3) AS m3, avg(follower_margin ** 4) AS m4 FROM {sims} WHERE phase = 'eval' GROUP BY ALL),
+mo1 AS (SELECT {keys}, n, a / sd AS sr, (m3 - 3 * a * m2 + 2 * a ** 3) / ((m2 - a * a) ** 1.5) AS skew,
+  (m4 - 4 * a * m3 + 6 * a * a * m2 - 3 * a ** 4) / ((m2 - a * a) ** 2) AS kurt FROM mo0 WHERE n >= 3 AND sd > 0),
+mo2 AS (SELECT *, 1.0 - 1.0 / n_trials AS p1, 1.0 - 1.0 / (n_trials * {e}) AS p2 FROM mo1 JOIN {trials} USING ({keys}) WHERE n_trials >= 1),
+mo3 AS (SELECT *, {PPF0('greatest(p1, 1e-12)')} AS x1, {PPF0('p2')} AS x2 FROM mo2),
+mo4 AS (SELECT *, {newton('x1', 'p1')} AS q1, {newton('x2', 'p2')} AS q2 FROM mo3),
+mo5 AS (SELECT *, (sr - sqrt(greatest({shape} / (n - 1), 1e-12)) * ((1 - {P.EULER_GAMMA}) * q1 + {P.EULER_GAMMA} * q2)) * sqrt(n - 1.0)
+  / sqrt(greatest({shape}, 1e-12)) AS z FROM mo4),
+dsrs AS (SELECT {keys}, n, n_trials, {R('sr', 3)} AS sharpe, {R('skew')} AS skew, {R('kurt')} AS kurtosis,
+  {R('CASE WHEN n_trials = 1 THEN 1.0 ELSE ' + PHI('z') + ' END', 3)} AS dsr FROM mo5)"""
+
+
+def duplicates_sql(threshold=0.9):
+    """Pairs of leaders and the sequential merge of look-alikes."""
+    pos = "list_position(list_transform(acc, lambda g: list_contains(g, e[1][1]) OR list_contains(g, e[1][2])), true)"
+    merged = (
+        f"CASE WHEN coalesce({pos}, 0) > 0 THEN list_transform(acc, lambda g, i: CASE WHEN i = {pos} "
+        "THEN list_distinct(list_concat(g, e[1])) ELSE g END) ELSE list_concat(acc, e) END"
+    )
+    return f"""
+ls AS (SELECT k.window_id, k.segment, k.archetype, k.agent_id, k.pos, l.day, l.margin FROM leaders k JOIN lab l ON l.window_id = k.window_id AND l.agent_id = k.agent_id),
+prs AS (SELECT a.window_id, a.segment, a.archetype, a.pos AS pos_a, b.pos AS pos_b, a.agent_id AS agent_a, b.agent_id AS agent_b, count(*) AS common_days,
+  CASE WHEN count(*) >= 3 AND min(a.margin) < max(a.margin) AND min(b.margin) < max(b.margin) THEN covar_pop(a.margin, b.margin) / (stddev_pop(a.margin) * stddev_pop(b.margin)) END AS corr
+  FROM ls a JOIN ls b ON a.window_id = b.window_id AND a.segment = b.segment AND a.archetype = b.archetype AND a.day = b.day AND a.pos < b.pos GROUP BY ALL),
+eqs AS (SELECT {CMB}, list(agent_id ORDER BY pos) AS members, min(pos) AS p0 FROM leaders GROUP BY {CMB}, median_margin, mean_margin HAVING count(*) > 1),
+inits AS (SELECT {CMB}, list(members ORDER BY p0) AS g0 FROM eqs GROUP BY ALL),
+links AS (SELECT {CMB}, list([[agent_a, agent_b]] ORDER BY pos_a, pos_b) AS l0 FROM prs WHERE corr > {threshold} GROUP BY ALL),
+merges AS (SELECT {CMB}, n_leaders, list_reduce(list_concat([coalesce(g0, CAST([] AS VARCHAR[][]))], coalesce(l0, CAST([] AS VARCHAR[][][]))),
+  lambda acc, e: {merged}) AS groups FROM (SELECT {CMB}, count(*) AS n_leaders FROM leaders GROUP BY ALL) LEFT JOIN inits USING ({CMB}) LEFT JOIN links USING ({CMB})),
+nef AS (SELECT {CMB}, n_leaders, groups, greatest(1, n_leaders - coalesce(list_sum(list_transform(groups, lambda g: len(g) - 1)), 0)) AS n_effective FROM merges)"""
+
+
+GATE_SQL = {
+    "V1_bootstrap": "coalesce(p_value <= 0.05, false)",
+    "V2_n_effective": "coalesce(n_effective, 0) >= 3",
+    "V3_holdout": "coalesce(persistence >= 50.0, true)",
+    "V4_replication": "coalesce(replication_ratio >= 0.5, false)",
+    "V5_dsr": "coalesce(dsr >= 0.95, false)",
+    "E1_beats_segment": "coalesce(pct_beats_segment >= 60.0, false)",
+    "E2_no_kill_switch": "NOT coalesce(kill_switch, false)",
+    "E3_expected_value": "coalesce(ev_history >= 0.0, false)",
+    "E4_capacity": "NOT coalesce(over_capacity, true)",
+}
+
+
+def scan_sql(boot, persistence="CAST(NULL AS DOUBLE)", extra=""):
+    """All combinations with every metric and gate, as table ``gated``."""
+    gates = ", ".join(f"{v} AS {k}" for k, v in GATE_SQL.items())
+    return (
+        _boot_tail("pool", CMB, boot).rstrip()
+        + ",\nntr AS (SELECT window_id, segment, archetype, n_units AS n_trials FROM boot),"
+        + sharpe_sql("sim", CMB, "ntr")
+        + ","
+        + duplicates_sql()
+        + f""",
+codes AS (SELECT {CMB}, count(*) AS n_led, string_agg(agent_id, ',' ORDER BY pos) AS codes, {R('median(relative_median)')} AS relative_top,
+  {R(SUM2('relative_median') + ' / count(*)')} AS relative_mean FROM leaders GROUP BY ALL),
+scan AS (SELECT j.*, b.* EXCLUDE (window_id, segment, archetype), c.codes, c.relative_top, c.relative_mean, n.n_leaders, n.n_effective, f.mae_mean,
+  d.sharpe, d.skew, d.kurtosis, d.n_trials, d.dsr, {persistence} AS persistence
+  FROM judged j LEFT JOIN boot b USING ({CMB}) JOIN codes c USING ({CMB}) JOIN nef n USING ({CMB}) LEFT JOIN fidelity f USING ({CMB}) LEFT JOIN dsrs d USING ({CMB}) {extra}),
+gated0 AS (SELECT *, {gates} FROM scan),
+gated AS (SELECT *, V1_bootstrap AND V2_n_effective AND V4_replication AND V5_dsr AND E1_beats_segment AND E2_no_kill_switch AND E3_expected_value AND E4_capacity AS valid_cheap,
+  V1_bootstrap AND V2_n_effective AND V3_holdout AND V4_replication AND V5_dsr AND E1_beats_segment AND E2_no_kill_switch AND E3_expected_value AND E4_capacity AS valid_final FROM gated0)
+"""
+    )
+
+
 def event_chain(**kw):
     return chain(EVENTS, event_spans(), PX.EVENT_BINS, PX.EVENT_SIZES, activities=PX.EVENT_ACTIVITIES, **kw)
 
 
 def order_chain(**kw):
     spans = order_spans(*kw.pop("grid", (90, 7, 30, 2)))
-    return chain(ORDERS, spans, PX.ORDER_BINS, PX.ORDER_SIZES, main="study", **kw)
+    return chain(ORDERS, spans, PX.ORDER_BINS, PX.ORDER_SIZES, main="study", sel=PX.ORDER_SELECTION, **kw)

@@ -17,7 +17,7 @@ from peerglass.operators.orderstats import order_stats
 from peerglass.params import EULER_GAMMA
 
 # Above this many draws per unit the median of the draws is drawn directly.
-HASH_DRAWS = 4096
+HASH_DRAWS = 1024
 
 
 # --------------------------------------------------------------- bootstrap

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerglass.params import Settings, SizeRule, SpreadBins
+from peerglass.params import Selection, Settings, SizeRule, SpreadBins
 
 
 @dataclass(frozen=True)
@@ -54,6 +54,8 @@ ORDER_BINS = SpreadBins(
     )
 )
 ORDER_SIZES = SizeRule(large_min=0.65, medium_min=0.5, per_days=90)
+# Order lines are sparse, so an entity plays an archetype on few days of a window.
+ORDER_SELECTION = Selection(min_presence_pct=5.0)
 ORDER_FIRST_DAY = "1995-01-02"
 
 
@@ -62,6 +64,7 @@ def event_settings(**changes) -> Settings:
 
 
 def order_settings(**changes) -> Settings:
+    changes.setdefault("selection", ORDER_SELECTION)
     return Settings(sizes=ORDER_SIZES, bins=ORDER_BINS, **changes)
 
 

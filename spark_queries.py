@@ -27,9 +27,13 @@ from peerglass.operators import series as SR
 from peerglass.operators import validity as VA
 from peerglass.operators import windows as WN
 from peerglass.params import Selection
+from peerglass.plans import acceptance as AC
+from peerglass.plans import assess as AS
 from peerglass.plans import replay as RP
+from peerglass.plans import scan as SN
 from peerglass.plans import study as ST
 from peerglass.sources import proxies as PX
+from peerglass.sources import sinks as SK
 from peerglass.sources.tables import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -868,3 +872,212 @@ def deflated_sharpe(spark, sf):
     trials = stats.groupBy(*COMBO).agg(F.count(F.lit(1)).alias("n_trials"))
     m = VA.sharpe_moments(r.days.where(F.col("phase") == "eval"), COMBO).join(trials, COMBO)
     return VA.deflated_sharpe(m)
+
+
+_TRIALS = f"etr AS (SELECT {O.CMB}, count(*) AS n_trials FROM stats GROUP BY ALL),"
+_DSR = f"{O.CMB}, {BIG('n')}, {BIG('n_trials')}, sharpe, skew, kurtosis, dsr"
+ORACLES["deflated_sharpe"] = (
+    CH + _TRIALS + O.sharpe_sql("sim", O.CMB, "etr")
+    + f"\nSELECT {_DSR}, CAST(dsr >= 0.95 AS BIGINT) AS dsr_significant FROM dsrs"
+)
+
+
+@query(
+    "duplicates_n_effective",
+    CH + O.duplicates_sql() + f"\nSELECT {O.CMB}, {BIG('n_leaders')}, list_aggregate(list_transform(groups, lambda g: list_aggregate(list_sort(g), 'string_agg', '+')), 'string_agg', ',') AS groups, {BIG('n_effective')} FROM nef",
+)
+def duplicates_n_effective(spark, sf):
+    s, _, chosen = with_leaders(events(spark, sf), store=True)
+    out = VA.duplicate_groups(chosen, VA.pair_correlation(chosen, s.labelled))
+    return out.withColumn("groups", F.transform("groups", lambda g: F.concat_ws("+", g))).withColumn(
+        "groups", F.when(F.size("groups") > 0, F.concat_ws(",", "groups"))
+    )
+
+
+# ------------------------------------------------------------- rolling windows
+@dataclass
+class Orders:
+    market: PX.Market
+    settings: object
+    windows: DataFrame
+    regime: DataFrame
+    levels: DataFrame
+
+    def daily(self):
+        return ST.daily(self.market, self.settings, store=True)
+
+
+def orders(spark, sf_dir, study=90, evald=7, step=30, **changes) -> Orders:
+    market = PX.from_orders(spark, sf_dir)
+    edges = WN.data_edges(market.prices, PX.ORDER_FIRST_DAY)
+    return Orders(
+        market,
+        PX.order_settings(**changes),
+        durable(WN.window_grid(edges, study, evald, step), "windows"),
+        SR.regime_total(market.prices),
+        RU.reservoir_level(market.reservoirs),
+    )
+
+
+OC = O.order_chain()
+_GRID = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in ("study_start", "study_end", "eval_start", "eval_end"))
+
+
+@query("window_grid", sel(f"window_id, {_GRID}", "windows", ch=OC))
+def window_grid(spark, sf):
+    market = PX.from_orders(spark, sf)
+    return WN.window_grid(WN.data_edges(market.prices, PX.ORDER_FIRST_DAY), 90, 7, 30)
+
+
+@query(
+    "window_join",
+    sel(
+        f"window_id, phase, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT p.day) AS BIGINT) AS n_days, "
+        f"{O.R('sum(CAST(p.demand AS DECIMAL(18,2)))')} AS demand, {O.R(O.SUM2('p.margin'))} AS margin",
+        "panel p JOIN spans s ON p.day BETWEEN s.start_day AND s.end_day",
+        "WHERE phase <> 'study' GROUP BY ALL",
+        ch=OC,
+    ),
+)
+def window_join(spark, sf):
+    market = PX.from_orders(spark, sf)
+    settings = PX.order_settings()
+    grid = WN.window_grid(WN.data_edges(market.prices, PX.ORDER_FIRST_DAY), 90, 7, 30)
+    rows = WN.by_window(
+        ST.daily(market, settings).panel, WN.phase_days(WN.phase_spans(grid, 2))
+    )
+    per_day = rows.groupBy(*WINDOW, "phase", "day").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("demand").cast("decimal(18,2)")).alias("d"),
+        F.sum(F.col("margin").cast("decimal(18,2)")).alias("m"),
+    )
+    return per_day.groupBy(*WINDOW, "phase").agg(
+        F.sum("n").alias("n_rows"),
+        F.count(F.lit(1)).alias("n_days"),
+        dec_round(F.sum("d"), 2).alias("demand"),
+        dec_round(F.sum("m"), 2).alias("margin"),
+    )
+
+
+@query(
+    "walk_forward_grid",
+    sel(
+        "CAST(s AS BIGINT) AS step, CAST(CAST(last_day - CAST(7 * s + 36 AS INTEGER) AS DATE) AS VARCHAR) AS study_start, "
+        "CAST(CAST(last_day - CAST(7 * s AS INTEGER) AS DATE) AS VARCHAR) AS eval_end",
+        "(SELECT max(day) AS last_day FROM prices), range(0, 6) t(s)", ch=OC,
+    ),
+)
+def walk_forward_grid(spark, sf):
+    market = PX.from_orders(spark, sf)
+    edges = WN.data_edges(market.prices, PX.ORDER_FIRST_DAY)
+    return WN.walk_forward_grid(edges, 30, 7, 6).select("step", "study_start", "eval_end")
+
+
+_SCAN = (
+    f"{O.CMB}, {BIG('n_leaders')}, {BIG('n_effective')}, codes, relative_top, follower_median, p_value, replication_ratio, dsr, "
+    "pct_beats_segment, CAST(kill_switch AS BIGINT) AS kill_switch, drawdown, ev_history, ev_dry_year, "
+    "CAST(over_capacity AS BIGINT) AS over_capacity, capacity_pct, mae_mean, CAST(valid_cheap AS BIGINT) AS valid_cheap"
+)
+_SCAN_COLS = [
+    *COMBO, "n_leaders", "n_effective", "codes", "relative_top", "follower_median", "p_value", "replication_ratio", "dsr",
+    "pct_beats_segment", "kill_switch", "drawdown", "ev_history", "ev_dry_year", "over_capacity", "capacity_pct", "mae_mean",
+    "valid_cheap",
+]
+
+
+def order_scan(spark, sf):
+    o = orders(spark, sf)
+    s, ev = SN.scan_study(o.daily(), o.market, o.settings, o.windows)
+    rows = SN.scan_leaders(s, ev, o.settings, o.windows, o.regime, o.levels)
+    return o, SN.with_candidates(rows, o.settings)
+
+
+@query("window_scan", OC + O.scan_sql(200) + f"SELECT {_SCAN} FROM gated")
+def window_scan(spark, sf):
+    return order_scan(spark, sf)[1].select(*_SCAN_COLS)
+
+
+@query(
+    "gate_pass_rates",
+    OC + O.scan_sql(200)
+    + "SELECT gate, CAST(n_rows AS BIGINT) AS n_rows, CAST(n_candidates AS BIGINT) AS n_candidates, p_min, p_median, "
+    + f"CAST(n_passed AS BIGINT) AS n_passed, {O.R('n_passed * 100.0 / n_rows', 1)} AS pct_passed FROM (UNPIVOT (SELECT count(*) AS n_rows, "
+    + f"count(*) FILTER (WHERE valid_cheap) AS n_candidates, min(p_value) AS p_min, {O.UM('p_value')} AS p_median, "
+    + ", ".join(f"count(*) FILTER (WHERE {g}) AS {g}" for g in O.GATE_SQL)
+    + " FROM gated) ON " + ", ".join(O.GATE_SQL) + " INTO NAME gate VALUE n_passed)",
+)
+def gate_pass_rates(spark, sf):
+    return SC.gate_pass_rates(order_scan(spark, sf)[1], ["mode"]).drop("mode")
+
+
+@query(
+    "sweep",
+    OC + O.scan_sql(200)
+    + f""", swept AS (SELECT *, coalesce(p_value <= 0.05 AND replication_ratio >= 0.5 AND n_effective >= 3, false) AS valid FROM scan),
+placed AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY valid DESC, relative_top DESC, segment, archetype) AS pos FROM swept)
+SELECT {O.CMB}, {BIG('pos')}, {BIG('n_leaders')}, {BIG('n_effective')}, codes, relative_top, follower_median, p_value, replication_ratio, drawdown,
+ CAST(kill_switch AS BIGINT) AS kill_switch_1_0, CAST(valid AS BIGINT) AS valid_1_0 FROM placed WHERE pos <= 20""",
+)
+def sweep(spark, sf):
+    o, rows = order_scan(spark, sf)
+    return SK.sweep_table(SN.sweep(rows, o.settings), COMBO + ["pos"])
+
+
+_ASSESS_CH = O.event_chain(weighted=True, boot=1000)
+_PERSIST = f"""
+hs0 AS (SELECT {O.CMB}, agent_id, count(*) AS n_days, {O.UM('margin')} AS level, min(agent_id || '|' || CAST(day AS VARCHAR)) AS k FROM hold GROUP BY ALL),
+hs AS (SELECT h.*, row_number() OVER (PARTITION BY {O.CMB} ORDER BY level DESC, k) - 1 AS position, count(*) OVER (PARTITION BY {O.CMB}) AS n
+ FROM hs0 h JOIN (SELECT window_id, n_study_days FROM ndays WHERE phase = 'holdout') USING (window_id) WHERE n_days >= {O.NEED('n_study_days', 20)}),
+hn AS (SELECT {O.CMB}, count(*) AS n_holdout FROM hs GROUP BY ALL),
+held AS (SELECT l.window_id, l.segment, l.archetype,
+ CASE WHEN max(n_holdout) IS NOT NULL THEN {O.R('count(*) FILTER (WHERE position < n_holdout / 2) * 100.0 / count(*)', 1)} END AS persistence_pct
+ FROM leaders l LEFT JOIN (SELECT {O.CMB}, agent_id, position FROM hs) h USING ({O.CMB}, agent_id) LEFT JOIN hn USING ({O.CMB}) GROUP BY l.window_id, l.segment, l.archetype),
+"""
+_ASSESS = (
+    f"{O.CMB}, {BIG('n_leaders')}, {BIG('n_effective')}, codes, relative_mean, follower_median, leaders_median, segment_median, pct_beats_segment, pct_beats_leaders, "
+    "p_value, boot_best, boot_null_p50, boot_null_p95, replication_in, replication_out, replication_ratio, persistence_pct, sharpe, skew, kurtosis, dsr, "
+    "stress_margin, extreme_margin, ev_history, ev_dry_year, drawdown, p5, p95, capacity_pct, verdict, "
+)
+_VALID = "coalesce(p_value <= 0.05 AND persistence_pct >= 50 AND replication_ratio >= 0.5 AND n_effective >= 3, false)"
+
+
+def event_assessment(spark, sf):
+    e = events(spark, sf)
+    e.settings = replace(e.settings, policy=replace(e.settings.policy, weighted=True))
+    levels = RU.reservoir_level(e.market.reservoirs)
+    regime = SR.regime_total(e.market.prices)
+    d = ST.daily(e.market, e.settings, store=True)
+    return e, AS.assess(d, e.market, e.settings, e.windows, regime, levels=levels), levels
+
+
+@query(
+    "assessment",
+    _ASSESS_CH + _PERSIST + O.scan_sql(1000, "persistence_pct", f"LEFT JOIN held USING ({O.CMB})").replace(
+        "AS persistence\n", "AS persistence, persistence_pct\n"
+    )
+    + f"SELECT {_ASSESS} CAST({_VALID} AS BIGINT) AS target_valid FROM gated",
+)
+def assessment(spark, sf):
+    a = event_assessment(spark, sf)[1]
+    return a.summary.select(
+        *COMBO, "n_leaders", "n_effective", "codes", "relative_mean", "follower_median", "leaders_median", "segment_median",
+        "pct_beats_segment", "pct_beats_leaders", "p_value", "boot_best", "boot_null_p50", "boot_null_p95", "replication_in",
+        "replication_out", "replication_ratio", "persistence_pct", "sharpe", "skew", "kurtosis", "dsr", "stress_margin",
+        "extreme_margin", "ev_history", "ev_dry_year", "drawdown", "p5", "p95", "capacity_pct", "verdict", "target_valid",
+    )
+
+
+@query(
+    "gates",
+    _ASSESS_CH + _PERSIST + O.scan_sql(1000, "persistence_pct", f"LEFT JOIN held USING ({O.CMB})")
+    + f"SELECT {O.CMB}, " + ", ".join(f"CAST({g} AS BIGINT) AS {g}" for g in sorted(O.GATE_SQL))
+    + ", CAST(valid_cheap AS BIGINT) AS valid_cheap, CAST(valid_final AS BIGINT) AS valid_final, "
+    + " || ".join(f"'{g}=' || CAST({g} AS INTEGER) || ';'" for g in sorted(O.GATE_SQL))
+    + " AS gate_detail FROM gated",
+)
+def gates(spark, sf):
+    e, a, _ = event_assessment(spark, sf)
+    rows = SC.evaluate_gates(a.summary, e.settings.gates)
+    return rows.select(
+        *COMBO, *SC.GATES, "valid_cheap", "valid_final", SC.gate_detail().alias("gate_detail")
+    )
