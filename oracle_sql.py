@@ -176,6 +176,37 @@ def weights_sql():
   FROM leaders WINDOW w AS (PARTITION BY {CMB})))"""
 
 
+def winners_sql(bins):
+    key = "agent_id || '|' || CAST(day AS VARCHAR)"
+    return f"""seen AS (SELECT window_id, segment, bin, cluster_id, archetype, rel, {key} AS k FROM lab
+  UNION ALL SELECT window_id, segment, '*', cluster_id, archetype, rel, {key} FROM lab),
+ranked AS (SELECT window_id, segment, bin, cluster_id, max(archetype) AS archetype, {UM('rel')} AS relative_median, min(k) AS k FROM seen GROUP BY ALL),
+winners AS (SELECT window_id, segment, nullif(bin, '*') AS bin, cluster_id, archetype, relative_median FROM
+  (SELECT *, row_number() OVER (PARTITION BY window_id, segment, bin ORDER BY relative_median DESC, k) AS r FROM ranked) WHERE r = 1)"""
+
+
+def archetype_boot_sql(boot, pct):
+    """Bootstrap over the archetypes of a segment, as tables ``aboot`` and ``abest``."""
+    ws = "window_id, segment"
+    h = "md5(concat_ws('|', '42', window_id, segment, unit, CAST(rep AS VARCHAR), CAST(b AS VARCHAR)))"
+    return f"""
+au0 AS (SELECT {ws}, archetype AS unit, count(*) AS draws, {UM('rel')} AS level, min(agent_id || '|' || CAST(day AS VARCHAR)) AS first_key FROM lab GROUP BY ALL),
+au AS (SELECT a.* FROM au0 a JOIN (SELECT window_id, n_study_days FROM ndays WHERE phase = 'study') USING (window_id) WHERE draws >= {NEED('n_study_days', pct)}),
+abest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {ws} ORDER BY level DESC, first_key) AS r, count(*) OVER (PARTITION BY {ws}) AS n_units FROM au) WHERE r = 1),
+apool AS (SELECT l.window_id, l.segment, l.rel FROM lab l JOIN au ON au.window_id = l.window_id AND au.segment = l.segment AND au.unit = l.archetype),
+asize AS (SELECT {ws}, count(*) AS n_pool FROM apool GROUP BY ALL),
+areps AS (SELECT {ws}, unit, draws, unnest(range(1, {boot + 1})) AS rep FROM au),
+amed AS (SELECT {ws}, rep, list_sort(flatten(list_transform(range(0, (draws - 1) // 4 + 1), lambda b:
+  [substr({h}, 1, 8), substr({h}, 9, 8), substr({h}, 17, 8), substr({h}, 25, 8)]))[1:draws])[draws // 2 + 1] AS h FROM areps),
+amax AS (SELECT {ws}, rep, max(CAST('0x' || h AS BIGINT) / 4294967296.0) AS u FROM amed GROUP BY ALL),
+aspot AS (SELECT {ws}, rel, row_number() OVER (PARTITION BY {ws} ORDER BY rel) - 1 AS i FROM apool),
+anull AS (SELECT m.window_id, m.segment, s.rel AS v FROM amax m JOIN asize z USING ({ws}) JOIN aspot s
+  ON s.window_id = m.window_id AND s.segment = m.segment AND s.i = CAST(floor(m.u * z.n_pool) AS BIGINT)),
+aboot AS (SELECT n.window_id, n.segment, max(b.unit) AS best, max(n_units) AS n_units, max(n_units) AS n_trials,
+  {R(f'(count(*) FILTER (WHERE v >= level) + 1) / {boot + 1}.0', 4)} AS p_value FROM anull n JOIN abest b ON b.window_id = n.window_id AND b.segment = n.segment GROUP BY ALL)
+"""
+
+
 def chain(
     source: str,
     spans: str,
@@ -185,6 +216,7 @@ def chain(
     activities=None,
     main="select",
     weighted=False,
+    archetypes=False,
     sel: P.Selection = P.Selection(),
     rules: P.PolicyRules = P.PolicyRules(),
     boot=200,
@@ -199,7 +231,14 @@ def chain(
         f"{R(f'sum(weight * {f}) / sum(weight)', 2 if f == 'has_auction' else 1)} AS {f}" for f in PROFILE
     )
     ranges = "min(spread) AS spread_min, max(spread) AS spread_max"
-    if weighted:
+    if archetypes:
+        fit_sql = f"""{winners_sql(bins)},
+span AS (SELECT window_id, segment, {ranges} FROM lab GROUP BY ALL),
+mine AS (SELECT l.*, w.bin AS wbin FROM lab l JOIN winners w ON l.window_id = w.window_id AND l.segment = w.segment
+  AND l.cluster_id = w.cluster_id AND (w.bin = l.bin OR w.bin IS NULL)),
+fit AS (SELECT window_id, segment, '*' AS archetype, wbin AS bin, {med}, count(*) AS n_days, max(spread_min) AS spread_min, max(spread_max) AS spread_max
+  FROM mine JOIN span USING (window_id, segment) GROUP BY ALL)"""
+    elif weighted:
         fit_sql = f"""{weights_sql()},
 each AS (SELECT {CMB}, bin, agent_id, {med}, count(*) AS n_days, {ranges}
   FROM train GROUP BY GROUPING SETS (({CMB}, bin, agent_id), ({CMB}, agent_id))),
@@ -475,6 +514,18 @@ def event_chain(**kw):
     return chain(EVENTS, event_spans(), PX.EVENT_BINS, PX.EVENT_SIZES, activities=PX.EVENT_ACTIVITIES, **kw)
 
 
+def walk_spans(study=30, evald=7, steps=6, holdout=2):
+    return f"""
+windows AS (SELECT CAST(CAST(last_day - CAST({evald} * s + {evald + study - 1} AS INTEGER) AS DATE) AS VARCHAR) AS window_id, s AS step,
+  CAST(last_day - CAST({evald} * s + {evald + study - 1} AS INTEGER) AS DATE) AS study_start, CAST(last_day - CAST({evald} * s + {evald} AS INTEGER) AS DATE) AS study_end,
+  CAST(last_day - CAST({evald} * s + {evald - 1} AS INTEGER) AS DATE) AS eval_start, CAST(last_day - CAST({evald} * s AS INTEGER) AS DATE) AS eval_end
+  FROM (SELECT max(day) AS last_day FROM prices), range(0, {steps}) t(s)),
+spans AS (SELECT window_id, 'select' AS phase, study_start AS start_day, CAST(study_end - {holdout} AS DATE) AS end_day FROM windows
+  UNION ALL SELECT window_id, 'holdout', CAST(study_end - {holdout - 1} AS DATE), study_end FROM windows
+  UNION ALL SELECT window_id, 'eval', eval_start, eval_end FROM windows)"""
+
+
 def order_chain(**kw):
-    spans = order_spans(*kw.pop("grid", (90, 7, 30, 2)))
-    return chain(ORDERS, spans, PX.ORDER_BINS, PX.ORDER_SIZES, main="study", sel=PX.ORDER_SELECTION, **kw)
+    spans = kw.pop("spans", None) or order_spans(*kw.pop("grid", (90, 7, 30, 2)))
+    kw.setdefault("main", "study")
+    return chain(ORDERS, spans, PX.ORDER_BINS, PX.ORDER_SIZES, sel=PX.ORDER_SELECTION, **kw)

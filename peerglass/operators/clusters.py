@@ -116,17 +116,17 @@ def _standardised(inputs: DataFrame, keys: list[str]) -> DataFrame:
     return inputs.join(stats, keys).select(*keys, "agent_id", "day", point.alias("point"))
 
 
-def _gap(a: Column, b: Column) -> Column:
+def _gap(a: Column, b: Column, size: int) -> Column:
     """Squared distance of two points."""
-    parts = [(a[i] - b[i]) * (a[i] - b[i]) for i in range(len(CLUSTER_INPUTS))]
+    parts = [(a[i] - b[i]) * (a[i] - b[i]) for i in range(size)]
     return reduce(lambda x, y: x + y, parts)
 
 
-def nearest_center(point: Column, centers: Column) -> Column:
+def nearest_center(point: Column, centers: Column, size: int = len(CLUSTER_INPUTS)) -> Column:
     """``(gap, id)`` of the nearest centre; ties go to the lower id."""
     return F.array_min(
         F.transform(
-            centers, lambda c: F.struct(_gap(point, c["center"]).alias("gap"), c["id"].alias("id"))
+            centers, lambda c: F.struct(_gap(point, c["center"], size).alias("gap"), c["id"].alias("id"))
         )
     )
 

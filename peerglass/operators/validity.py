@@ -18,6 +18,7 @@ from peerglass.params import EULER_GAMMA
 
 # Above this many draws per unit the median of the draws is drawn directly.
 HASH_DRAWS = 1024
+_BLOCK = 25
 
 
 # --------------------------------------------------------------- bootstrap
@@ -46,12 +47,23 @@ def archetype_units(labelled_rel: DataFrame, value: str = "rel") -> DataFrame:
     return stats.join(first, keys).withColumnRenamed("archetype", "unit")
 
 
-def _hash_fraction(keys: list[str], seed: int) -> Column:
+def _hash_fraction(keys: list[str], seed: int, draws: str) -> Column:
     """Upper median of ``draws`` uniform draws, each a function of its counter only.
 
-    One digest yields four draws of eight hex digits.  Digits of equal length
-    sort like the numbers, so only the chosen one is converted.
+    ``xxhash64`` is the fast way.  ``md5`` gives draws that any SQL engine can
+    repeat: a digest yields four draws of eight hex digits, which sort like the
+    numbers they stand for, so only the chosen one is converted.
     """
+    middle = "cast(draws div 2 as int) + 1"
+    if draws == "xxhash64":
+        unit = ", ".join([f"{int(seed)}L", *keys, "unit"])
+        h = "shiftrightunsigned(xxhash64(k, rep, i), 11)"
+        return F.expr(
+            f"element_at(transform(array(xxhash64({unit})), k -> element_at(array_sort("
+            f"transform(sequence(1L, draws), i -> {h})), {middle})), 1) / 9007199254740992.0D"
+        )
+    if draws != "md5":
+        raise ValueError(f"unknown draws {draws!r}")
     key = ", ".join(f"cast({k} as string)" for k in keys)
     digest = (
         f"md5(concat_ws('|', '{int(seed)}', {key}, unit, cast(rep as string), cast(b as string)))"
@@ -61,10 +73,7 @@ def _hash_fraction(keys: list[str], seed: int) -> Column:
         f"transform(array({digest}), h -> array(substr(h, 1, 8), substr(h, 9, 8), "
         f"substr(h, 17, 8), substr(h, 25, 8)))[0]))"
     )
-    picked = (
-        f"element_at(array_sort(slice({pieces}, 1, cast(draws as int))), "
-        "cast(draws div 2 as int) + 1)"
-    )
+    picked = f"element_at(array_sort(slice({pieces}, 1, cast(draws as int))), {middle})"
     return F.expr(f"cast(conv({picked}, 16, 10) as bigint) / 4294967296.0D")
 
 
@@ -81,18 +90,25 @@ def _order_statistic(key: pd.Series, draws: pd.Series) -> pd.Series:
 
 
 def _null_maxima(
-    units: DataFrame, keys: list[str], n_boot: int, seed: int, unbounded: bool
+    units: DataFrame, keys: list[str], n_boot: int, seed: int, unbounded: bool, draws: str
 ) -> DataFrame:
     """Per replicate, the best unit's median as a fraction of the sorted pool.
 
     Units stream through and are reduced on the map side: what is shuffled is one
     number per combination, replicate and map task.
     """
-    reps = units.select(*keys, "unit", "draws").withColumn(
-        "rep", F.explode(F.sequence(F.lit(1), F.lit(int(n_boot))))
+    # The units are a small table but their draws are the whole work, so they are
+    # dealt out to every core in blocks of replicates before anything is drawn.
+    context = units.sparkSession.sparkContext
+    blocks = F.explode(F.sequence(F.lit(1), F.lit(int(n_boot)), F.lit(_BLOCK))).alias("_first")
+    last = F.least(F.col("_first") + F.lit(_BLOCK - 1), F.lit(int(n_boot)))
+    reps = (
+        units.select(*keys, "unit", "draws", blocks)
+        .repartition(max(context.defaultParallelism, 8), *keys, "unit", "_first")
+        .withColumn("rep", F.explode(F.sequence("_first", last)))
     )
     small = reps.where(F.col("draws") <= HASH_DRAWS) if unbounded else reps
-    drawn = small.select(*keys, "rep", _hash_fraction(keys, seed).alias("u"))
+    drawn = small.select(*keys, "rep", _hash_fraction(keys, seed, draws).alias("u"))
     if unbounded:
         key = F.md5(F.concat_ws("|", F.lit(str(seed)), *keys, "unit", F.col("rep").cast("string")))
         large = reps.where(F.col("draws") > HASH_DRAWS)
@@ -112,6 +128,7 @@ def bootstrap_best_median(
     n_boot: int = 200,
     seed: int = 42,
     unbounded_units: bool = False,
+    draws: str = "xxhash64",
 ) -> DataFrame:
     """Could the best unit's median come from luck?
 
@@ -140,7 +157,7 @@ def bootstrap_best_median(
         )
     )
     nulls = (
-        _null_maxima(units, keys, n_boot, seed, unbounded_units)
+        _null_maxima(units, keys, n_boot, seed, unbounded_units, draws)
         .join(placed.select(*keys, "n_pool", "n_below", "n_upto"), keys)
         .withColumn("_i", F.floor(F.col("u") * F.col("n_pool")).cast("long"))
     )

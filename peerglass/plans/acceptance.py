@@ -151,7 +151,7 @@ def power_study(
 
     ``cases`` has one row per (window_id, start_day, end_day, segment, archetype).
     """
-    spans = cases.select(*WINDOW, "start_day", "end_day").distinct()
+    spans = cases.select(*WINDOW, F.lit("study").alias("phase"), "start_day", "end_day").distinct()
     s = ST.study(d, market, settings, spans, labels, store=True)
     wanted = cases.select(*COMBO)
     stats = durable(PN.entity_stats(s.labelled), "stats")
@@ -166,6 +166,7 @@ def power_study(
         value="rel" if settings.selection.relative else "margin",
         n_boot=n_boot_cross,
         seed=settings.selection.seed,
+        draws=settings.selection.draws,
     )
     return (
         cases.join(

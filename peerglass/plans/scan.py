@@ -37,6 +37,7 @@ def leader_bootstrap(s: Study, stats: DataFrame, settings: Settings, n_boot: int
         value="rel" if sel.relative else "margin",
         n_boot=n_boot,
         seed=sel.seed,
+        draws=sel.draws,
     )
 
 
@@ -115,6 +116,7 @@ def scan_archetypes(
             n_boot=n_boot,
             seed=sel.seed,
             unbounded_units=True,
+            draws=sel.draws,
         ),
         "boot",
     )

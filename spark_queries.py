@@ -729,7 +729,7 @@ def bootstrap_best_median(spark, sf):
         PN.entity_stats(s.labelled), s.days, e.settings.selection.min_presence_pct
     )
     return VA.bootstrap_best_median(
-        VA.bootstrap_units(eligible), VA.bootstrap_pool(s.labelled, eligible), n_boot=200
+        VA.bootstrap_units(eligible), VA.bootstrap_pool(s.labelled, eligible), n_boot=200, draws="md5"
     )
 
 
@@ -749,6 +749,7 @@ def bootstrap_cross_segment(spark, sf):
         s.labelled,
         pool_keys=["window_id", "archetype"],
         n_boot=200,
+        draws="md5",
     )
 
 
@@ -778,7 +779,7 @@ def bootstrap_archetype(spark, sf):
     s = stored_study(events(spark, sf))
     units = VA.archetype_units(s.labelled)
     keys = WINDOW + ["segment"]
-    boot = VA.bootstrap_best_median(units, s.labelled, keys=keys, n_boot=200, unbounded_units=True)
+    boot = VA.bootstrap_best_median(units, s.labelled, keys=keys, n_boot=200, unbounded_units=True, draws="md5")
     return boot.join(VA.best_archetype(units), keys).select(
         *keys, "archetype", "n_units", "boot_best", "p_value"
     )
@@ -907,12 +908,17 @@ class Orders:
         return ST.daily(self.market, self.settings, store=True)
 
 
+def repeatable(settings):
+    """Bootstrap draws that the SQL twin can repeat."""
+    return replace(settings, selection=replace(settings.selection, draws="md5"))
+
+
 def orders(spark, sf_dir, study=90, evald=7, step=30, **changes) -> Orders:
     market = PX.from_orders(spark, sf_dir)
     edges = WN.data_edges(market.prices, PX.ORDER_FIRST_DAY)
     return Orders(
         market,
-        PX.order_settings(**changes),
+        repeatable(PX.order_settings(**changes)),
         durable(WN.window_grid(edges, study, evald, step), "windows"),
         SR.regime_total(market.prices),
         RU.reservoir_level(market.reservoirs),
@@ -1043,7 +1049,9 @@ _VALID = "coalesce(p_value <= 0.05 AND persistence_pct >= 50 AND replication_rat
 
 def event_assessment(spark, sf):
     e = events(spark, sf)
-    e.settings = replace(e.settings, policy=replace(e.settings.policy, weighted=True))
+    e.settings = repeatable(
+        replace(e.settings, policy=replace(e.settings.policy, weighted=True))
+    )
     levels = RU.reservoir_level(e.market.reservoirs)
     regime = SR.regime_total(e.market.prices)
     d = ST.daily(e.market, e.settings, store=True)
@@ -1081,3 +1089,190 @@ def gates(spark, sf):
     return rows.select(
         *COMBO, *SC.GATES, "valid_cheap", "valid_final", SC.gate_detail().alias("gate_detail")
     )
+
+
+_AC = O.order_chain(archetypes=True)
+_AGATES = ", ".join(f"{v} AS {k}" for k, v in O.GATE_SQL.items())
+
+
+@query(
+    "window_scan_archetype",
+    _AC + O.archetype_boot_sql(200, 5).rstrip() + ",\natr AS (SELECT window_id, segment, '*' AS archetype, n_trials FROM aboot),"
+    + O.sharpe_sql("sim", O.CMB, "atr")
+    + f""",
+acodes AS (SELECT window_id, segment, string_agg(archetype, ',' ORDER BY archetype) AS codes FROM winners WHERE bin IS NOT NULL GROUP BY ALL),
+ascan AS (SELECT j.* EXCLUDE (archetype), b.best AS archetype, b.n_units AS n_leaders, b.n_units AS n_effective, b.p_value, c.codes, d.dsr,
+ CAST(NULL AS DOUBLE) AS persistence FROM judged j LEFT JOIN aboot b USING (window_id, segment) LEFT JOIN acodes c USING (window_id, segment)
+ LEFT JOIN dsrs d USING (window_id, segment)),
+agated0 AS (SELECT *, {_AGATES} FROM ascan),
+agated AS (SELECT *, V1_bootstrap AND V2_n_effective AND V4_replication AND V5_dsr AND E1_beats_segment AND E2_no_kill_switch AND E3_expected_value AND E4_capacity AS valid_cheap,
+ 0.0::DOUBLE AS relative_top, CAST(NULL AS DOUBLE) AS mae_mean FROM agated0)
+SELECT {_SCAN} FROM agated""",
+)
+def window_scan_archetype(spark, sf):
+    o = orders(spark, sf)
+    s, ev = SN.scan_study(o.daily(), o.market, o.settings, o.windows)
+    rows = SN.scan_archetypes(s, ev, o.settings, o.windows, o.regime, o.levels)
+    return SN.with_candidates(rows, o.settings).select(*_SCAN_COLS)
+
+
+_WALK_CH = O.order_chain(spans=O.walk_spans(), main="select", weighted=True, boot=1000)
+_WALK = (
+    "segment, archetype, CAST(step AS BIGINT) AS step, window_id, n_leaders, follower_median, leaders_median, segment_median, "
+    "replication_ratio, dsr, kill_switch, p_value, persistence"
+)
+
+
+@query(
+    "walk_forward",
+    _WALK_CH + _PERSIST.replace(O.NEED("n_study_days", 20), O.NEED("n_study_days", 5))
+    + O.scan_sql(1000, "persistence_pct", f"LEFT JOIN held USING ({O.CMB})").rstrip()
+    + f""",
+walked AS (SELECT g.*, w.step, row_number() OVER (PARTITION BY g.segment, g.archetype ORDER BY w.step) - 1 AS i FROM gated g JOIN windows w USING (window_id))
+SELECT segment, archetype, CAST(step AS BIGINT) AS step, window_id, CAST(n_leaders AS BIGINT) AS n_leaders, follower_median, leaders_median, segment_median,
+ replication_ratio, dsr, CAST(kill_switch AS BIGINT) AS kill_switch, p_value, persistence FROM walked WHERE i = step""",
+)
+def walk_forward(spark, sf):
+    market = PX.from_orders(spark, sf)
+    settings = repeatable(PX.order_settings())
+    settings = replace(settings, policy=replace(settings.policy, weighted=True))
+    edges = WN.data_edges(market.prices, PX.ORDER_FIRST_DAY)
+    windows = durable(WN.walk_forward_grid(edges, 30, 7, 6), "windows")
+    rows = AS.walk_forward(
+        ST.daily(market, settings, store=True),
+        market,
+        settings,
+        windows,
+        SR.regime_total(market.prices),
+        levels=RU.reservoir_level(market.reservoirs),
+    )
+    return rows.select(
+        "segment", "archetype", "step", "window_id", "n_leaders", "follower_median", "leaders_median", "segment_median",
+        "replication_ratio", "dsr", "kill_switch", "p_value", "persistence",
+    )
+
+
+@query("acceptance")
+def acceptance(spark, sf):
+    o = orders(spark, sf)
+    out = AC.acceptance(o.daily(), o.market, o.settings, o.windows, o.regime, o.levels)
+    return SK.confirmed_table(out["confirmed"]).withColumn("mode", F.lit("both"))
+
+
+@query("weekly")
+def weekly(spark, sf):
+    e = events(spark, sf)
+    out = AC.weekly(
+        ST.daily(e.market, e.settings, store=True),
+        e.market,
+        e.settings,
+        e.windows,
+        SR.regime_total(e.market.prices),
+        "SMALL",
+        "Comercializador mixto",
+        RU.reservoir_level(e.market.reservoirs),
+    )
+    return out["verdict"]
+
+
+_CASES = [
+    ("c1", "1996-01-01", "1996-03-31", "SMALL", "Comercializador regulado"),
+    ("c2", "1998-04-25", "1998-07-23", "MEDIUM", "Trader no regulado"),
+    ("c3", "2000-03-11", "2000-06-08", "SMALL", "Integrado/regional regulado"),
+    ("c4", "1997-01-01", "1997-12-31", "SMALL", "Comercializador regulado"),
+]
+
+
+@query("power")
+def power(spark, sf):
+    market = PX.from_orders(spark, sf)
+    settings = PX.order_settings()
+    cases = spark.range(1).select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(w).alias("window_id"),
+                        F.lit(a).cast("date").alias("start_day"),
+                        F.lit(b).cast("date").alias("end_day"),
+                        F.lit(g).alias("segment"),
+                        F.lit(n).alias("archetype"),
+                    )
+                    for w, a, b, g, n in _CASES
+                ]
+            )
+        )
+    )
+    return AC.power_study(ST.daily(market, settings, store=True), market, settings, cases)
+
+
+@query("alternatives")
+def alternatives(spark, sf):
+    e, a, levels = event_assessment(spark, sf)
+    return AS.alternatives(a, e.settings, levels)
+
+
+# ---------------------------------------------------------------- clustering
+@query(
+    "cluster_assign",
+    CH + f"""cen AS (SELECT window_id, cluster_id, {', '.join(
+        O.R(f'{O.SUM2(f)} / count(*)', 4) + f' AS c{i}' for i, f in enumerate(SHARES))} FROM lab GROUP BY ALL),
+asg AS (SELECT l.window_id, l.agent_id, l.day, c.cluster_id, row_number() OVER (PARTITION BY l.window_id, l.agent_id, l.day ORDER BY
+ (pct_contract - c0) * (pct_contract - c0) + (pct_spot - c1) * (pct_spot - c1) + (pct_unregulated - c2) * (pct_unregulated - c2) + (pct_auction - c3) * (pct_auction - c3), c.cluster_id) AS r
+ FROM lab l JOIN cen c ON c.window_id = l.window_id)
+SELECT window_id, agent_id, {DAY}, {BIG('cluster_id')} FROM asg WHERE r = 1""",
+)
+def cluster_assign(spark, sf):
+    s = stored_study(events(spark, sf))
+    shares = [F.col(x) for x in SHARES]
+    centers = (
+        s.labelled.groupBy(*WINDOW, "cluster_id")
+        .agg(
+            F.array(
+                *[
+                    dec_round(
+                        F.sum(x.cast("decimal(18,2)")).cast("double") / F.count(F.lit(1)), 4
+                    )
+                    for x in shares
+                ]
+            ).alias("center")
+        )
+        .groupBy(*WINDOW)
+        .agg(F.collect_list(F.struct(F.col("cluster_id").alias("id"), "center")).alias("centers"))
+    )
+    return s.labelled.join(centers, WINDOW).select(
+        *WINDOW,
+        "agent_id",
+        "day",
+        CL.nearest_center(F.array(*shares), F.col("centers"), len(shares))["id"].alias("cluster_id"),
+    )
+
+
+@query("kmeans_profiles")
+def kmeans_profiles(spark, sf):
+    e = events(spark, sf)
+    d = ST.daily(e.market, e.settings, store=True)
+    s = ST.study(d, e.market, e.settings, e.span("select"), labels="kmeans", store=True)
+    return s.profiles
+
+
+@query("kmeans_best_k")
+def kmeans_best_k(spark, sf):
+    """Cost and silhouette per k, for one study, on whole tables."""
+    s = stored_study(events(spark, sf))
+    vectors = durable(
+        CL.scaled_vectors(CL.cluster_inputs(s.labelled)).select("agent_id", "day", "features"), "vectors"
+    )
+    results = CL.choose_k(vectors, 2, 6, n_init=2, sample_rows=None)
+    best = CL.best_k(results)
+    rows = [(r["k"], r["silhouette"], r["cost"], r["k"] == best) for r in results]
+    return spark.createDataFrame(rows, "k int, silhouette double, cost double, is_best boolean")
+
+
+@query("window_scan_kmeans")
+def window_scan_kmeans(spark, sf):
+    """The grid with every window clustered in the same job."""
+    o = orders(spark, sf, study=90, evald=7, step=90)
+    s, ev = SN.scan_study(o.daily(), o.market, o.settings, o.windows, labels="kmeans")
+    rows = SN.scan_leaders(s, ev, o.settings, o.windows, o.regime, o.levels)
+    return SN.with_candidates(rows, o.settings).select(*_SCAN_COLS)
