@@ -230,7 +230,9 @@ def weekly(
     series = context.select(*WINDOW, "day", "spread", "reservoir_pct").join(
         curve, WINDOW + ["day"], "left"
     )
-    source = gates.where(F.col("mode") == "leaders")
+    # Without leaders of the asked combination the control row speaks.
+    by_mode = Window.partitionBy(*WINDOW).orderBy(F.desc("mode"))
+    source = gates.withColumn("_m", F.row_number().over(by_mode)).where("_m = 1")
     metrics = metric_rows(source, WINDOW, _KPIS).unionByName(
         market_now.select(
             *WINDOW, F.lit("reservoir_level").alias("metric"), F.col("last_level").alias("value")
