@@ -66,9 +66,9 @@ def leaders_by_day(panel: DataFrame, chosen: DataFrame, features: bool = False)
     return rows.groupBy(*COMBO, "phase", "day").agg(*aggs)
 
 
-def segment_by_day(panel: DataFrame) -> DataFrame:
+def segment_by_day(panel: DataFrame, clipped: bool = True) -> DataFrame:
     return segment_day_benchmark(
-        panel.where(F.col("segment").isNotNull()), PHASE + ["segment", "day"]
+        panel.where(F.col("segment").isNotNull()), PHASE + ["segment", "day"], clipped
     ).withColumnRenamed("bench", "segment_margin")
 
 

@@ -103,7 +103,8 @@ def _standardised(inputs: DataFrame, keys: list[str]) -> DataFrame:
     aggs = []
     for x in CLUSTER_INPUTS:
         aggs += [F.avg(x).alias(f"m_{x}"), F.stddev_pop(x).alias(f"s_{x}")]
-    stats = inputs.groupBy(*keys).agg(*aggs)
+    # Stored, so that its true size lets every point meet it without a shuffle.
+    stats = durable(inputs.groupBy(*keys).agg(*aggs), "scale")
     point = F.array(
         *[
             F.coalesce(

@@ -62,13 +62,16 @@ def attach_segments(panel: DataFrame, segmented: DataFrame, keep_unknown: bool =
     )
 
 
-def segment_day_benchmark(panel: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def segment_day_benchmark(
+    panel: DataFrame, keys: list[str] | None = None, clipped: bool = True
+) -> DataFrame:
     """Upper median margin of a segment on a day.
 
     Margins are two-decimal and winsorised, so a segment-day has a bounded number
-    of distinct values whatever its number of entities.
+    of distinct values whatever its number of entities.  Without the winsorising
+    limits that bound is gone and the bucketed search is used.
     """
-    return order_stats(panel, keys or BENCH_KEYS, "margin", {"bench": "um"})
+    return order_stats(panel, keys or BENCH_KEYS, "margin", {"bench": "um"}, coarse=not clipped)
 
 
 def with_relative(panel: DataFrame, benchmark: DataFrame) -> DataFrame:

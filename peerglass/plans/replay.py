@@ -65,7 +65,7 @@ def replay(
     segment_days = (
         s.benchmark.withColumnRenamed("bench", "segment_margin")
         .withColumn("phase", F.lit(study_phase))
-        .unionByName(BT.segment_by_day(evaluation))
+        .unionByName(BT.segment_by_day(evaluation, bool(settings.model.margin_clip)))
     )
     led = realised = None
     if chosen is not None:

@@ -98,7 +98,9 @@ def study(
         rows = PN.label_by_rule(rows)
     else:
         raise ValueError(f"unknown labels {labels!r}")
-    benchmark = keep(PN.segment_day_benchmark(rows), "benchmark")
+    benchmark = keep(
+        PN.segment_day_benchmark(rows, clipped=bool(settings.model.margin_clip)), "benchmark"
+    )
     labelled = keep(PN.with_relative(rows, benchmark), "labelled")
     return Study(segmented, labelled, benchmark, PN.study_days(benchmark), profiles)
 

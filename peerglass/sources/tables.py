@@ -108,6 +108,10 @@ def workspace(spark: SparkSession) -> str:
     return folder
 
 
+# Stored tables of this process, for ``release``.
+_WRITTEN: list[str] = []
+
+
 def durable(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -118,4 +122,15 @@ def durable(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{(folder or workspace(spark)).rstrip('/')}/peerglass/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables this process has stored; call it once results are saved."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone

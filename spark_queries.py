@@ -729,7 +729,7 @@ def bootstrap_best_median(spark, sf):
         PN.entity_stats(s.labelled), s.days, e.settings.selection.min_presence_pct
     )
     return VA.bootstrap_best_median(
-        VA.bootstrap_units(eligible), VA.bootstrap_pool(s.labelled, eligible), n_boot=200, draws="md5"
+        VA.bootstrap_units(eligible), VA.bootstrap_pool(s.labelled, eligible), n_boot=200, draws=DRAWS
     )
 
 
@@ -749,7 +749,7 @@ def bootstrap_cross_segment(spark, sf):
         s.labelled,
         pool_keys=["window_id", "archetype"],
         n_boot=200,
-        draws="md5",
+        draws=DRAWS,
     )
 
 
@@ -779,7 +779,7 @@ def bootstrap_archetype(spark, sf):
     s = stored_study(events(spark, sf))
     units = VA.archetype_units(s.labelled)
     keys = WINDOW + ["segment"]
-    boot = VA.bootstrap_best_median(units, s.labelled, keys=keys, n_boot=200, unbounded_units=True, draws="md5")
+    boot = VA.bootstrap_best_median(units, s.labelled, keys=keys, n_boot=200, unbounded_units=True, draws=DRAWS)
     return boot.join(VA.best_archetype(units), keys).select(
         *keys, "archetype", "n_units", "boot_best", "p_value"
     )
@@ -908,9 +908,13 @@ class Orders:
         return ST.daily(self.market, self.settings, store=True)
 
 
+# The library draws with xxhash64; md5 draws are what plain SQL can repeat.
+DRAWS = "md5"
+
+
 def repeatable(settings):
-    """Bootstrap draws that the SQL twin can repeat."""
-    return replace(settings, selection=replace(settings.selection, draws="md5"))
+    """Settings whose bootstrap draws the SQL twin can repeat."""
+    return replace(settings, selection=replace(settings.selection, draws=DRAWS))
 
 
 def orders(spark, sf_dir, study=90, evald=7, step=30, **changes) -> Orders:

@@ -44,6 +44,8 @@ def test_named_parameters(spark):
 def test_durable_roundtrip(spark):
     df = TB.durable(spark.range(10).withColumn("x", F.lit("a")), "t")
     assert df.count() == 10 and df.columns == ["id", "x"]
+    path = df.inputFiles()[0]
+    assert os.path.exists(path.removeprefix("file://"))
     assert TB.workspace(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
