@@ -32,8 +32,8 @@ def with_performance(panel: DataFrame, model: MarginModel, full: bool = False) -
     return out.withColumn("margin", clip_margin(F.col("margin"), model.margin_clip))
 
 
-def drop_outside_model(panel: DataFrame) -> DataFrame:
-    """Entity-days whose demand has no logarithm; count these, do not feed them on."""
+def outside_model(panel: DataFrame) -> DataFrame:
+    """Entity-days whose demand has no logarithm: to be counted, not fed on."""
     return panel.where(F.col("demand") <= -1e6)
 
 

@@ -63,11 +63,6 @@ def distributions(days: DataFrame, keys: list[str]) -> DataFrame:
     return distribution(days.select(*keys, "day", series), keys + ["series"], "value")
 
 
-def empty_distribution_as_zero(dist: DataFrame, names: list[str]) -> DataFrame:
-    """An empty series counts as zeros."""
-    return dist.fillna(0, subset=names)
-
-
 def regime_by_bin(prices: DataFrame, bins: SpreadBins) -> DataFrame:
     """Days and share per configured spread bin, empty bins included."""
     spread = _zero("spot") - _zero("contract")

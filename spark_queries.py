@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 import oracle_sql as O
 from peerglass.functions.numeric import dec_round
-from peerglass.functions.regime import spread_bin
 from peerglass.functions.shares import PROFILE, SHARES
 from peerglass.operators import COMBO, WINDOW
 from peerglass.operators import backtest as BT
@@ -1121,12 +1120,6 @@ def window_scan_archetype(spark, sf):
 
 
 _WALK_CH = O.order_chain(spans=O.walk_spans(), main="select", weighted=True, boot=1000)
-_WALK = (
-    "segment, archetype, CAST(step AS BIGINT) AS step, window_id, n_leaders, follower_median, leaders_median, segment_median, "
-    "replication_ratio, dsr, kill_switch, p_value, persistence"
-)
-
-
 @query(
     "walk_forward",
     _WALK_CH + _PERSIST.replace(O.NEED("n_study_days", 20), O.NEED("n_study_days", 5))
