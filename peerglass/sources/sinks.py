@@ -264,12 +264,12 @@ def archetype_scan_table(scan: DataFrame) -> DataFrame:
     return scan.select(*_judged(scan), flag("candidate"), flag("valid_cheap"))
 
 
-def confirmed_table(confirmed: DataFrame) -> DataFrame:
+def confirmed_table(confirmed: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Confirmed rows of either mode with their gates spelled out by name."""
     from peerglass.operators.scorecard import gate_detail
 
     return confirmed.select(
-        *_judged(confirmed), "n1_full", "n2", flag("valid_final"), gate_detail().alias("gate_detail")
+        *keys, *_judged(confirmed), "n1_full", "n2", flag("valid_final"), gate_detail().alias("gate_detail")
     )
 
 

@@ -1153,7 +1153,7 @@ def walk_forward(spark, sf):
 def acceptance(spark, sf):
     o = orders(spark, sf)
     out = AC.acceptance(o.daily(), o.market, o.settings, o.windows, o.regime, o.levels)
-    return SK.confirmed_table(out["confirmed"]).withColumn("mode", F.lit("both"))
+    return SK.confirmed_table(out["confirmed"], ("mode",))
 
 
 @query("weekly")
