@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerglass.llm import chat, topk, url_filter
+from peerglass.llm import chat, fingerprint, langid, mixing, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +52,22 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+# --- 5: language ID --------------------------------------------------------
+
+
+def trains(id_col: str = "doc_id"):
+    """The documents that languages are learned from: two thirds, by a checksum of the id."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs.where(trains()).select("doc_id", "text", "lang"))
+    found = docs.withColumn("_found", langid.classify(docs, model))
+    return found.select("doc_id", (~trains()).alias("held_out"), "_found.*")
+
+
 # --- 6: URL filters --------------------------------------------------------
 
 URL_RULES = (
@@ -130,3 +146,65 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id long, turn long, role string, text string",
     )
     return chat.digest_conversations(chat.format_conversations(given.unionByName(more)))
+
+
+# --- 9: mixing sources to target weights -----------------------------------
+
+MIX_SQL = r"""
+WITH quality AS (
+  SELECT doc_id, CASE max(quality) WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 END AS quality
+  FROM labels GROUP BY doc_id
+), docs AS (
+  SELECT d.doc_id, source, coalesce(quality, 1.0) AS quality,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    (('0x' || substr(md5('mix:' || d.doc_id), 1, 13))::BIGINT + 0.5::DOUBLE)
+      / 4503599627370496::DOUBLE AS u
+  FROM documents d LEFT JOIN quality q ON d.doc_id = q.doc_id
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    (1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::DOUBLE AS weight
+  FROM docs GROUP BY source
+), levels AS (
+  SELECT *, 3 * source_size::DOUBLE AS cap,
+    (sum(source_size) OVER ()::DOUBLE - coalesce(sum(3 * source_size::DOUBLE) OVER soonest, 0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER soonest, 0)) AS level
+  FROM sources
+  WINDOW soonest AS (ORDER BY 3 * source_size::DOUBLE / weight, source NULLS LAST
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), goals AS (
+  SELECT source, source_size, CASE WHEN cap <= level * weight THEN cap ELSE weight *
+    (SELECT arg_min(level, cap / weight) FROM levels WHERE cap > level * weight) END AS target
+  FROM levels
+), placed AS (
+  SELECT d.doc_id, d.source, size, source_size, target,
+    CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY -ln(u) / quality, d.doc_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM docs d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, source_size, target,
+  (size * (epochs + (before + size / 2::DOUBLE <= target - epochs * source_size)::INT))::BIGINT
+    AS taken
+FROM placed
+"""
+
+
+def label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampling weights: good documents count double, bad ones half, the others 1."""
+    best = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
+    return best.select("doc_id", F.when(F.col("q") == 1, 2.0).when(F.col("q") == 0, 0.5).alias("quality"))
+
+
+@query("op9_mix_sources", MIX_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, quality=label_quality(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+# --- 10: document fingerprints ---------------------------------------------
+
+
+@query("op10_fingerprints")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_with_next(table(spark, sf_dir, "documents"))
