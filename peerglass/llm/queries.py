@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerglass.llm import chat, fingerprint, langid, mixing, topk, url_filter
+from peerglass.llm import (
+    chat,
+    fingerprint,
+    langid,
+    line_dedup,
+    minhash,
+    mixing,
+    topk,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +61,79 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+# --- 3: line dedup ---------------------------------------------------------
+
+LINES_SQL = r"""
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+  FROM documents WHERE text IS NOT NULL
+), spaced AS (
+  SELECT doc_id, line_no,
+    trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS s FROM raw
+), lines AS (
+  SELECT doc_id, line_no, s2 AS body, string_split(s2, ' ') AS tokens,
+    len(string_split(s2, ' ')) || ' ' ||
+      array_to_string(list_slice(string_split(s2, ' '), 1, 3), ' ') AS leaf
+  FROM (SELECT *, regexp_replace(s, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS s2 FROM spaced)
+  WHERE s2 <> ''
+), kinds AS (
+  SELECT leaf, body, any_value(tokens) AS tokens, count(DISTINCT doc_id) AS docs
+  FROM lines GROUP BY leaf, body
+), able AS (
+  SELECT *, count(*) OVER (PARTITION BY leaf) AS leaf_kinds FROM kinds
+  QUALIFY sum(docs) OVER (PARTITION BY leaf) >= 5
+), words AS (
+  SELECT leaf, body, docs, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos
+  FROM able WHERE leaf_kinds > 1
+), kept AS (
+  SELECT leaf, body, pos, CASE WHEN token <> '<*>'
+    AND sum(docs) OVER (PARTITION BY leaf, pos, token) >= 5 THEN token ELSE '<*>' END AS word
+  FROM words
+), wider AS (
+  SELECT leaf, body, string_agg(word, ' ' ORDER BY pos) AS template
+  FROM kept GROUP BY leaf, body HAVING avg((word <> '<*>')::INT::DOUBLE) >= 0.6
+), named AS (
+  SELECT a.leaf, a.body, coalesce(w.template, a.body) AS template,
+    w.template IS NOT NULL AS wide
+  FROM able a LEFT JOIN wider w ON a.leaf = w.leaf AND a.body = w.body
+), placed AS (
+  SELECT l.doc_id, l.line_no, n.template, n.wide,
+    row_number() OVER (PARTITION BY l.leaf, n.template, n.wide ORDER BY doc_id, line_no) AS nth
+  FROM lines l JOIN named n ON l.leaf = n.leaf AND l.body = n.body
+), recurring AS (
+  SELECT template, wide FROM placed GROUP BY template, wide HAVING count(DISTINCT doc_id) >= 5
+), gone AS (
+  SELECT DISTINCT doc_id, line_no FROM placed p JOIN recurring r
+    ON p.template = r.template AND p.wide = r.wide WHERE nth > 1
+), rebuilt AS (
+  SELECT raw.doc_id, string_agg(line, chr(10) ORDER BY raw.line_no)
+      FILTER (gone.line_no IS NULL) AS text,
+    count(*) AS n_lines, count(gone.line_no) AS n_dropped
+  FROM raw LEFT JOIN gone ON raw.doc_id = gone.doc_id AND raw.line_no = gone.line_no
+  GROUP BY raw.doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(r.text, '') END AS text,
+  coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_dropped, 0)::INT AS n_dropped
+FROM documents d LEFT JOIN rebuilt r ON d.doc_id = r.doc_id
+"""
+
+
+@query("op3_line_dedup", LINES_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_recurring_lines(docs)
+
+
+# --- 4: MinHash near-dedup --------------------------------------------------
+
+
+@query("op4_minhash_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return minhash.near_duplicates(docs, words=3, threshold=85)
+
+
 # --- 5: language ID --------------------------------------------------------
 
 
