@@ -112,16 +112,16 @@ def workspace(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
-def durable(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+def durable(df: DataFrame, label: str, folder: str | None = None, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage, survives the loss of executors, and gives the planner the
     true size of the table, so that later joins broadcast it only when it really
-    is under the broadcast threshold.
+    is under the broadcast threshold. ``options`` go to the parquet writer.
     """
     spark = df.sparkSession
     path = f"{(folder or workspace(spark)).rstrip('/')}/peerglass/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
