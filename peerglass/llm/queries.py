@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from peerglass.llm import (
     line_dedup,
     minhash,
     mixing,
+    packing,
     topk,
     url_filter,
 )
@@ -36,6 +38,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- 1: packing ------------------------------------------------------------
+
+
+@query("op1_mixture_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 # --- 2: exact top-k search -------------------------------------------------
 
 TOP_K_SQL = """
