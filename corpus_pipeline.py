@@ -1,15 +1,66 @@
 """A training corpus from raw documents: five stages, each stored before the next.
 
 language ID -> line dedup -> near-dedup -> mixing -> packing
+
+A stage gets what its predecessor kept and, but for the last, returns the columns
+of ``documents``. Null texts have no language and leave at the first stage; rows
+that repeat a document leave at the third; an empty table runs through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from peerglass.llm import langid, line_dedup, minhash, mixing, packing
+from peerglass.llm.queries import label_quality, trains
 from peerglass.sources.tables import durable
 
-STAGES: list = []
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear; texts without letters and ties go."""
+    model = langid.learn(docs.where(trains()))
+    found = docs.withColumn("_found", langid.classify(docs, model))
+    return found.where("_found.accepted").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without recurring lines; documents of nothing but those go."""
+    cut = line_dedup.drop_recurring_lines(docs)
+    left = cut.where((F.col("n_dropped") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: five-word shingles, similarity 0.8 or more."""
+    found = minhash.near_duplicates(docs, words=5, threshold=80)
+    kept = found.where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    once = Window.partitionBy("doc_id").orderBy("text")
+    return (
+        docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        .withColumn("_nth", F.row_number().over(once))
+        .where(F.col("doc_id").isNull() | (F.col("_nth") == 1))
+        .select(*docs.columns)
+    )
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.apply_mix(docs, mixing.mix(docs, quality=label_quality(spark, sf_dir)))
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", drop_lines),
+    ("minhash_near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("mixture_packing", pack_windows),
+]
 
 # No SQL states compression sizes, MinHash bands or a tokenizer.
 ORACLE_SQL = None

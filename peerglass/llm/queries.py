@@ -16,6 +16,7 @@ from peerglass.llm import (
     minhash,
     mixing,
     packing,
+    pseudo_likelihood,
     topk,
     url_filter,
 )
@@ -241,6 +242,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_conversations(given.unionByName(more)))
 
 
+# --- 8: LM scoring ---------------------------------------------------------
+
+
+@query("op8_pseudo_likelihood")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.score_documents(table(spark, sf_dir, "documents"))
+
+
 # --- 9: mixing sources to target weights -----------------------------------
 
 MIX_SQL = r"""
