@@ -4,20 +4,16 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from peerglass.functions.medians import best_of_medians
 from peerglass.functions.normal import normal_cdf, normal_ppf
 from peerglass.functions.numeric import dec_round, upper_median
 from peerglass.operators import COMBO, WINDOW
 from peerglass.operators.orderstats import order_stats
 from peerglass.params import EULER_GAMMA
 
-# Above this many draws per unit the median of the draws is drawn directly.
-HASH_DRAWS = 1024
 _BLOCK = 25
 
 
@@ -77,45 +73,37 @@ def _hash_fraction(keys: list[str], seed: int, draws: str) -> Column:
     return F.expr(f"cast(conv({picked}, 16, 10) as bigint) / 4294967296.0D")
 
 
-@F.pandas_udf(DoubleType())
-def _order_statistic(key: pd.Series, draws: pd.Series) -> pd.Series:
-    """Upper median of ``draws`` uniforms: Beta(r, n - r + 1) with r = n // 2 + 1."""
-
-    def one(k: str, n: int) -> float:
-        rng = np.random.default_rng(int(k, 16))
-        r = n // 2 + 1
-        return min(float(rng.beta(r, n - r + 1)), 1.0 - 2.0**-53)
-
-    return pd.Series([one(k, int(n)) for k, n in zip(key, draws)], dtype="float64")
-
-
 def _null_maxima(
-    units: DataFrame, keys: list[str], n_boot: int, seed: int, unbounded: bool, draws: str
+    units: DataFrame, keys: list[str], n_boot: int, seed: int, draws: str
 ) -> DataFrame:
     """Per replicate, the best unit's median as a fraction of the sorted pool.
 
-    Units stream through and are reduced on the map side: what is shuffled is one
-    number per combination, replicate and map task.
+    ``class``: medians of units with equally many draws are alike and independent,
+    so the best of a class of them is one number drawn from its distribution. The
+    cost is in the number of classes, whatever the units and their draws.
+
+    ``xxhash64`` and ``md5`` draw every value of every unit. Units stream through
+    and are reduced on the map side: what is shuffled is one number per
+    combination, replicate and map task.
     """
-    # The units are a small table but their draws are the whole work, so they are
-    # dealt out to every core in blocks of replicates before anything is drawn.
-    context = units.sparkSession.sparkContext
+    # The table is small but the draws are the whole work, so it is dealt out in
+    # blocks of replicates before anything is drawn.
     blocks = F.explode(F.sequence(F.lit(1), F.lit(int(n_boot)), F.lit(_BLOCK))).alias("_first")
     last = F.least(F.col("_first") + F.lit(_BLOCK - 1), F.lit(int(n_boot)))
+    by = ["draws"] if draws == "class" else ["unit", "draws"]
     reps = (
-        units.select(*keys, "unit", "draws", blocks)
-        .repartition(max(context.defaultParallelism, 8), *keys, "unit", "_first")
+        units.groupBy(*keys, *by)
+        .agg(F.count("*").alias("members"))
+        .select(*keys, *by, "members", blocks)
+        .repartition(*keys, by[0], "_first")
         .withColumn("rep", F.explode(F.sequence("_first", last)))
     )
-    small = reps.where(F.col("draws") <= HASH_DRAWS) if unbounded else reps
-    drawn = small.select(*keys, "rep", _hash_fraction(keys, seed, draws).alias("u"))
-    if unbounded:
-        key = F.md5(F.concat_ws("|", F.lit(str(seed)), *keys, "unit", F.col("rep").cast("string")))
-        large = reps.where(F.col("draws") > HASH_DRAWS)
-        drawn = drawn.unionByName(
-            large.select(*keys, "rep", _order_statistic(key, F.col("draws")).alias("u"))
-        )
-    return drawn.groupBy(*keys, "rep").agg(F.max("u").alias("u"))
+    if draws == "class":
+        word = F.shiftrightunsigned(F.xxhash64(F.lit(int(seed)), *keys, "draws", "rep"), 11)
+        u = best_of_medians((word + 0.5) / 9007199254740992.0, F.col("draws"), F.col("members"))
+    else:
+        u = _hash_fraction(keys, seed, draws)
+    return reps.select(*keys, "rep", u.alias("u")).groupBy(*keys, "rep").agg(F.max("u").alias("u"))
 
 
 def bootstrap_best_median(
@@ -127,8 +115,7 @@ def bootstrap_best_median(
     value: str = "rel",
     n_boot: int = 200,
     seed: int = 42,
-    unbounded_units: bool = False,
-    draws: str = "xxhash64",
+    draws: str = "class",
 ) -> DataFrame:
     """Could the best unit's median come from luck?
 
@@ -157,7 +144,7 @@ def bootstrap_best_median(
         )
     )
     nulls = (
-        _null_maxima(units, keys, n_boot, seed, unbounded_units, draws)
+        _null_maxima(units, keys, n_boot, seed, draws)
         .join(placed.select(*keys, "n_pool", "n_below", "n_upto"), keys)
         .withColumn("_i", F.floor(F.col("u") * F.col("n_pool")).cast("long"))
     )

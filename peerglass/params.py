@@ -98,7 +98,7 @@ class Selection:
     relative: bool = True
     duplicate_corr: float = 0.9
     seed: int = 42
-    draws: str = "xxhash64"  # or "md5", which plain SQL can repeat
+    draws: str = "class"  # or "md5", which plain SQL can repeat
 
 
 @dataclass(frozen=True)

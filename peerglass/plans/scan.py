@@ -115,7 +115,6 @@ def scan_archetypes(
             value=value,
             n_boot=n_boot,
             seed=sel.seed,
-            unbounded_units=True,
             draws=sel.draws,
         ),
         "boot",

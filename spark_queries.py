@@ -778,7 +778,7 @@ def bootstrap_archetype(spark, sf):
     s = stored_study(events(spark, sf))
     units = VA.archetype_units(s.labelled)
     keys = WINDOW + ["segment"]
-    boot = VA.bootstrap_best_median(units, s.labelled, keys=keys, n_boot=200, unbounded_units=True, draws=DRAWS)
+    boot = VA.bootstrap_best_median(units, s.labelled, keys=keys, n_boot=200, draws=DRAWS)
     return boot.join(VA.best_archetype(units), keys).select(
         *keys, "archetype", "n_units", "boot_best", "p_value"
     )

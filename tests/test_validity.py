@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from helpers import day, labelled, one
 from pyspark.sql import functions as F
 
+from peerglass.functions.medians import best_of_medians_at
 from peerglass.operators import COMBO, WINDOW
 from peerglass.operators import panel as PN
 from peerglass.operators import validity as VA
@@ -30,7 +32,7 @@ def boot(spark, rows, value="margin", **kw):
     )
 
 
-@pytest.mark.parametrize("draws", ["xxhash64", "md5"])
+@pytest.mark.parametrize("draws", ["class", "xxhash64", "md5"])
 def test_bootstrap_without_skill(spark, draws):
     rows = [(a, d, "S", "t", 5) for a in "ABC" for d in range(4)]
     r = one(boot(spark, rows, n_boot=100, draws=draws))
@@ -54,8 +56,8 @@ def closed_form(units, pool, best):
     return 1.0 - miss
 
 
-@pytest.mark.parametrize("draws", ["xxhash64", "md5", "order_statistic"])
-def test_bootstrap_agrees_with_the_closed_form(spark, monkeypatch, draws):
+@pytest.mark.parametrize("draws", ["class", "xxhash64", "md5"])
+def test_bootstrap_agrees_with_the_closed_form(spark, draws):
     rng = random.Random(11)
     counts = {"A": 9, "B": 14, "C": 5, "D": 21}
     rows = [
@@ -64,11 +66,7 @@ def test_bootstrap_agrees_with_the_closed_form(spark, monkeypatch, draws):
         for d in range(c)
     ]
     n = 4000
-    if draws == "order_statistic":
-        monkeypatch.setattr(VA, "HASH_DRAWS", 0)
-        r = one(boot(spark, rows, n_boot=n, unbounded_units=True))
-    else:
-        r = one(boot(spark, rows, n_boot=n, draws=draws))
+    r = one(boot(spark, rows, n_boot=n, draws=draws))
     pool = [float(x[4]) for x in rows]
     best = max(sorted(float(x[4]) for x in rows if x[0] == a)[c // 2] for a, c in counts.items())
     want = closed_form(counts.values(), pool, best)
@@ -76,6 +74,23 @@ def test_bootstrap_agrees_with_the_closed_form(spark, monkeypatch, draws):
     assert abs(r["p_value"] - want) < 4 * math.sqrt(want * (1 - want) / n) + 1 / n
 
 
+def test_best_of_medians_against_the_binomial_tail():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 10, 91, 1500):
+        for m in (1, 7, 5000):
+            u = rng.uniform(size=20)
+            x = best_of_medians_at(u, np.full(20, n), np.full(20, m))
+            r = n // 2 + 1
+            for a, b in zip(u, x):
+                steps = [
+                    math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+                    + k * math.log(b) + (n - k) * math.log1p(-b)
+                    for k in range(n + 1)
+                ]
+                miss = sum(math.exp(s) for s in steps[:r])
+                assert abs(math.exp(m * math.log1p(-miss)) - a) < 2e-4
+
+
 def test_bootstrap_does_not_depend_on_partitioning(spark):
     rng = random.Random(5)
     rows = [(f"a{i}", d, "S", "t", rng.randrange(100)) for i in range(9) for d in range(6)]
@@ -93,7 +108,7 @@ def test_bootstrap_by_archetype_names_the_best(spark):
     rows += [(a, d, "S", "rest", 0) for a in "CDEF" for d in range(3)]
     rel, _ = rel_of(spark, rows)
     units = VA.archetype_units(rel)
-    r = one(VA.bootstrap_best_median(units, rel, keys=SEG, n_boot=200, unbounded_units=True))
+    r = one(VA.bootstrap_best_median(units, rel, keys=SEG, n_boot=200))
     assert r["n_units"] == 2 and r["p_value"] < 1.0
     assert one(VA.best_archetype(units))["archetype"] == "best"
 
