@@ -57,6 +57,25 @@ def best_of_medians_at(u: np.ndarray, draws: np.ndarray, members: np.ndarray) ->
     return np.minimum(out, _BELOW_ONE)
 
 
+def _log_factorials(n: int) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1, dtype=float)))])
+
+
+@F.pandas_udf(DoubleType())
+def binomial_upper_tail(n: pd.Series, least: pd.Series, p: pd.Series) -> pd.Series:
+    """Chance of ``least`` or more successes in n trials."""
+    log_f = _log_factorials(int(n.max())) if len(n) else None
+
+    def tail(trials: int, low: int, chance: float) -> float:
+        if chance <= 0.0 or chance >= 1.0:
+            return float(chance >= 1.0 or low <= 0)
+        k = np.arange(low, trials + 1)
+        log_term = log_f[trials] - log_f[k] - log_f[trials - k]
+        return min(float(np.exp(log_term + k * math.log(chance) + (trials - k) * math.log1p(-chance)).sum()), 1.0)
+
+    return pd.Series([tail(int(a), int(b), c) for a, b, c in zip(n, least, p, strict=True)], dtype="float64")
+
+
 @F.pandas_udf(DoubleType())
 def best_of_medians(u: pd.Series, draws: pd.Series, members: pd.Series) -> pd.Series:
     return pd.Series(best_of_medians_at(u.to_numpy(), draws.to_numpy(), members.to_numpy()))

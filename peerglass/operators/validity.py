@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peerglass.functions.medians import best_of_medians
+from peerglass.functions.medians import best_of_medians, binomial_upper_tail
 from peerglass.functions.normal import normal_cdf, normal_ppf
 from peerglass.functions.numeric import dec_round, upper_median
 from peerglass.operators import COMBO, WINDOW
@@ -193,6 +193,38 @@ def bootstrap_best_median(
     )
 
 
+def exact_p(units: DataFrame, pool: DataFrame, *, keys: list[str], value: str = "rel") -> DataFrame:
+    """What the bootstrap's p-value tends to with the number of replicates.
+
+    A unit's redrawn upper median lies below the best real one if more than half of
+    its draws do, a binomial tail in the pool's share below; units are independent.
+    """
+    best = units.groupBy(*keys).agg(F.max("level").alias("best"))
+    below = (
+        pool.join(best, keys)
+        .groupBy(*keys)
+        .agg(
+            F.count("*").alias("n_pool"),
+            F.max("best").alias("best"),
+            F.avg(F.when(F.col(value) < F.col("best"), 1.0).otherwise(0.0)).alias("x"),
+        )
+    )
+    log_miss = F.log(binomial_upper_tail(F.col("draws"), F.floor(F.col("draws") / 2) + 1, F.col("x")))
+    return (
+        units.join(below, keys)
+        .groupBy(*keys)
+        .agg(
+            F.count("*").alias("n_units"),
+            F.max("n_pool").alias("n_pool"),
+            dec_round(F.max("best"), 2).alias("boot_best"),
+            # Zero when some unit cannot lie below: the logarithm is then null.
+            F.when(F.count_if(log_miss.isNull()) > 0, 0.0).otherwise(F.exp(F.sum(log_miss))).alias("miss"),
+        )
+        .withColumn("p_exact", dec_round(1 - F.col("miss"), 3))
+        .drop("miss")
+    )
+
+
 def best_archetype(units: DataFrame) -> DataFrame:
     """Best unit of each segment; ties go to the one seen first."""
     order = Window.partitionBy(*WINDOW, "segment").orderBy(F.desc("level"), "first_key")

@@ -771,8 +771,11 @@ spots2 AS (SELECT window_id, segment, rel, row_number() OVER (PARTITION BY windo
 null2 AS (SELECT m.window_id, m.segment, s.rel AS v FROM max2 m JOIN sizes2 z USING (window_id, segment) JOIN spots2 s
  ON s.window_id = m.window_id AND s.segment = m.segment AND s.i = CAST(floor(m.u * z.n_pool) AS BIGINT))
 """ + f"""SELECT n.window_id, n.segment, b.unit AS archetype, (SELECT CAST(count(*) AS BIGINT) FROM units2 u WHERE u.window_id = n.window_id AND u.segment = n.segment) AS n_units,
- {O.R('max(level)')} AS boot_best, {O.R('(count(*) FILTER (WHERE v >= level) + 1) / 201.0', 4)} AS p_value
- FROM null2 n JOIN besta b ON b.window_id = n.window_id AND b.segment = n.segment GROUP BY n.window_id, n.segment, b.unit""",
+ CAST(max(z.n_pool) AS BIGINT) AS n_pool, CAST(200 AS BIGINT) AS n_boot, {O.R('max(level)')} AS boot_best,
+ {O.R('quantile_cont(v, 0.5)')} AS boot_null_p50, {O.R('quantile_cont(v, 0.95)')} AS boot_null_p95,
+ {O.R('(count(*) FILTER (WHERE v >= level) + 1) / 201.0', 4)} AS p_value, {O.R('count(*) FILTER (WHERE v <= level) * 100.0 / 200.0', 1)} AS boot_percentile
+ FROM null2 n JOIN besta b ON b.window_id = n.window_id AND b.segment = n.segment
+ JOIN sizes2 z ON z.window_id = n.window_id AND z.segment = n.segment GROUP BY n.window_id, n.segment, b.unit""",
 )
 def bootstrap_archetype(spark, sf):
     s = stored_study(events(spark, sf))
@@ -780,10 +783,31 @@ def bootstrap_archetype(spark, sf):
     keys = WINDOW + ["segment"]
     boot = VA.bootstrap_best_median(units, s.labelled, keys=keys, n_boot=200, draws=DRAWS)
     return boot.join(VA.best_archetype(units), keys).select(
-        *keys, "archetype", "n_units", "boot_best", "p_value"
+        *keys, "archetype", *[c for c in boot.columns if c not in keys]
     )
 
 
+# The chance that the best redrawn median reaches the real one, in closed form: a
+# median of n draws lies below a value of rank share x with the chance that more
+# than half of n draws do.
+@query(
+    "bootstrap_exact",
+    CH + _ARCH_UNITS.rstrip() + """,
+pooled AS (SELECT l.window_id, l.segment, count(*) AS n_pool, count(*) FILTER (WHERE rel < level) / count(*) AS x, max(level) AS level
+ FROM lab l JOIN besta b ON b.window_id = l.window_id AND b.segment = l.segment GROUP BY ALL),
+miss AS (SELECT u.window_id, u.segment, u.unit, any_value(n_pool) AS n_pool, any_value(p.level) AS best,
+  CASE any_value(x) WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 ELSE
+  list_sum(list_transform(range(any_value(draws) // 2 + 1, any_value(draws) + 1), lambda k: exp(lgamma(any_value(draws) + 1.0) - lgamma(k + 1.0)
+   - lgamma(any_value(draws) - k + 1.0) + k * ln(any_value(x)) + (any_value(draws) - k) * ln(1 - any_value(x))))) END AS f
+ FROM units2 u JOIN pooled p ON p.window_id = u.window_id AND p.segment = u.segment GROUP BY u.window_id, u.segment, u.unit)
+""" + f"""SELECT window_id, segment, CAST(count(*) AS BIGINT) AS n_units, CAST(max(n_pool) AS BIGINT) AS n_pool,
+ {O.R('max(best)')} AS boot_best, {O.R('1 - product(f)', 3)} AS p_exact FROM miss GROUP BY window_id, segment""",
+)
+def bootstrap_exact(spark, sf):
+    s = stored_study(events(spark, sf))
+    return VA.exact_p(VA.archetype_units(s.labelled), s.labelled, keys=WINDOW + ["segment"])
+
+
 _HOLD = f"""
 hs0 AS (SELECT {O.CMB}, agent_id, count(*) AS n_days, {O.UM('margin')} AS level, min(agent_id || '|' || CAST(day AS VARCHAR)) AS k FROM hold GROUP BY ALL),
 hs AS (SELECT h.*, row_number() OVER (PARTITION BY {O.CMB} ORDER BY level DESC, k) - 1 AS position, count(*) OVER (PARTITION BY {O.CMB}) AS n
@@ -907,7 +931,7 @@ class Orders:
         return ST.daily(self.market, self.settings, store=True)
 
 
-# The library draws with xxhash64; md5 draws are what plain SQL can repeat.
+# Registered queries draw with md5, which plain SQL can repeat; the library draws by class.
 DRAWS = "md5"
 
 
