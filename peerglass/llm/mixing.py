@@ -149,7 +149,7 @@ def apply_mix(documents: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id",
     again = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
     docs = documents.withColumn("_nth", F.row_number().over(again))
     mixed = mixed.where(F.col("taken") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("nth").alias("_at"), "copies"
+        F.col("doc_id").alias("_id"), F.col("nth").alias("_at"), F.col("copies").alias("_copies")
     )
     # The difference keeps the second equality from becoming a join key, so that
     # the dealing by id serves both.
@@ -157,5 +157,5 @@ def apply_mix(documents: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id",
         mixed, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_nth") - F.col("_at") == 0)
     )
     return met.withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
     ).select(*documents.columns)
