@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import RobustScaler, StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +14,7 @@ from peerglass.functions.shares import FEATURES
 from peerglass.operators import WINDOW
 from peerglass.sources.tables import durable
 
+NUMBERS = range(2, 11)  # of clusters that are tried where none is given
 CLUSTER_INPUTS = tuple(f"x_{f}" for f in FEATURES)
 
 
@@ -43,60 +41,6 @@ def cluster_inputs(
     return panel.withColumns(out)
 
 
-# ------------------------------------------------------------ one study
-def scaled_vectors(inputs: DataFrame, method: str = "standard") -> DataFrame:
-    """Scaled feature vector of one study."""
-    scaler = (
-        StandardScaler(inputCol="raw", outputCol="features", withMean=True)
-        if method == "standard"
-        else RobustScaler(inputCol="raw", outputCol="features", withCentering=True)
-    )
-    stages = [VectorAssembler(inputCols=list(CLUSTER_INPUTS), outputCol="raw"), scaler]
-    return Pipeline(stages=stages).fit(inputs).transform(inputs).drop("raw")
-
-
-def fit_kmeans(vectors: DataFrame, k: int = 5, seed: int = 42, n_init: int = 10, max_iter: int = 300):
-    """Best of ``n_init`` fits by cost; ``vectors`` should be a stored table."""
-    fits = [KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(vectors) for i in range(n_init)]
-    return min(fits, key=lambda m: m.summary.trainingCost)
-
-
-def assign_clusters(vectors: DataFrame, model) -> DataFrame:
-    return model.transform(vectors).withColumnRenamed("prediction", "cluster_id")
-
-
-def choose_k(
-    vectors: DataFrame,
-    k_min: int = 2,
-    k_max: int = 10,
-    seed: int = 42,
-    n_init: int = 10,
-    sample_rows: int | None = 5000,
-) -> list[dict]:
-    """Silhouette and cost per k on a repeatable hash sample of entity-days."""
-    n = vectors.count()
-    if sample_rows and sample_rows < n:
-        m = 1_000_000
-        key = F.xxhash64("agent_id", "day", F.lit(seed))
-        vectors = vectors.where(F.pmod(key, F.lit(m)) < F.lit(int(m * sample_rows / n)))
-        n = min(n, sample_rows)
-    evaluator = ClusteringEvaluator(predictionCol="cluster_id")
-    out = []
-    for k in range(k_min, k_max + 1):
-        if k >= n:
-            break
-        model = fit_kmeans(vectors, k, seed, n_init)
-        score = evaluator.evaluate(assign_clusters(vectors, model))
-        out.append({"k": k, "silhouette": round(score, 4), "cost": round(model.summary.trainingCost, 1)})
-    return out
-
-
-def best_k(results: list[dict]) -> int:
-    if not results:
-        raise ValueError("no k was evaluated")
-    return max(results, key=lambda r: r["silhouette"] if r["silhouette"] == r["silhouette"] else -1.0)["k"]
-
-
 # --------------------------------------------------- many windows at once
 def _standardised(inputs: DataFrame, keys: list[str]) -> DataFrame:
     """Z-scores per window; a constant feature becomes zero."""
@@ -132,84 +76,198 @@ def nearest_center(point: Column, centers: Column, size: int = len(CLUSTER_INPUT
     )
 
 
-def _farthest_first(points: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Deterministic starting centres: the first entity-day, then the farthest one.
+def _first_centers(points: DataFrame, keys: list[str], ks: list[int], starts: int) -> DataFrame:
+    """Starting centres (keys, k, start, centers): one entity-day, then the farthest ones.
 
-    Each step is one aggregate with map-side partials; the k centres of a window
-    travel as one row.
+    Starts differ in their first entity-day: the least one, then others by a hash.
+    Each step is one aggregate with map-side partials.
     """
-    first_key = F.struct("agent_id", "day")
-    centers = points.groupBy(*keys).agg(F.min_by("point", first_key).alias("p")).select(
-        *keys, F.array(F.struct(F.lit(0).alias("id"), F.col("p").alias("center"))).alias("centers")
+    firsts = [F.min_by("point", F.struct("agent_id", "day"))] + [
+        F.min_by("point", F.struct(F.xxhash64("agent_id", "day", F.lit(s)), "agent_id", "day"))
+        for s in range(1, starts)
+    ]
+    centers = (
+        points.groupBy(*keys)
+        .agg(F.array(*firsts).alias("p"))
+        .select(*keys, F.posexplode("p").alias("start", "p"))
+        .select(
+            *keys,
+            F.explode(F.array(*(F.lit(k) for k in ks))).alias("k"),
+            "start",
+            F.array(F.struct(F.lit(0).alias("id"), F.col("p").alias("center"))).alias("centers"),
+        )
     )
     centers = durable(centers, "centers")
-    for i in range(1, k):
+    for i in range(1, max(ks)):
         far = (
-            points.join(centers, keys)
+            points.join(centers.where(F.col("k") > i), keys)
             .withColumn("gap", nearest_center(F.col("point"), F.col("centers"))["gap"])
-            .groupBy(*keys)
+            .groupBy(*keys, "k", "start")
             .agg(
                 F.max("gap").alias("gap"),
                 F.max_by("point", F.struct("gap", "agent_id", "day")).alias("p"),
             )
         )
+        further = F.array(F.struct(F.lit(i).alias("id"), F.col("p").alias("center")))
         centers = durable(
-            centers.join(far, keys, "left").select(
-                *keys,
-                F.when(
-                    F.col("gap") > 0,
-                    F.concat(
-                        "centers",
-                        F.array(F.struct(F.lit(i).alias("id"), F.col("p").alias("center"))),
-                    ),
-                )
+            centers.join(far, [*keys, "k", "start"], "left").select(
+                *keys, "k", "start",
+                F.when(F.col("gap") > 0, F.concat("centers", further))
                 .otherwise(F.col("centers"))
                 .alias("centers"),
             ),
             "centers",
-        )
+        )
     return centers
 
 
-def grouped_kmeans(
-    inputs: DataFrame, k: int = 5, iterations: int = 10, keys: list[str] = WINDOW
+def _assigned(points: DataFrame, centers: DataFrame, keys: list[str]) -> DataFrame:
+    near = nearest_center(F.col("point"), F.col("centers"))
+    return points.join(centers, keys).withColumn("near", near).select(
+        *(c for c in points.columns), "k", "start", F.col("near.id").alias("id"), F.col("near.gap").alias("gap")
+    )
+
+
+def fitted_centers(
+    points: DataFrame, keys: list[str], ks: list[int], starts: int, max_steps: int
 ) -> DataFrame:
-    """K-means of every window in the same job: (keys, agent_id, day, cluster_id).
+    """(keys, k, centers, cost): the best of several starts, each moved until it rests.
 
-    A fixed number of Lloyd steps from deterministic centres.  Centres are a table
-    of k points per window; each step joins it to the points and averages per
-    (window, cluster) with map-side partials.  Centres are written after every
-    step, so the lineage stays one step long and a lost executor costs one step.
+    All windows, numbers of clusters and starts move in the same job. Those that
+    rest drop out of the next one. Points are not repeated: they meet the table of
+    centres, and only partial sums are shuffled.
     """
-    points = durable(_standardised(inputs, keys), "points")
-    centers = _farthest_first(points, keys, k)
+    moving, resting = _first_centers(points, keys, ks, starts), None
     size = len(CLUSTER_INPUTS)
-    for _ in range(iterations):
-        assigned = points.join(centers, keys).withColumn(
-            "id", nearest_center(F.col("point"), F.col("centers"))["id"]
-        )
-        # Rounded sums make the centres independent of the row order.
-        moved = assigned.groupBy(*keys, "id").agg(
-            *[
-                (F.sum(F.col("point")[i].cast("decimal(20,8)")).cast("double") / F.count(F.lit(1))).alias(f"c{i}")
-                for i in range(size)
-            ]
-        )
-        centers = durable(
-            moved.groupBy(*keys).agg(
+    by = [*keys, "k", "start"]
+    for _ in range(max_steps):
+        # Decimal sums make the centres independent of the row order.
+        moved = (
+            _assigned(points, moving, keys)
+            .groupBy(*by, "id")
+            .agg(
+                *[
+                    (F.sum(F.col("point")[i].cast("decimal(20,8)")).cast("double") / F.count(F.lit(1))).alias(f"c{i}")
+                    for i in range(size)
+                ]
+            )
+            .groupBy(*by)
+            .agg(
                 F.sort_array(
                     F.collect_list(
                         F.struct("id", F.array(*[F.col(f"c{i}") for i in range(size)]).alias("center"))
                     )
-                ).alias("centers")
-            ),
+                ).alias("now")
+            )
+        )
+        step = durable(
+            moving.join(moved, by).select(*by, F.col("now").alias("centers"), (F.col("now") == F.col("centers")).alias("rests")),
             "centers",
         )
-    return points.join(centers, keys).select(
-        *keys,
-        "agent_id",
-        "day",
-        nearest_center(F.col("point"), F.col("centers"))["id"].alias("cluster_id"),
+        rests = step.where("rests").drop("rests")
+        resting = rests if resting is None else resting.unionByName(rests)
+        moving = step.where("NOT rests").drop("rests")
+        if moving.isEmpty():
+            break
+    fitted = moving if resting is None else resting.unionByName(moving)
+    cost = _assigned(points, fitted, keys).groupBy(*by).agg(
+        F.sum(F.col("gap").cast("decimal(30,8)")).cast("double").alias("cost")
+    )
+    best = F.min_by(F.struct("centers", "cost"), F.struct("cost", "start")).alias("best")
+    return durable(
+        fitted.join(cost, by).groupBy(*keys, "k").agg(best).select(
+            *keys, "k", F.lit(0).alias("start"), F.col("best.centers").alias("centers"), F.col("best.cost").alias("cost")
+        ),
+        "centers",
+    )
+
+
+def grouped_kmeans(
+    inputs: DataFrame,
+    k: int | None = 5,
+    starts: int = 10,
+    max_steps: int = 300,
+    keys: list[str] = WINDOW,
+) -> DataFrame:
+    """K-means of every window in the same job: (keys, agent_id, day, cluster_id).
+
+    Without k every window gets the number of clusters of best quality.
+    """
+    points = durable(_standardised(inputs, keys), "points")
+    centers = fitted_centers(points, keys, [k] if k else list(NUMBERS), starts, max_steps)
+    if not k:
+        best = _quality(points, centers, keys).where("is_best").select(*keys, "k")
+        centers = centers.join(best, [*keys, "k"], "left_semi")
+    centers = centers.drop("cost")
+    return _assigned(points, centers, keys).select(
+        *keys, "agent_id", "day", F.col("id").alias("cluster_id")
+    )
+
+
+def cluster_quality(
+    inputs: DataFrame,
+    ks: Sequence[int] = NUMBERS,
+    starts: int = 10,
+    max_steps: int = 300,
+    keys: list[str] = WINDOW,
+) -> DataFrame:
+    """(keys, k, cost, silhouette, is_best) over all entity-days of every window.
+
+    The silhouette uses squared distances, whose mean to a cluster follows from the
+    cluster's size, sum and sum of squares; so it is linear in the points. The best
+    k has the greatest silhouette, ties going to fewer clusters; a k that is not
+    under the number of points is left out.
+    """
+    points = durable(_standardised(inputs, keys), "points")
+    return _quality(points, fitted_centers(points, keys, list(ks), starts, max_steps), keys)
+
+
+def _quality(points: DataFrame, centers: DataFrame, keys: list[str]) -> DataFrame:
+    enough = points.groupBy(*keys).agg(F.count("*").alias("n_points"))
+    centers = centers.join(enough, keys).where("k < n_points")
+    size = len(CLUSTER_INPUTS)
+    x = F.col("point")
+    square = reduce(lambda a, b: a + b, [x[i] * x[i] for i in range(size)])
+    assigned = _assigned(points, centers.drop("cost", "n_points"), keys).withColumn("square", square)
+    held = (
+        assigned.groupBy(*keys, "k", "id")
+        .agg(
+            F.count("*").alias("n"),
+            F.sum(F.col("square").cast("decimal(30,8)")).cast("double").alias("square"),
+            *[F.sum(x[i].cast("decimal(20,8)")).cast("double").alias(f"s{i}") for i in range(size)],
+        )
+        .groupBy(*keys, "k")
+        .agg(
+            F.collect_list(
+                F.struct("id", "n", "square", F.array(*[F.col(f"s{i}") for i in range(size)]).alias("sum"))
+            ).alias("clusters")
+        )
+    )
+
+    def gap(c: Column) -> Column:
+        """Sum of squared distances from the point to a cluster's points."""
+        cross = reduce(lambda a, b: a + b, [x[i] * c["sum"][i] for i in range(size)])
+        return F.greatest(c["n"] * F.col("square") + c["square"] - 2 * cross, F.lit(0.0))
+
+    own = F.filter("clusters", lambda c: c["id"] == F.col("id"))[0]
+    other = F.array_min(
+        F.transform(F.filter("clusters", lambda c: c["id"] != F.col("id")), lambda c: gap(c) / c["n"])
+    )
+    scored = assigned.join(held, [*keys, "k"]).select(
+        *keys, "k", own["n"].alias("n"), F.try_divide(gap(own), own["n"] - 1).alias("a"), other.alias("b")
+    )
+    width = F.when(F.col("n") == 1, 0.0).otherwise(
+        F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+    )
+    scores = scored.groupBy(*keys, "k").agg(
+        (F.sum(width.cast("decimal(20,10)")).cast("double") / F.count("*")).alias("silhouette")
+    )
+    table = centers.join(scores, [*keys, "k"]).select(
+        *keys, "k", dec_round(F.col("cost"), 1).alias("cost"), dec_round(F.col("silhouette"), 4).alias("silhouette")
+    )
+    best = table.groupBy(*keys).agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("best_k"))
+    return table.join(best, keys).select(
+        *keys, "k", "cost", "silhouette", (F.col("k") == F.col("best_k")).alias("is_best")
     )
 
 

@@ -75,13 +75,14 @@ def study(
     spans: DataFrame,
     labels: str = "rule",
     store: bool = False,
-    k: int = 5,
-    iterations: int = 10,
+    k: int | None = 5,
+    starts: int = 10,
 ) -> Study:
     """Label the entity-days of one phase of every window.
 
     ``labels="rule"`` names each entity-day by its own shares; ``"kmeans"``
-    clusters each window's entity-days and names the clusters by their means.
+    clusters each window's entity-days and names the clusters by their means;
+    without ``k`` every window gets its best number of clusters.
     """
     keep = durable if store else (lambda df, label: df)
     segmented = keep(population_of(d, market, settings, spans), "segments")
@@ -90,7 +91,7 @@ def study(
     profiles = None
     if labels == "kmeans":
         rows = keep(rows, "members")
-        assigned = CL.grouped_kmeans(CL.cluster_inputs(rows), k, iterations)
+        assigned = CL.grouped_kmeans(CL.cluster_inputs(rows), k, starts)
         rows = rows.join(assigned, WINDOW + ["agent_id", "day"])
         profiles = keep(CL.cluster_profiles(rows), "profiles")
         rows = CL.attach_archetypes(rows, profiles)

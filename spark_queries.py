@@ -1281,19 +1281,21 @@ def kmeans_profiles(spark, sf):
 def kmeans_best_k(spark, sf):
     """Cost and silhouette per k, for one study, on whole tables."""
     s = stored_study(events(spark, sf))
-    vectors = durable(
-        CL.scaled_vectors(CL.cluster_inputs(s.labelled)).select("agent_id", "day", "features"), "vectors"
-    )
-    results = CL.choose_k(vectors, 2, 6, n_init=2, sample_rows=None)
-    best = CL.best_k(results)
-    rows = [(r["k"], r["silhouette"], r["cost"], r["k"] == best) for r in results]
-    return spark.createDataFrame(rows, "k int, silhouette double, cost double, is_best boolean")
+    return CL.cluster_quality(CL.cluster_inputs(s.labelled))
+
+
+@query("kmeans_auto_profiles")
+def kmeans_auto_profiles(spark, sf):
+    """Profiles of the clusters of the best k."""
+    e = events(spark, sf)
+    d = ST.daily(e.market, e.settings, store=True)
+    return ST.study(d, e.market, e.settings, e.span("select"), labels="kmeans", store=True, k=None).profiles
 
 
 @query("window_scan_kmeans")
 def window_scan_kmeans(spark, sf):
     """The grid with every window clustered in the same job."""
-    o = orders(spark, sf, study=90, evald=7, step=90)
+    o = orders(spark, sf)
     s, ev = SN.scan_study(o.daily(), o.market, o.settings, o.windows, labels="kmeans")
     rows = SN.scan_leaders(s, ev, o.settings, o.windows, o.regime, o.levels)
     return SN.with_candidates(rows, o.settings).select(*_SCAN_COLS)

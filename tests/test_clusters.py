@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from helpers import day
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ def test_inputs_are_logged_then_clipped(inputs):
 
 
 def test_grouped_kmeans_finds_the_groups(inputs):
-    got = labels(CL.grouped_kmeans(inputs, k=3, iterations=4))
+    got = labels(CL.grouped_kmeans(inputs, k=3, starts=3))
     for w in ("w1", "w2"):
         by: dict = {}
         for win, agent, _, c in got:
@@ -56,33 +57,52 @@ def test_grouped_kmeans_finds_the_groups(inputs):
 
 
 def test_grouped_kmeans_does_not_depend_on_partitioning(inputs):
-    a = labels(CL.grouped_kmeans(inputs.repartition(1), k=3, iterations=3))
-    b = labels(CL.grouped_kmeans(inputs.repartition(7), k=3, iterations=3))
+    a = labels(CL.grouped_kmeans(inputs.repartition(1), k=3, starts=3))
+    b = labels(CL.grouped_kmeans(inputs.repartition(7), k=3, starts=3))
     assert a == b
 
 
 def test_grouped_kmeans_with_fewer_points_than_centres(inputs):
     few = inputs.where("window_id = 'w1'").limit(2)
-    assert {r[3] for r in labels(CL.grouped_kmeans(few, k=5, iterations=2))} == {0, 1}
-
-
-def test_single_study_kmeans(inputs):
-    one = inputs.where("window_id = 'w1'")
-    vectors = durable(CL.scaled_vectors(one).select("window_id", "agent_id", "day", "features"), "vectors")
-    model = CL.fit_kmeans(vectors, k=3, n_init=2)
-    got = labels(CL.assign_clusters(vectors, model))
-    assert len({(a[0], c) for _, a, _, c in got}) == 3
-    results = CL.choose_k(vectors, 2, 4, n_init=2, sample_rows=None)
-    assert CL.best_k(results) == 3
-    assert labels(CL.assign_clusters(vectors, CL.fit_kmeans(vectors, k=3, n_init=2))) == got
-    robust = CL.scaled_vectors(one, "robust")
-    assert robust.count() == 30
-
-
-def test_best_k_needs_results():
-    with pytest.raises(ValueError):
-        CL.best_k([])
-    assert CL.best_k([{"k": 2, "silhouette": float("nan")}, {"k": 3, "silhouette": 0.1}]) == 3
+    assert {r[3] for r in labels(CL.grouped_kmeans(few, k=5, starts=2))} == {0, 1}
+
+
+def plain_points(inputs, window):
+    """Z-scores of one window."""
+    rows = inputs.where(F.col("window_id") == window).select("agent_id", "day", *CL.CLUSTER_INPUTS).collect()
+    x = np.array([[r[c] for c in CL.CLUSTER_INPUTS] for r in rows])
+    s = x.std(axis=0)
+    return [(r["agent_id"], r["day"]) for r in rows], np.where(s > 0, (x - x.mean(axis=0)) / np.where(s > 0, s, 1), 0)
+
+
+def test_quality_against_plain_distances(inputs):
+    table = CL.cluster_quality(inputs, [2, 3, 4], starts=2)
+    got = {(r["window_id"], r["k"]): r for r in table.collect()}
+    assert {k for (w, k), r in got.items() if r["is_best"]} == {3} and len(got) == 6
+    of = {(w, a, d): c for w, a, d, c in labels(CL.grouped_kmeans(inputs, k=3, starts=2))}
+    names, x = plain_points(inputs, "w1")
+    label = np.array([of["w1", *n] for n in names])
+    gaps = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    widths = []
+    for i, c in enumerate(label):
+        mean = {o: gaps[i, label == o].sum() / ((label == o).sum() - (o == c)) for o in set(label)}
+        near = min(v for o, v in mean.items() if o != c)
+        widths.append((near - mean[c]) / max(near, mean[c]))
+    cost = sum(((x[label == c] - x[label == c].mean(axis=0)) ** 2).sum() for c in set(label))
+    assert got["w1", 3]["silhouette"] == pytest.approx(np.mean(widths), abs=1e-3)
+    assert got["w1", 3]["cost"] == pytest.approx(cost, abs=0.06)
+
+
+def test_centres_rest_and_starts_do_not_hurt(inputs):
+    points = durable(CL._standardised(inputs, ["window_id"]), "points")
+    one, many = (CL.fitted_centers(points, ["window_id"], [4], n, 300).collect() for n in (1, 6))
+    for a, b in zip(sorted(one), sorted(many)):
+        assert b["cost"] <= a["cost"]
+
+
+def test_best_number_is_used_where_none_is_given(inputs):
+    got = labels(CL.grouped_kmeans(inputs, k=None, starts=1))
+    assert {w: len({r[3] for r in got if r[0] == w}) for w in ("w1", "w2")} == {"w1": 3, "w2": 3}
 
 
 def test_profiles(inputs):
