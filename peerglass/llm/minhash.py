@@ -7,12 +7,12 @@ agree on all values of a band share a bucket; with the default of 40 bands of 4
 values, two documents of similarity 0.8 miss every bucket with a chance of 7e-10.
 
 Documents with the same set are one class from the start, so exact copies cost
-nothing further, however many. In each bucket all classes are compared with the
-least class; those found alike are joined. Buckets whose classes are not all in
-one component by then are taken up again with their next classes, 8, then 64, ...
-at a time, and only against classes of other components, until none is left. So
-no link inside a bucket is lost, groups of near copies cost about one comparison
-per member, and each comparison is exact, on the full sets.
+nothing further, however many. Classes that buckets connect form a group. Each
+group is compared, on the full sets, with its lead, the class with most bucket
+mates; those found alike are one component. Classes that stay outside are then
+compared with all others of their group, block by block, as products of their sets
+within tasks (see ``_across``), so no link inside a group is lost and no pairs are
+written out.
 
 Defined results: words are runs of anything but ASCII white space, with A-Z
 lower-cased; a text with fewer words than a shingle is one shingle; null text and
@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerglass.llm.components import roots
@@ -162,23 +162,6 @@ def _sets(documents: DataFrame, words: int) -> DataFrame:
     return documents.select("text").mapInArrow(run, "content binary, shingles array<long>")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of nodes, with whether their full sets are alike."""
-    of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    union = F.size("_a") + F.size("_b") - both
-    return (
-        pairs.join(of("b"), "b")
-        .join(of("a"), "a")
-        .select("a", "b", (100 * both.cast("long") >= threshold * union.cast("long")).alias("alike"))
-    )
-
-
-def _could(a: str, b: str, threshold: int):
-    """Sizes that allow the threshold at all."""
-    return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
-
-
 def near_duplicates(
     documents: DataFrame,
     *,
@@ -214,13 +197,9 @@ def near_duplicates(
     cells = classes.select(F.explode("buckets").alias("bucket"), "node", "n")
     shared = (
         cells.groupBy("bucket")
-        .agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("most"))
-        .where(F.col("lead.node") < F.col("most"))
-        .select(
-            F.col("bucket").alias("_bucket"),
-            F.col("lead.node").alias("lead"),
-            F.col("lead.n").alias("lead_n"),
-        )
+        .agg(F.min("node").alias("lead"), F.max("node").alias("most"), F.count("*").alias("size"))
+        .where("lead < most")
+        .select(F.col("bucket").alias("_bucket"), "lead", "size")
     )
     members = durable(
         cells.join(shared, F.col("bucket") == F.col("_bucket")).drop("_bucket"), "minhash-members"
@@ -245,6 +224,31 @@ def near_duplicates(
     )
 
 
+def _relabelled(labels: DataFrame | None, edges: DataFrame) -> DataFrame | None:
+    """Labels (node, root) after further edges (a, b) between nodes."""
+    if labels is not None:
+        for end in ("a", "b"):
+            look = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+            edges = (
+                edges.join(look, F.col(end) == F.col("_n"), "left")
+                .withColumn(end, F.coalesce("_r", end))
+                .drop("_n", "_r")
+            )
+    edges = durable(edges.where("a != b").distinct(), "minhash-alike")
+    if edges.isEmpty():
+        return labels
+    new = roots(edges)
+    if labels is None:
+        return new
+    look = new.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    return durable(
+        labels.join(look, F.col("root") == F.col("_n"), "left")
+        .select("node", F.coalesce("_r", "root").alias("root"))
+        .unionByName(new.join(labels, "node", "left_anti")),
+        "minhash-labels",
+    )
+
+
 def _join_alike(
     docs: DataFrame, classes: DataFrame, members: DataFrame, words: int, threshold: int
 ) -> DataFrame | None:
@@ -263,72 +267,132 @@ def _join_alike(
         .select("node", "shingles"),
         "minhash-sets",
     )
-    pairs = (
-        members.where((F.col("node") != F.col("lead")) & _could("n", "lead_n", threshold))
+    blobs = roots(
+        members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    )
+    groups = durable(
+        members.groupBy("node")
+        .agg(F.first("n").alias("n"), F.sum("size").alias("weight"))
+        .join(blobs, "node", "left")
+        .select(F.coalesce("root", "node").alias("group"), "node", "n", "weight"),
+        "minhash-groups",
+    )
+    leads = groups.groupBy("group").agg(F.max(F.struct("weight", "node")).alias("lead"))
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}"))
+    both = F.size(F.array_intersect("_node", "_lead")).cast("long")
+    pairs = groups.join(leads.select("group", F.col("lead.node").alias("lead")), "group").where(
+        "node != lead"
+    )
+    stars = (
+        pairs.join(of("node"), "node")
+        .join(of("lead"), "lead")
+        .where(100 * both >= threshold * (F.size("_node") + F.size("_lead") - both))
         .select(F.col("lead").alias("a"), F.col("node").alias("b"))
-        .distinct()
     )
-    tried = durable(_links(pairs, sets, threshold), "minhash-links")
-    alike = tried.where("alike").select("a", "b")
-    done, step, labels = 1, 8, None
-    while True:
-        fresh = durable(alike, "minhash-alike")
-        if not fresh.isEmpty():
-            new = roots(fresh)
-            if labels is None:
-                labels = new
-            else:
-                look = new.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-                labels = durable(
-                    labels.join(look, F.col("root") == F.col("_n"), "left")
-                    .select("node", F.coalesce("_r", "root").alias("root"))
-                    .unionByName(new.join(labels, "node", "left_anti")),
-                    "minhash-labels",
-                )
-        # Classes of buckets that still hold several components, in their order.
-        now = members.select("bucket", "node", "n")
-        if labels is not None:
-            now = now.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        else:
-            now = now.withColumn("root", F.col("node"))
-        open_buckets = (
-            now.groupBy("bucket")
-            .agg(F.min("root").alias("l"), F.max("root").alias("h"), F.count("*").alias("size"))
-            .where((F.col("l") < F.col("h")) & (F.col("size") > done + 1))
-            .select(F.col("bucket").alias("_bucket"))
-        )
-        order = Window.partitionBy("bucket").orderBy("node")
-        now = durable(
-            now.join(open_buckets, F.col("bucket") == F.col("_bucket"))
-            .drop("_bucket")
-            .withColumn("place", F.row_number().over(order)),
-            "minhash-open",
-        )
-        leads = now.where((F.col("place") > done) & (F.col("place") <= done + step)).select(
-            F.col("bucket").alias("_bucket"), F.col("node").alias("a"),
-            F.col("n").alias("a_n"), F.col("root").alias("a_root"),
-        )
-        pairs = (
-            now.join(leads, F.col("bucket") == F.col("_bucket"))
-            .where(
-                (F.col("node") > F.col("a"))
-                & (F.col("root") != F.col("a_root"))
-                & _could("n", "a_n", threshold)
-            )
-            .select("a", F.col("node").alias("b"), "root", "a_root")
-            .distinct()
+    labels = _relabelled(None, stars)
+    return _relabelled(labels, _across(groups, labels, sets, threshold))
+
+
+def _across(
+    groups: DataFrame, labels: DataFrame | None, sets: DataFrame, threshold: int
+) -> DataFrame:
+    """Links (a, b) between the components that a group falls into.
+
+    Classes outside the component of most bucket mates ("loose") are dealt to
+    blocks of bounded size, and so are the others of their group. Every two blocks
+    of which one is loose meet in a tile, which is one product of their sets and
+    gives no more links than it has classes.
+    """
+    root = F.col("node")
+    if labels is not None:
+        groups = groups.join(labels, "node", "left")
+        root = F.coalesce("root", "node")
+    groups = groups.withColumn("root", root)
+    main = (
+        groups.groupBy("group", "root")
+        .agg(F.sum("weight").alias("weight"), F.count("*").alias("size"), F.sum("n").alias("held"))
+        .groupBy("group")
+        .agg(
+            F.max(F.struct("weight", "root", "size", "held")).alias("main"),
+            F.sum("size").alias("size"), F.sum("held").alias("held"),
         )
-        untried = durable(
-            pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "minhash-pairs"
+        .where("size > main.size AND size > 2")
+        .select(
+            "group", F.col("main.root").alias("main"),
+            _blocks(F.col("size") - F.col("main.size"), F.col("held") - F.col("main.held")).alias("loose_blocks"),
+            _blocks(F.col("main.size"), F.col("main.held")).alias("main_blocks"),
         )
-        if now.isEmpty():
-            return labels
-        found = durable(_links(untried.select("a", "b"), sets, threshold), "minhash-links")
-        tried = tried.unionByName(found)
-        # Links between components, in terms of their roots.
-        alike = (
-            found.where("alike")
-            .join(untried, ["a", "b"])
-            .select(F.col("a_root").alias("a"), F.col("root").alias("b"))
+    )
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    dealt = groups.join(main, "group").withColumn("loose", F.col("root") != F.col("main"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("loose"), F.col("loose_blocks")).otherwise(F.col("main_blocks")))
+    dealt = durable(dealt.withColumn("own", own), "minhash-dealt")
+    tile = lambda kind, i, j: F.struct(
+        F.lit(kind).alias("kind"), i.cast("long").alias("i"), j.cast("long").alias("j")
+    )
+    ours = F.col("own")
+    tiles = F.when(
+        F.col("loose"),
+        F.concat(
+            F.transform(every("loose_blocks"), lambda j: tile("loose", F.least(ours, j), F.greatest(ours, j))),
+            F.transform(every("main_blocks"), lambda j: tile("main", ours, j)),
+        ),
+    ).otherwise(F.transform(every("loose_blocks"), lambda i: tile("main", i, ours)))
+    met = (
+        dealt.select("group", "node", "root", "loose", F.explode(tiles).alias("tile"))
+        .join(sets, "node")
+        .select("group", "tile.*", "node", "root", "loose", "shingles")
+    )
+    return met.groupBy("group", "kind", "i", "j").applyInArrow(
+        _linked(threshold), "a long, b long"
+    )
+
+
+def _blocks(size, held, classes: int = 256, shingles: int = 2**19):
+    return F.greatest(F.ceil(size / classes), F.ceil(held / shingles), F.lit(1)).cast("long")
+
+
+def _linked(threshold: int, columns: int = 4096):
+    def run(tile: pa.Table) -> pa.Table:
+        node, root = tile.column("node").to_numpy(), tile.column("root").to_numpy()
+        sets = tile.column("shingles").combine_chunks()
+        size = pc.list_value_length(sets).to_numpy().astype(np.int64)
+        of = np.repeat(np.arange(len(node)), size)
+        shingle, place, count = np.unique(
+            pc.list_flatten(sets).to_numpy(), return_inverse=True, return_counts=True
         )
-        done, step = done + step, step * 8
+        both = np.zeros((len(node), len(node)), dtype=np.float32)
+        shared = count[place] > 1
+        of, place = of[shared], place[shared]
+        order = np.argsort(place, kind="stable")
+        of, place = of[order], place[order]
+        for at in range(0, len(shingle), columns):
+            a, b = np.searchsorted(place, (at, at + columns))
+            if a < b:
+                has = np.zeros((len(node), columns), dtype=np.float32)
+                has[of[a:b], place[a:b] - at] = 1
+                both += has @ has.T
+        union = size[:, None] + size[None, :] - both
+        alike = (100 * both >= threshold * union) & (root[:, None] != root[None, :])
+        return pa.table(_forest(node, root, *np.nonzero(np.triu(alike))))
+
+    return run
+
+
+def _forest(node: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.ndarray) -> dict:
+    """Links enough to join the components that the given links join."""
+    top = {int(r): int(r) for r in np.unique(root)}
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    out: dict[str, list[int]] = {"a": [], "b": []}
+    for i, j in zip(left, right, strict=True):
+        x, y = find(int(root[i])), find(int(root[j]))
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            out["a"].append(int(node[i]))
+            out["b"].append(int(node[j]))
+    return {k: pa.array(v, pa.int64()) for k, v in out.items()}
