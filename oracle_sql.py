@@ -107,18 +107,20 @@ reservoirs AS (SELECT CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderstatus
 
 
 def event_spans():
-    w = PX.EVENT_WINDOW
-    rows = ", ".join(
-        f"('{w['window_id']}', '{p}', DATE '{w[p][0]}', DATE '{w[p][1]}')"
-        for p in ("study", "select", "holdout", "eval")
-    )
-    return f"spans(window_id, phase, start_day, end_day) AS (VALUES {rows})"
+    n, w = PX.EVENT_EVAL_DAYS, PX.EVENT_WINDOW_ID
+    day = lambda k: f"CAST(b - INTERVAL {k} DAY AS DATE)"
+    return f"""
+ends AS (SELECT min(day) AS a, max(day) AS b FROM prices),
+spans AS (SELECT '{w}' AS window_id, 'study' AS phase, a AS start_day, {day(n)} AS end_day FROM ends
+  UNION ALL SELECT '{w}', 'select', a, {day(n + 2)} FROM ends
+  UNION ALL SELECT '{w}', 'holdout', {day(n + 1)}, {day(n)} FROM ends
+  UNION ALL SELECT '{w}', 'eval', {day(n - 1)}, b FROM ends)"""
 
 
 def order_spans(study=90, evald=7, step=30, holdout=2):
     return f"""
-grid AS (SELECT CAST(s AS DATE) AS study_start FROM (SELECT max(day) AS last_day FROM prices) e,
-  LATERAL (SELECT unnest(generate_series(DATE '{PX.ORDER_FIRST_DAY}',
+grid AS (SELECT CAST(s AS DATE) AS study_start FROM (SELECT min(day) AS first_day, max(day) AS last_day FROM prices) e,
+  LATERAL (SELECT unnest(generate_series(e.first_day,
     CAST(e.last_day - INTERVAL {study + evald - 1} DAY AS DATE), INTERVAL {step} DAY)) AS s)),
 windows AS (SELECT CAST(study_start AS VARCHAR) AS window_id, study_start,
   CAST(study_start + INTERVAL {study - 1} DAY AS DATE) AS study_end,
@@ -511,7 +513,7 @@ gated AS (SELECT *, V1_bootstrap AND V2_n_effective AND V4_replication AND V5_ds
 
 
 def event_chain(**kw):
-    return chain(EVENTS, event_spans(), PX.EVENT_BINS, PX.EVENT_SIZES, activities=PX.EVENT_ACTIVITIES, **kw)
+    return chain(EVENTS, event_spans(), PX.EVENT_BINS, PX.EVENT_SIZES, **kw)
 
 
 def walk_spans(study=30, evald=7, steps=6, holdout=2):

@@ -76,8 +76,6 @@ def archetype_segment_matrix(ranking_by_segment: DataFrame) -> DataFrame:
 
 def rank_histogram(ranking: DataFrame, k: int) -> DataFrame:
     """Days at each rank 1..k per cluster, zeros included."""
-    return (
-        ranking.where(F.col("rank") <= k)
-        .groupBy(*WINDOW, "cluster_id")
-        .agg(*[F.count_if(F.col("rank") == r).alias(f"rank_{r}") for r in range(1, k + 1)])
+    return ranking.groupBy(*WINDOW, "cluster_id").agg(
+        *[F.count_if(F.col("rank") == r).alias(f"rank_{r}") for r in range(1, k + 1)]
     )

@@ -2,61 +2,67 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerglass.functions.numeric import dec_round
 from peerglass.params import Gates
 
-# Gate columns, in the order of their printed detail.
-GATES = (
-    "E1_beats_segment",
-    "E2_no_kill_switch",
-    "E3_expected_value",
-    "E4_capacity",
-    "V1_bootstrap",
-    "V2_n_effective",
-    "V3_holdout",
-    "V4_replication",
-    "V5_dsr",
+@dataclass(frozen=True)
+class Gate:
+    """One pass/fail test: a metric against a threshold, and what a null counts as."""
+
+    name: str
+    metric: str
+    test: str  # "<=", ">=" or "not" (a flag that must be down)
+    threshold: str | None  # field of Gates
+    null_passes: bool
+    needed_for: str  # the verdict it counts towards: cheap, full or economic
+
+
+# The tests, their thresholds (see params.Gates) and their null rules.
+GATE_TABLE = (
+    Gate("E1_beats_segment", "pct_beats_segment", ">=", "min_pct_beats_segment", False, "economic"),
+    Gate("E2_no_kill_switch", "kill_switch", "not", None, True, "economic"),
+    Gate("E3_expected_value", "ev_history", ">=", "min_expected_value", False, "economic"),
+    Gate("E4_capacity", "over_capacity", "not", None, False, "economic"),
+    Gate("V1_bootstrap", "p_value", "<=", "alpha", False, "cheap"),
+    Gate("V2_n_effective", "n_effective", ">=", "min_n_effective", False, "cheap"),
+    Gate("V3_holdout", "persistence", ">=", "min_persistence", True, "full"),
+    Gate("V4_replication", "replication_ratio", ">=", "min_replication", False, "cheap"),
+    Gate("V5_dsr", "dsr", ">=", "min_dsr", False, "cheap"),
 )
+GATES = tuple(g.name for g in GATE_TABLE)
 
 
-def _passes(cond: Column, missing: bool = False) -> Column:
-    return F.coalesce(cond, F.lit(missing))
+def _passed(gate: Gate, limits: Gates) -> Column:
+    value = F.col(gate.metric)
+    if gate.test == "not":
+        met = ~value
+    else:
+        limit = F.lit(getattr(limits, gate.threshold))
+        met = value <= limit if gate.test == "<=" else value >= limit
+    return F.coalesce(met, F.lit(gate.null_passes))
 
 
 def evaluate_gates(rows: DataFrame, g: Gates) -> DataFrame:
-    """Nine gates and five verdicts.
-
-    A missing metric fails its gate, except that a holdout that was not run and a
-    missing kill switch pass.
-    """
-    c = F.col
-    gates = {
-        "V1_bootstrap": _passes(c("p_value") <= g.alpha),
-        "V2_n_effective": F.coalesce(c("n_effective"), F.lit(0)) >= g.min_n_effective,
-        "V3_holdout": _passes(c("persistence") >= g.min_persistence, True),
-        "V4_replication": _passes(c("replication_ratio") >= g.min_replication),
-        "V5_dsr": _passes(c("dsr") >= g.min_dsr),
-        "E1_beats_segment": _passes(c("pct_beats_segment") >= g.min_pct_beats_segment),
-        "E2_no_kill_switch": ~F.coalesce(c("kill_switch"), F.lit(False)),
-        "E3_expected_value": _passes(c("ev_history") >= g.min_expected_value),
-        "E4_capacity": ~F.coalesce(c("over_capacity"), F.lit(True)),
-    }
-    cheap = c("V1_bootstrap") & c("V2_n_effective") & c("V4_replication") & c("V5_dsr")
-    economic = (
-        c("E1_beats_segment") & c("E2_no_kill_switch") & c("E3_expected_value") & c("E4_capacity")
-    )
-    return (
-        rows.withColumns(gates)
-        .withColumns({"n1_cheap": cheap, "n1_full": cheap & c("V3_holdout"), "n2": economic})
-        .withColumns(
-            {
-                "valid_cheap": c("n1_cheap") & c("n2"),
-                "valid_final": c("n1_full") & c("n2"),
-            }
-        )
+    """A column per gate of the table, and the verdicts that all gates of a kind make."""
+
+    def every(*kinds: str) -> Column:
+        return reduce(and_, (F.col(x.name) for x in GATE_TABLE if x.needed_for in kinds))
+
+    return rows.withColumns({x.name: _passed(x, g) for x in GATE_TABLE}).withColumns(
+        {
+            "n1_cheap": every("cheap"),
+            "n1_full": every("cheap", "full"),
+            "n2": every("economic"),
+            "valid_cheap": every("cheap", "economic"),
+            "valid_final": every("cheap", "full", "economic"),
+        }
     )
 
 
@@ -107,6 +113,7 @@ def to_confirm(rows: DataFrame, max_confirm: int, near: int) -> DataFrame:
     )
 
 
+# Fixed values.
 KPI_LEVELS = {
     # metric: (ok threshold, warn threshold, higher is better)
     "follower_median": (0.0, None, True),

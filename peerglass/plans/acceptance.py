@@ -146,21 +146,30 @@ def power_study(
     labels: str = "rule",
     n_boot: int = 2000,
     n_boot_cross: int = 1000,
+    long_days: int = 365,
 ) -> DataFrame:
     """Do the p-values hold with more replicates and with a pool across segments?
 
-    ``cases`` has one row per (window_id, start_day, end_day, segment, archetype).
+    ``cases`` has one row per (window_id, start_day, end_day, segment, archetype);
+    those without an entity leave. Cases of ``long_days`` or more get fewer
+    replicates and no pool across segments.
     """
     spans = cases.select(*WINDOW, F.lit("study").alias("phase"), "start_day", "end_day").distinct()
     s = ST.study(d, market, settings, spans, labels, store=True)
-    wanted = cases.select(*COMBO)
+    is_long = F.datediff("end_day", "start_day") + 1 >= long_days
     stats = durable(PN.entity_stats(s.labelled), "stats")
-    mine = AS._targets(stats, wanted)
-    fine = SN.leader_bootstrap(
-        replace(s, labelled=AS._targets(s.labelled, wanted)), mine, settings, n_boot
-    )
+
+    def boot(some: DataFrame, b: int) -> DataFrame:
+        wanted = some.select(*COMBO)
+        mine = AS._targets(stats, wanted)
+        pool = replace(s, labelled=AS._targets(s.labelled, wanted))
+        found = SN.leader_bootstrap(pool, mine, settings, b)
+        return found.select(*COMBO, "n_units", F.col("p_value").alias("p_fine"))
+
+    short = cases.where(~is_long)
+    fine = boot(short, n_boot).unionByName(boot(cases.where(is_long), n_boot_cross))
     cross = VA.bootstrap_best_median(
-        VA.bootstrap_units(mine, settings.selection.relative),
+        VA.bootstrap_units(AS._targets(stats, short.select(*COMBO)), settings.selection.relative),
         s.labelled,
         pool_keys=WINDOW + ["archetype"],
         value="rel" if settings.selection.relative else "margin",
@@ -168,11 +177,8 @@ def power_study(
         seed=settings.selection.seed,
         draws=settings.selection.draws,
     )
-    return (
-        cases.join(
-            fine.select(*COMBO, "n_units", F.col("p_value").alias("p_fine")), COMBO, "left"
-        )
-        .join(cross.select(*COMBO, F.col("p_value").alias("p_cross")), COMBO, "left")
+    return cases.join(fine, COMBO).join(
+        cross.select(*COMBO, F.col("p_value").alias("p_cross")), COMBO, "left"
     )
 
 

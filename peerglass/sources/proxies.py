@@ -35,14 +35,7 @@ EVENT_BINS = SpreadBins(
     )
 )
 EVENT_SIZES = SizeRule(large_min=4.0, medium_min=3.0, per_days=30)
-EVENT_WINDOW = {
-    "window_id": "w1",
-    "study": ("2024-01-01", "2024-01-23"),
-    "select": ("2024-01-01", "2024-01-21"),
-    "holdout": ("2024-01-22", "2024-01-23"),
-    "eval": ("2024-01-24", "2024-01-30"),
-}
-EVENT_ACTIVITIES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+EVENT_WINDOW_ID, EVENT_EVAL_DAYS = "w1", 7  # one window over all days; the last ones are for eval
 
 ORDER_BINS = SpreadBins(
     (
@@ -56,11 +49,10 @@ ORDER_BINS = SpreadBins(
 ORDER_SIZES = SizeRule(large_min=0.65, medium_min=0.5, per_days=90)
 # Order lines are sparse, so an entity plays an archetype on few days of a window.
 ORDER_SELECTION = Selection(min_presence_pct=5.0)
-ORDER_FIRST_DAY = "1995-01-02"
 
 
 def event_settings(**changes) -> Settings:
-    return Settings(sizes=EVENT_SIZES, bins=EVENT_BINS, activities=EVENT_ACTIVITIES, **changes)
+    return Settings(sizes=EVENT_SIZES, bins=EVENT_BINS, **changes)
 
 
 def order_settings(**changes) -> Settings:

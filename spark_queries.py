@@ -25,7 +25,7 @@ from peerglass.operators import selection as SE
 from peerglass.operators import series as SR
 from peerglass.operators import validity as VA
 from peerglass.operators import windows as WN
-from peerglass.params import Selection
+from peerglass.params import ARCHETYPES, Selection
 from peerglass.plans import acceptance as AC
 from peerglass.plans import assess as AS
 from peerglass.plans import replay as RP
@@ -98,18 +98,9 @@ class Events:
 def events(spark, sf_dir, **changes) -> Events:
     market = PX.from_events(spark, sf_dir)
     settings = PX.event_settings(**changes)
-    w = PX.EVENT_WINDOW
-    windows = WN.windows_frame(
-        spark,
-        [
-            {
-                "window_id": w["window_id"],
-                "study_start": w["study"][0],
-                "study_end": w["study"][1],
-                "eval_start": w["eval"][0],
-                "eval_end": w["eval"][1],
-            }
-        ],
+    edges = WN.data_edges(market.prices)
+    windows = durable(
+        WN.window_at_end(edges, None, PX.EVENT_EVAL_DAYS, PX.EVENT_WINDOW_ID), "windows"
     )
     return Events(market, settings, ST.daily(market, settings), windows, WN.phase_spans(windows, 2))
 
@@ -942,7 +933,7 @@ def repeatable(settings):
 
 def orders(spark, sf_dir, study=90, evald=7, step=30, **changes) -> Orders:
     market = PX.from_orders(spark, sf_dir)
-    edges = WN.data_edges(market.prices, PX.ORDER_FIRST_DAY)
+    edges = WN.data_edges(market.prices)
     return Orders(
         market,
         repeatable(PX.order_settings(**changes)),
@@ -959,7 +950,7 @@ _GRID = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in ("study_start", "study
 @query("window_grid", sel(f"window_id, {_GRID}", "windows", ch=OC))
 def window_grid(spark, sf):
     market = PX.from_orders(spark, sf)
-    return WN.window_grid(WN.data_edges(market.prices, PX.ORDER_FIRST_DAY), 90, 7, 30)
+    return WN.window_grid(WN.data_edges(market.prices), 90, 7, 30)
 
 
 @query(
@@ -975,7 +966,7 @@ def window_grid(spark, sf):
 def window_join(spark, sf):
     market = PX.from_orders(spark, sf)
     settings = PX.order_settings()
-    grid = WN.window_grid(WN.data_edges(market.prices, PX.ORDER_FIRST_DAY), 90, 7, 30)
+    grid = WN.window_grid(WN.data_edges(market.prices), 90, 7, 30)
     rows = WN.by_window(
         ST.daily(market, settings).panel, WN.phase_days(WN.phase_spans(grid, 2))
     )
@@ -1002,7 +993,7 @@ def window_join(spark, sf):
 )
 def walk_forward_grid(spark, sf):
     market = PX.from_orders(spark, sf)
-    edges = WN.data_edges(market.prices, PX.ORDER_FIRST_DAY)
+    edges = WN.data_edges(market.prices)
     return WN.walk_forward_grid(edges, 30, 7, 6).select("step", "study_start", "eval_end")
 
 
@@ -1157,7 +1148,7 @@ def walk_forward(spark, sf):
     market = PX.from_orders(spark, sf)
     settings = repeatable(PX.order_settings())
     settings = replace(settings, policy=replace(settings.policy, weighted=True))
-    edges = WN.data_edges(market.prices, PX.ORDER_FIRST_DAY)
+    edges = WN.data_edges(market.prices)
     windows = durable(WN.walk_forward_grid(edges, 30, 7, 6), "windows")
     rows = AS.walk_forward(
         ST.daily(market, settings, store=True),
@@ -1196,35 +1187,25 @@ def weekly(spark, sf):
     return out["verdict"]
 
 
-_CASES = [
-    ("c1", "1996-01-01", "1996-03-31", "SMALL", "Comercializador regulado"),
-    ("c2", "1998-04-25", "1998-07-23", "MEDIUM", "Trader no regulado"),
-    ("c3", "2000-03-11", "2000-06-08", "SMALL", "Integrado/regional regulado"),
-    ("c4", "1997-01-01", "1997-12-31", "SMALL", "Comercializador regulado"),
-]
-
-
 @query("power")
 def power(spark, sf):
+    """Every segment and archetype of a window a year, and of the first whole year."""
     market = PX.from_orders(spark, sf)
     settings = PX.order_settings()
-    cases = spark.range(1).select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(w).alias("window_id"),
-                        F.lit(a).cast("date").alias("start_day"),
-                        F.lit(b).cast("date").alias("end_day"),
-                        F.lit(g).alias("segment"),
-                        F.lit(n).alias("archetype"),
-                    )
-                    for w, a, b, g, n in _CASES
-                ]
-            )
-        )
+    edges = WN.data_edges(market.prices)
+    windows = WN.window_grid(edges, 90, 7, 365).unionByName(
+        WN.window_grid(edges, 365, 7, 100_000).withColumn("window_id", F.concat_ws("+", "window_id", F.lit("365")))
+    )
+    sizes = ("LARGE", "MEDIUM", "SMALL")
+    named = [
+        F.explode(F.array(*map(F.lit, names))).alias(c)
+        for c, names in (("segment", sizes), ("archetype", ARCHETYPES))
+    ]
+    cases = (
+        windows.select("window_id", F.col("study_start").alias("start_day"), F.col("study_end").alias("end_day"), named[0])
+        .select("*", named[1])
     )
-    return AC.power_study(ST.daily(market, settings, store=True), market, settings, cases)
+    return AC.power_study(ST.daily(market, settings, store=True), market, settings, durable(cases, "cases"))
 
 
 @query("alternatives")

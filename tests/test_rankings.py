@@ -100,26 +100,27 @@ def study(spark, rows, **kw):
     return rel, SE.leaders(PN.entity_stats(rel), PN.study_days(bench), Selection(**kw))
 
 
-ABS = [("EXP", 0, "S", "t", 10), ("EXP", 1, "S", "t", 11), ("EXP", 2, "S", "t", 12), ("OTRO", 0, "S", "t", 5), ("OTRO", 1, "S", "t", 5)]
+ABS = [("long", d, "S", "t", m) for d, m in enumerate((3, 9, 4, 8))] + [("short", d, "S", "t", 2) for d in range(2)]
 
 
 def test_leaders_absolute(spark):
     _, top = study(spark, ABS, top=1, min_presence_pct=0.0, relative=False)
     r = one(top)
-    assert (r["agent_id"], r["median_margin"], r["n_days"], r["relative_median"]) == ("EXP", 11.0, 3, 0.0)
-    _, all_ = study(spark, ABS, top=5, min_presence_pct=100.0, relative=False)
-    assert [r["agent_id"] for r in all_.collect()] == ["EXP"]
+    assert (r["agent_id"], r["median_margin"], r["n_days"], r["relative_median"]) == ("long", 8.0, 4, 0.0)
+    _, all_ = study(spark, ABS, top=5, min_presence_pct=75.0, relative=False)
+    assert [r["agent_id"] for r in all_.collect()] == ["long"]
 
 
 def test_leaders_relative_beats_absolute(spark):
-    rows = [("A", 0, "S", "t", 1000), ("B", 1, "S", "t", 150), ("B", 2, "S", "t", 150)]
-    rows += [("C", 0, "S", "o", 1000), ("D", 0, "S", "o", 1000)]
-    rows += [(a, d, "S", "o", 80) for a in "CD" for d in (1, 2)]
+    """One entity was there on a day that was good for all, the other beats its days."""
+    rows = [("lucky", 0, "S", "t", 640), ("able", 1, "S", "t", 45), ("able", 2, "S", "t", 45)]
+    rows += [(a, 0, "S", "o", 640) for a in ("p", "q")]
+    rows += [(a, d, "S", "o", 20) for a in ("p", "q") for d in (1, 2)]
     _, absolute = study(spark, rows, top=1, min_presence_pct=0.0, relative=False)
-    assert [r["agent_id"] for r in absolute.where("archetype = 't'").collect()] == ["A"]
+    assert [r["agent_id"] for r in absolute.where("archetype = 't'").collect()] == ["lucky"]
     _, relative = study(spark, rows, top=1, min_presence_pct=0.0)
     r = one(relative.where("archetype = 't'"))
-    assert (r["agent_id"], r["relative_median"], r["pct_above_segment"]) == ("B", 70.0, 100.0)
+    assert (r["agent_id"], r["relative_median"], r["pct_above_segment"]) == ("able", 25.0, 100.0)
 
 
 def test_leaders_do_not_depend_on_partitioning(spark):
@@ -163,10 +164,10 @@ def test_selection_sensitivity(spark):
     bench = PN.segment_day_benchmark(rel)
     got = SE.selection_sensitivity(PN.entity_stats(rel), PN.study_days(bench), (1, 3), (10.0, 100.0))
     by = {(r["top"], r["min_presence_pct"]): r["codes"] for r in got.collect()}
-    assert by == {(1, 10.0): ["EXP"], (3, 10.0): ["EXP", "OTRO"], (1, 100.0): ["EXP"], (3, 100.0): ["EXP"]}
+    assert by == {(1, 10.0): ["long"], (3, 10.0): ["long", "short"], (1, 100.0): ["long"], (3, 100.0): ["long"]}
 
 
 def test_leader_weights(spark):
     _, top = study(spark, ABS, min_presence_pct=0.0)
     w = {r["agent_id"]: r["weight"] for r in SE.leader_weights(top).collect()}
-    assert abs(sum(w.values()) - 1) < 1e-12 and w["EXP"] > w["OTRO"]
+    assert abs(sum(w.values()) - 1) < 1e-12 and w["long"] > w["short"]

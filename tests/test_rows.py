@@ -19,7 +19,7 @@ M = MarginModel()
 
 
 def test_segment_thresholds(spark):
-    totals = [7403.4, 2000.0, 1999.9, 1645.2, 100.0, 99.9, 0.1]
+    totals = [31000.0, 2000.0, 1999.99, 412.5, 100.0, 99.99, 3.2]
     df = spark.createDataFrame([(t,) for t in totals], "t double")
     got = [r[0] for r in df.select(SG.segment_of(F.col("t"), SizeRule())).collect()]
     assert got == ["LARGE"] * 2 + ["MEDIUM"] * 3 + ["SMALL"] * 2
@@ -35,20 +35,20 @@ def test_segment_thresholds_scale_with_the_window(spark):
 def test_population_and_summary(spark):
     pop = spark.createDataFrame(
         [
-            ("w", "AAA", "A", 5000.0, 3000.0, 2000.0),
-            ("w", "BBB", "B", 500.0, 500.0, 0.0),
-            ("w", "CCC", "C", 50.0, None, 50.0),
+            ("w", "north", "N", 2400.0, 600.0, 1800.0),
+            ("w", "east", "E", 540.0, 540.0, 0.0),
+            ("w", "west", "W", 60.0, None, 60.0),
         ],
         "window_id string, agent_id string, name string, total_gwh double, reg_gwh double, unreg_gwh double",
     )
     seg = SG.segment_population(pop, SizeRule())
     by = {r["agent_id"]: r for r in seg.collect()}
-    assert [by[a]["segment"] for a in ("AAA", "BBB", "CCC")] == ["LARGE", "MEDIUM", "SMALL"]
-    assert by["AAA"]["pct_unreg"] == 40.0 and by["CCC"]["pct_reg"] == 0.0
+    assert [by[a]["segment"] for a in ("north", "east", "west")] == ["LARGE", "MEDIUM", "SMALL"]
+    assert by["north"]["pct_unreg"] == 75.0 and by["west"]["pct_reg"] == 0.0
     summary = {r["segment"]: r for r in SG.segment_summary(seg, SizeRule()).collect()}
-    assert summary["LARGE"]["market_share_pct"] == 90.1
-    assert summary["SMALL"]["market_share_pct"] == 0.9
-    assert summary["LARGE"]["unreg_gwh"] == 2000.0
+    assert summary["LARGE"]["market_share_pct"] == 80.0
+    assert summary["SMALL"]["market_share_pct"] == 2.0
+    assert summary["LARGE"]["unreg_gwh"] == 1800.0
 
 
 def test_summary_keeps_empty_segments(spark):
@@ -62,15 +62,15 @@ def test_summary_keeps_empty_segments(spark):
 
 def test_features(spark):
     rows = [
-        dict(agent_id="A", day=day(0), demand=1e6, demand_reg=6e5, demand_unreg=4e5, buy_contract=9e5,
-             buy_contract_reg=5e5, buy_spot=1e5, buy_auction=2.5e5),
-        dict(agent_id="B", day=day(0), demand=100.0, demand_unreg=100.0, buy_spot=100.0),
-        dict(agent_id="C", day=day(0), demand=100.0, demand_reg=100.0, buy_contract_reg=10.0, buy_auction=1000.0),
+        dict(agent_id="A", day=day(0), demand=8e5, demand_reg=2e5, demand_unreg=6e5, buy_contract=4e5,
+             buy_contract_reg=1.6e5, buy_spot=2e5, buy_auction=4e4),
+        dict(agent_id="B", day=day(0), demand=70.0, demand_unreg=70.0, buy_spot=70.0),
+        dict(agent_id="C", day=day(0), demand=50.0, demand_reg=50.0, buy_contract_reg=8.0, buy_auction=90.0),
     ]
     got = {r["agent_id"]: r for r in PN.with_features(panel(spark, rows), M).collect()}
     a = got["A"]
-    assert (a["pct_unregulated"], a["pct_contract"], a["pct_spot"], a["pct_auction"]) == (40.0, 90.0, 10.0, 50.0)
-    assert a["has_auction"] == 1.0 and a["log_demand"] == round(math.log1p(1.0), 4)
+    assert (a["pct_unregulated"], a["pct_contract"], a["pct_spot"], a["pct_auction"]) == (75.0, 50.0, 25.0, 25.0)
+    assert a["has_auction"] == 1.0 and a["log_demand"] == round(math.log1p(0.8), 4)
     assert (got["B"]["pct_auction"], got["B"]["has_auction"], got["B"]["pct_unregulated"]) == (0.0, 0.0, 100.0)
     assert got["C"]["pct_auction"] == 100.0
 
