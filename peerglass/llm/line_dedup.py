@@ -88,6 +88,18 @@ def _templates(
     )
 
 
+def _sieved(rows: DataFrame, wanted: DataFrame, slots: int = 2**18) -> DataFrame:
+    """Rows whose leaf may be among the wanted ones.
+
+    What is broadcast is the set of slots that wanted leaves hash to, at most
+    ``slots`` numbers. With very many wanted leaves it lets all rows pass, and the
+    join after it does the work.
+    """
+    slot = F.pmod(F.xxhash64("leaf"), F.lit(slots)).alias("_slot")
+    taken = F.broadcast(wanted.select(slot).distinct())
+    return rows.withColumn("_slot", slot).join(taken, "_slot", "left_semi").drop("_slot")
+
+
 def drop_recurring_lines(
     documents: DataFrame,
     *,
@@ -100,9 +112,16 @@ def drop_recurring_lines(
 ) -> DataFrame:
     """The documents with recurring lines dropped, and n_lines, n_dropped (0 for null text)."""
     keyed = _keyed(documents, id_col, text_col, depth)
-    lines = durable(keyed.drop("body"), "line-keys")
+    every = durable(keyed.drop("body"), "line-keys")
+    # Most lines stand alone in their leaf; they leave before anything is sorted by document.
+    shared = every.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    lines = durable(
+        _sieved(every, shared).join(shared.select("leaf"), "leaf", "left_semi"), "line-shared"
+    )
     in_doc = lines.groupBy("leaf", "kind", "doc", "mark").agg(F.min("line_no").alias("line_no"))
-    kinds = in_doc.groupBy("leaf", "kind").agg(F.count("*").alias("docs"))
+    kinds = in_doc.groupBy("leaf", "kind").agg(
+        F.count("*").alias("docs"), F.min(F.struct("doc", "mark", "line_no")).alias("of")
+    )
     leaves = (
         kinds.groupBy("leaf")
         .agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("leaf_kinds"))
@@ -110,16 +129,11 @@ def drop_recurring_lines(
     )
     # Kinds of line in leaves that can recur at all.
     able = durable(kinds.join(leaves, "leaf"), "line-kinds")
-    mixed = able.where("leaf_kinds > 1")
-    wanted = durable(
-        mixed.join(in_doc, ["leaf", "kind"])
-        .groupBy("leaf", "kind", "docs")
-        .agg(F.min(F.struct("doc", "mark", "line_no")).alias("of"))
-        .select("leaf", "kind", "docs", "of.doc", "of.mark", "of.line_no"),
-        "line-examples",
-    )
+    wanted = able.where("leaf_kinds > 1").select("leaf", "kind", "docs", "of.*")
     bodies = join_same(
-        keyed.select("doc", "mark", "line_no", "body"), wanted, ["doc", "mark", "line_no"]
+        _sieved(keyed, wanted).select("doc", "mark", "line_no", "body"),
+        wanted,
+        ["doc", "mark", "line_no"],
     ).dropDuplicates(["leaf", "kind"])
     wider = _templates(bodies.select("leaf", "kind", "body", "docs"), min_docs, similarity)
     named = able.select("leaf", "kind").join(wider, ["leaf", "kind"], "left").select(
@@ -148,10 +162,11 @@ def drop_recurring_lines(
         .groupBy(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"))
         .agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
     )
-    docs = documents.withColumn("_lines", F.split(text_col, "\n"))
-    met = docs.join(
-        masks, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.xxhash64(text_col) == F.col("_mark")), "left"
-    )
+    met = documents.join(
+        masks,
+        F.col(id_col).eqNullSafe(F.col("_doc")) & (F.xxhash64(text_col) == F.col("_mark")),
+        "left",
+    ).withColumn("_lines", F.split(text_col, "\n"))
     return met.select(
         *(c for c in documents.columns if c != text_col),
         F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(_without("_lines", "gone")).alias(text_col),
