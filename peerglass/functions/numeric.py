@@ -29,12 +29,6 @@ def upper_median(column: str, where: str | None = None) -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {column} DESC){tail}")
 
 
-def exact_mean(column: str | Column) -> Column:
-    """Mean of two-decimal values; the decimal sum does not depend on row order."""
-    c = F.col(column) if isinstance(column, str) else column
-    return F.try_divide(F.sum(c.cast(MONEY)).cast("double"), F.count(c))
-
-
 def pct(count: Column, total: Column, places: int = 1) -> Column:
     return dec_round(F.try_divide(count * F.lit(100.0), total), places)
 

@@ -139,11 +139,11 @@ def _only_wanted_buckets(hist: DataFrame, keys: list[str], kinds: list) -> DataF
 def median_profile(
     df: DataFrame, keys: list[str], features: list[str], kind: str = "med", count: str = "n_days"
 ) -> DataFrame:
-    """Per-group median of several two-decimal features in one pass."""
+    """Per-group median of several features in one pass."""
     long = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(
         keys, features, "_feature", "_value"
     )
-    stats = order_stats(long, keys + ["_feature"], "_value", {"_m": kind}, count="_k")
+    stats = order_stats(long, keys + ["_feature"], "_value", {"_m": kind}, count="_k", coarse=True)
     return stats.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_feature") == f, F.col("_m"))).alias(f) for f in features],
         F.max("_k").alias(count),

@@ -32,11 +32,6 @@ def with_performance(panel: DataFrame, model: MarginModel, full: bool = False) -
     return out.withColumn("margin", clip_margin(F.col("margin"), model.margin_clip))
 
 
-def outside_model(panel: DataFrame) -> DataFrame:
-    """Entity-days whose demand has no logarithm: to be counted, not fed on."""
-    return panel.where(F.col("demand") <= -1e6)
-
-
 def label_by_rule(panel: DataFrame) -> DataFrame:
     """Archetype of each entity-day from its own shares, without clustering."""
     c = F.col

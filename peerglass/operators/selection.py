@@ -43,15 +43,6 @@ def leaders(stats: DataFrame, days: DataFrame, sel: Selection) -> DataFrame:
     return picked.withColumn("relative_median", zero).withColumn("pct_above_segment", zero)
 
 
-def only_combo(df: DataFrame, segment: str | None, archetype: str | None) -> DataFrame:
-    """Rows of one requested combination; names match loosely."""
-    if segment is not None:
-        df = df.where(F.col("segment") == F.lit(segment))
-    if archetype is not None:
-        df = df.where(name_key(F.col("archetype")) == F.lit(archetype.strip().lower()))
-    return df
-
-
 def combo_ranking(leaders_rel: DataFrame) -> DataFrame:
     """Level of each combination's leaders; leaders are at most ``top`` rows."""
     return leaders_rel.groupBy(*COMBO).agg(
@@ -200,7 +191,7 @@ def winners_by_bin(labelled_rel: DataFrame, bins: SpreadBins) -> DataFrame:
         .groupBy(*keys)
         .agg(F.min("_key").alias("_key"), F.max("archetype").alias("archetype"))
     )
-    medians = order_stats(levels, keys, "rel", {"relative_median": "um"})
+    medians = order_stats(levels, keys, "rel", {"relative_median": "um"}, coarse=True)
     order = Window.partitionBy(*WINDOW, "segment", "bin").orderBy(F.desc("relative_median"), "_key")
     return (
         medians.join(first_seen, keys)

@@ -39,7 +39,7 @@ def archetype_units(labelled_rel: DataFrame, value: str = "rel") -> DataFrame:
     first = labelled_rel.groupBy(*keys).agg(
         F.min(F.concat_ws("|", "agent_id", F.col("day").cast("string"))).alias("first_key")
     )
-    stats = order_stats(labelled_rel, keys, value, {"level": "um"}, count="draws")
+    stats = order_stats(labelled_rel, keys, value, {"level": "um"}, count="draws", coarse=True)
     return stats.join(first, keys).withColumnRenamed("archetype", "unit")
 
 

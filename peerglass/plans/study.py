@@ -16,7 +16,7 @@ from peerglass.operators import segments as SG
 from peerglass.operators import windows as WN
 from peerglass.params import Settings
 from peerglass.sources.proxies import Market
-from peerglass.sources.tables import durable
+from peerglass.sources.tables import between, durable
 
 
 @dataclass(frozen=True)
@@ -38,13 +38,25 @@ class Study:
     profiles: DataFrame | None = None
 
 
-def daily(market: Market, settings: Settings, store: bool = False) -> Daily:
+def daily(
+    market: Market, settings: Settings, store: bool = False, windows: DataFrame | None = None
+) -> Daily:
     """Roll the fact up to days and derive features and margin, once.
 
     With ``store`` the two tables are written to the shared folder; everything
-    after that reads days, never hours.
+    after that reads days, never hours. With ``windows`` (a short table of start
+    and end days) only the hours between the first and the last of their days are
+    read.
     """
-    volumes = RU.daily_volumes(market.hourly)
+    hourly = market.hourly
+    if windows is not None:
+        days = [c for c in windows.columns if c.endswith(("_start", "_end", "_day"))]
+        ends = windows.agg(
+            F.min(F.least(*days)).alias("first"), F.date_add(F.max(F.greatest(*days)), 1).alias("end")
+        ).first()
+        if ends["first"] is not None:
+            hourly = between(hourly, ends["first"], ends["end"])
+    volumes = RU.daily_volumes(hourly)
     if store:
         volumes = durable(volumes, "volumes")
     panel = RU.entity_days(volumes, market.agents, market.prices, settings.activities)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,8 +111,26 @@ def workspace(spark: SparkSession) -> str:
     return folder
 
 
-# Stored tables of this process, for ``release``.
-_WRITTEN: list[str] = []
+# Stored tables of the run that is under way, if one is.
+_RUN: ContextVar[list[str] | None] = ContextVar("stored_tables", default=None)
+
+
+@contextmanager
+def stored_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end what was stored within; save results before.
+
+    Runs may be nested or go on side by side: each deletes its own tables only.
+    """
+    paths: list[str] = []
+    token = _RUN.set(paths)
+    try:
+        yield paths
+    finally:
+        _RUN.reset(token)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for name in paths:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def durable(df: DataFrame, label: str, folder: str | None = None, **options: str) -> DataFrame:
@@ -122,15 +143,6 @@ def durable(df: DataFrame, label: str, folder: str | None = None, **options: str
     spark = df.sparkSession
     path = f"{(folder or workspace(spark)).rstrip('/')}/peerglass/{label}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    _WRITTEN.append(path)
+    if (run := _RUN.get()) is not None:
+        run.append(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> int:
-    """Delete the tables this process has stored; call it once results are saved."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    gone = 0
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        gone += bool(path.getFileSystem(conf).delete(path, True))
-    return gone

@@ -102,7 +102,7 @@ def events(spark, sf_dir, **changes) -> Events:
     windows = durable(
         WN.window_at_end(edges, None, PX.EVENT_EVAL_DAYS, PX.EVENT_WINDOW_ID), "windows"
     )
-    return Events(market, settings, ST.daily(market, settings), windows, WN.phase_spans(windows, 2))
+    return Events(market, settings, ST.daily(market, settings, store=True), windows, WN.phase_spans(windows, 2))
 
 
 def with_leaders(e: Events, store: bool = False):
@@ -1021,6 +1021,15 @@ def window_scan(spark, sf):
     return order_scan(spark, sf)[1].select(*_SCAN_COLS)
 
 
+@query(
+    "scan_top",
+    OC + O.scan_sql(200)
+    + f"SELECT {_SCAN} FROM gated ORDER BY p_value NULLS FIRST, relative_top DESC NULLS LAST, window_id, segment, archetype LIMIT 20",
+)
+def scan_top(spark, sf):
+    return SC.top_combinations(order_scan(spark, sf)[1]).select(*_SCAN_COLS)
+
+
 @query(
     "gate_pass_rates",
     OC + O.scan_sql(200)
@@ -1151,7 +1160,7 @@ def walk_forward(spark, sf):
     edges = WN.data_edges(market.prices)
     windows = durable(WN.walk_forward_grid(edges, 30, 7, 6), "windows")
     rows = AS.walk_forward(
-        ST.daily(market, settings, store=True),
+        ST.daily(market, settings, True, windows),
         market,
         settings,
         windows,
@@ -1164,6 +1173,15 @@ def walk_forward(spark, sf):
     )
 
 
+@query(
+    "walk_forward_levels",
+    f"SELECT segment, archetype, count(*) AS steps, {O.UM('replication_ratio', 'replication_ratio IS NOT NULL')} AS ratio_median, "
+    f"{O.UM('dsr', 'dsr IS NOT NULL')} AS dsr_median FROM ({ORACLES['walk_forward']}) GROUP BY segment, archetype",
+)
+def walk_forward_levels(spark, sf):
+    return AS.walk_forward_levels(walk_forward(spark, sf))
+
+
 @query("acceptance")
 def acceptance(spark, sf):
     o = orders(spark, sf)
@@ -1171,20 +1189,45 @@ def acceptance(spark, sf):
     return SK.confirmed_table(out["confirmed"], ("mode",))
 
 
-@query("weekly")
-def weekly(spark, sf):
+def weekly_tables(spark, sf):
     e = events(spark, sf)
-    out = AC.weekly(
-        ST.daily(e.market, e.settings, store=True),
+    return AC.weekly(
+        e.daily,
         e.market,
-        e.settings,
+        repeatable(e.settings),
         e.windows,
         SR.regime_total(e.market.prices),
         "SMALL",
         "Comercializador mixto",
         RU.reservoir_level(e.market.reservoirs),
     )
-    return out["verdict"]
+
+
+@query("weekly")
+def weekly(spark, sf):
+    return weekly_tables(spark, sf)["verdict"]
+
+
+@query("weekly_series")
+def weekly_series(spark, sf):
+    """Daily margins of the eval with their drawdown."""
+    return SK.weekly_table(weekly_tables(spark, sf)["series"], WINDOW)
+
+
+@query("weekly_kpis")
+def weekly_kpis(spark, sf):
+    """Traffic lights."""
+    return weekly_tables(spark, sf)["kpis"]
+
+
+@query("weekly_regime")
+def weekly_regime(spark, sf):
+    return weekly_tables(spark, sf)["regime"]
+
+
+@query("weekly_profile")
+def weekly_profile(spark, sf):
+    return weekly_tables(spark, sf)["profile"]
 
 
 @query("power")
@@ -1205,7 +1248,8 @@ def power(spark, sf):
         windows.select("window_id", F.col("study_start").alias("start_day"), F.col("study_end").alias("end_day"), named[0])
         .select("*", named[1])
     )
-    return AC.power_study(ST.daily(market, settings, store=True), market, settings, durable(cases, "cases"))
+    cases = durable(cases, "cases")
+    return AC.power_study(ST.daily(market, settings, True, cases), market, settings, cases)
 
 
 @query("alternatives")

@@ -17,8 +17,10 @@ from peerglass.params import SpreadBins
 from peerglass.plans import acceptance as AC
 from peerglass.plans import assess as AS
 from peerglass.plans import study as ST
+from peerglass.sources import proxies as PX
 from peerglass.sources import sinks as SK
 from peerglass.sources import tables as TB
+from peerglass.sources.tables import durable, stored_tables
 from tools.check import TABLES, rows_of
 
 
@@ -31,7 +33,8 @@ def test_time_filter_reaches_the_scan(spark, sf_dir):
 
 
 def test_rollup_reads_only_what_it_needs(spark, sf_dir):
-    plan = Q.events(spark, sf_dir).daily.volumes.select("agent_id", "day", "demand")
+    volumes = ST.daily(PX.from_events(spark, sf_dir), PX.event_settings()).volumes
+    plan = volumes.select("agent_id", "day", "demand")
     text = plan._jdf.queryExecution().toString()
     assert "ReadSchema: struct<ts:timestamp" in text and "props" not in text.split("== Physical Plan ==")[1]
 
@@ -200,3 +203,25 @@ def test_query_matches_its_sql_twin(spark, sf_dir, twin, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_daily_reads_the_hours_of_the_windows_only(spark, sf_dir):
+    market = PX.from_orders(spark, sf_dir)
+    grid = WN.window_grid(WN.data_edges(market.prices), 90, 7, 365).limit(1)
+    d = ST.daily(market, PX.order_settings(), windows=grid)
+    plan = d.volumes._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters"):].split("]")[0]
+    assert "GreaterThanOrEqual(l_shipdate" in pushed and "LessThan(l_shipdate" in pushed
+    w = grid.first()
+    days = d.volumes.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+    assert w["study_start"] <= days["a"] and days["b"] <= w["eval_end"]
+
+
+def test_stored_tables_go_with_their_run(spark):
+    outer = durable(spark.range(3), "kept")
+    with stored_tables(spark) as paths:
+        inner = durable(spark.range(4), "gone")
+        assert inner.count() == 4 and len(paths) == 1
+    assert outer.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(paths[0]).count()
