@@ -32,22 +32,30 @@ VARIABLE = "<*>"
 
 
 def body_of(line: Column) -> Column:
-    """The line's tokens between single spaces, variable ones masked."""
-    spaced = F.trim(F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " "))
-    masked = F.regexp_replace(spaced, "[^ ]*[0-9][^ ]*", VARIABLE)
-    return F.when(spaced.rlike("[0-9]"), masked).otherwise(spaced)
+    """The line's tokens between single spaces, variable ones masked.
+
+    Lines without digits, and without white space to mend, are not rewritten.
+    """
+    masked = F.when(
+        line.rlike("[0-9]"),
+        F.regexp_replace(
+            line, "[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*", VARIABLE
+        ),
+    ).otherwise(line)
+    spaced = F.trim(F.regexp_replace(masked, "[\\x20\\x09-\\x0D]+", " "))
+    return F.when(line.rlike("[\\x09-\\x0D]|  |^ | $"), spaced).otherwise(masked)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
     """A row per line with a token: document, line number, leaf, tokens, hash of the tokens."""
+    # Bodies are made before the explode, so that they are made once, whatever reads them.
     lines = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc"),
         F.xxhash64(text_col).alias("mark"),
-        F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"),
+        F.posexplode(F.transform(F.split(text_col, "\n"), body_of)).alias("line_no", "body"),
     )
-    body = lines.select("doc", "mark", "line_no", body_of(F.col("line")).alias("body"))
     n = F.length("body") - F.length(F.replace("body", F.lit(" "), F.lit(""))) + 1
-    return body.where("body != ''").select(
+    return lines.where("body != ''").select(
         "doc",
         "mark",
         "line_no",
