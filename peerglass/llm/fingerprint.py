@@ -184,25 +184,26 @@ def fingerprint_with_next(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the document that waits for its next one
         for batch in batches:
-            out = []
-            for doc_id, text, lent in zip(
-                *(batch.column(c).to_pylist() for c in ("doc_id", "text", "lent")),
-                strict=True,
-            ):
-                if lent and held is None:
-                    continue
-                doc = _Read(doc_id, text, k, s)
-                if held is not None:
-                    out.append(_compared(held, doc, k, s))
-                held = None if lent else doc
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, f.type) for v, f in zip(zip(*out), _FIELDS)], schema=_FIELDS
-                )
+            for at in range(0, batch.num_rows, _ROWS):
+                part, out = batch.slice(at, _ROWS), []
+                for doc_id, text, lent in zip(
+                    *(part.column(c).to_pylist() for c in ("doc_id", "text", "lent")), strict=True
+                ):
+                    if lent and held is None:
+                        continue
+                    doc = _Read(doc_id, text, k, s)
+                    if held is not None:
+                        out.append(_compared(held, doc, k, s))
+                    held = None if lent else doc
+                if out:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(v, f.type) for v, f in zip(zip(*out), _FIELDS)], schema=_FIELDS
+                    )
 
     return dealt.mapInArrow(run, SCHEMA)
 
 
+_ROWS = 256  # results that are held before they are passed on
 _FIELDS = pa.schema(
     [
         (name, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[kind])
