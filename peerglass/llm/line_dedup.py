@@ -5,7 +5,8 @@ are variable and read ``<*>``. The tree has a fixed depth: the number of tokens,
 then the first ``depth`` tokens. In each leaf a token is kept at its position if at
 least ``min_docs`` documents have it there, and generalised to ``<*>`` if not. A
 line whose kept tokens make up at least ``similarity`` of all is an instance of the
-resulting template; other lines stand for themselves. Templates found in at least
+resulting template; other lines stand for themselves, unmasked if their masked form
+has too few constant tokens. Templates found in at least
 ``min_docs`` documents recur, and their lines are dropped, except for the first
 (least document id) unless ``keep_first`` is false.
 
@@ -46,21 +47,34 @@ def body_of(line: Column) -> Column:
     return F.when(line.rlike("[\\x09-\\x0D]|  |^ | $"), spaced).otherwise(masked)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
-    """A row per line with a token: document, line number, leaf, tokens, hash of the tokens."""
+def _keyed(
+    docs: DataFrame, id_col: str, text_col: str, depth: int, similarity: float
+) -> DataFrame:
+    """A row per line with a token: document, line number, leaf, tokens, hash of the tokens.
+
+    A line with too few constant tokens for any template is hashed unmasked.
+    """
     # Bodies are made before the explode, so that they are made once, whatever reads them.
     lines = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc"),
         F.xxhash64(text_col).alias("mark"),
-        F.posexplode(F.transform(F.split(text_col, "\n"), body_of)).alias("line_no", "body"),
-    )
+        F.posexplode(
+            F.transform(
+                F.split(text_col, "\n"), lambda x: F.struct(body_of(x).alias("body"), x.alias("line"))
+            )
+        ).alias("line_no", "_of"),
+    ).select("doc", "mark", "line_no", "_of.*")
+    variable = F.size(F.filter(F.split("body", " "), lambda t: t == VARIABLE))
     n = F.length("body") - F.length(F.replace("body", F.lit(" "), F.lit(""))) + 1
     return lines.where("body != ''").select(
         "doc",
         "mark",
         "line_no",
         F.xxhash64(n, F.substring_index("body", " ", depth)).alias("leaf"),
-        F.xxhash64("body").alias("kind"),
+        F.when(
+            F.contains("body", F.lit(VARIABLE)) & (n - variable < similarity * n),
+            F.xxhash64(F.trim(F.regexp_replace("line", "[\\x20\\x09-\\x0D]+", " "))),
+        ).otherwise(F.xxhash64("body")).alias("kind"),
         "body",
     )
 
@@ -119,7 +133,7 @@ def drop_recurring_lines(
     text_col: str = "text",
 ) -> DataFrame:
     """The documents with recurring lines dropped, and n_lines, n_dropped (0 for null text)."""
-    keyed = _keyed(documents, id_col, text_col, depth)
+    keyed = _keyed(documents, id_col, text_col, depth, similarity)
     every = durable(keyed.drop("body"), "line-keys")
     # Most lines stand alone in their leaf; they leave before anything is sorted by document.
     shared = every.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)

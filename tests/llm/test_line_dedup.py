@@ -58,3 +58,10 @@ def test_repeated_rows_and_clashing_columns(docs_of):
 def test_body(spark):
     df = spark.createDataFrame([("  a\tb1 c ",), ("",), ("7",)], "line string")
     assert [r[0] for r in df.select(body_of(F.col("line"))).collect()] == ["a <*> c", "", "<*>"]
+
+
+def test_lines_of_variable_tokens_stand_for_themselves(docs_of):
+    rows = [(i, f"{i}.5 {i + 1} {i * 7}\n\u6587\u5b57{i}\u6bb5\u843d\u3002\nhttp://x.org/{i}\n12 34") for i in range(6)]
+    got = run(docs_of(rows), min_docs=5)
+    assert got[0].n_dropped == 0
+    assert all(got[i].text == rows[i][1].removesuffix("\n12 34") and got[i].n_dropped == 1 for i in range(1, 6))
