@@ -6,7 +6,9 @@ then the first ``depth`` tokens. In each leaf a token is kept at its position if
 least ``min_docs`` documents have it there, and generalised to ``<*>`` if not. A
 line whose kept tokens make up at least ``similarity`` of all is an instance of the
 resulting template; other lines stand for themselves, unmasked if their masked form
-has too few constant tokens. Templates found in at least
+has too few constant tokens. A line whose template does not recur is tried with wider
+ones, in which a kept token also has a share (``SHARES``) of its leaf's documents, so
+that a field's values are generalised however many documents each has. Templates found in at least
 ``min_docs`` documents recur, and their lines are dropped, except for the first
 (least document id) unless ``keep_first`` is false.
 
@@ -30,6 +32,7 @@ from peerglass.llm.prefix import join_same
 from peerglass.sources.tables import durable
 
 VARIABLE = "<*>"
+SHARES = (0.001, 0.01, 0.1)  # of a leaf's documents, for lines whose finer template does not recur
 
 
 def body_of(line: Column) -> Column:
@@ -79,36 +82,47 @@ def _keyed(
     )
 
 
-def _templates(
-    bodies: DataFrame, min_docs: int, similarity: float
-) -> DataFrame:
-    """(leaf, kind, template) of kinds of line that are instances of a wider template.
+def _templates(bodies: DataFrame, min_docs: int, similarity: float) -> DataFrame:
+    """(leaf, kind, level, template) of kinds of line that are instances of wider templates.
 
-    ``bodies``: leaf, kind, body, docs. Tokens are counted by (leaf, position,
-    token), so that a leaf with very many lines is spread over its tokens.
+    ``bodies``: leaf, kind, body, docs, leaf_docs. Tokens are counted by (leaf,
+    position, token), so that a leaf with very many lines is spread over its tokens.
+    Level 0 asks for ``min_docs`` documents, those after it for shares of the leaf's;
+    a level that repeats the template of the one before it is left out.
     """
     tokens = bodies.select(
-        "leaf", "kind", "docs", F.posexplode(F.split("body", " ")).alias("at", "token")
+        "leaf", "kind", "docs", "leaf_docs", F.posexplode(F.split("body", " ")).alias("at", "token")
     )
     held = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("in_docs"))
-    constant = (F.col("in_docs") >= min_docs) & (F.col("token") != VARIABLE)
-    word = F.when(constant, F.col("token")).otherwise(VARIABLE)
-    return (
+    # The highest level at which the token is constant; -1 at none.
+    enough = F.col("in_docs") >= min_docs
+    level = F.when(~enough | (F.col("token") == VARIABLE), -1)
+    for i, share in reversed(list(enumerate(SHARES, 1))):
+        level = level.when(F.col("in_docs") >= share * F.col("leaf_docs"), i)
+    seen = (
         tokens.join(held, ["leaf", "at", "token"])
+        .withColumn("upto", level.otherwise(0))
         .groupBy("leaf", "kind")
         .agg(
-            F.xxhash64(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("at", word.alias("word")))),
-                    lambda x: x["word"],
-                )
-            ).alias("template"),
-            F.avg(F.when(constant, 1.0).otherwise(0.0)).alias("kept"),
+            F.array_sort(F.collect_list(F.struct("at", "token", "upto"))).alias("words"),
+            *(
+                F.avg(F.when(F.col("upto") >= i, 1.0).otherwise(0.0)).alias(f"kept{i}")
+                for i in range(len(SHARES) + 1)
+            ),
         )
-        .where(F.col("kept") >= similarity)
-        .select("leaf", "kind", "template")
+        .where(F.col("kept0") >= similarity)
     )
 
+    def at_level(i: int) -> Column:
+        words = F.transform(
+            "words", lambda x: F.when(x["upto"] >= i, x["token"]).otherwise(VARIABLE)
+        )
+        new = (F.col(f"kept{i}") >= similarity) & (F.col(f"kept{i}") < F.col(f"kept{i - 1}")) if i else F.lit(True)
+        return F.when(new, F.struct(F.lit(i).alias("level"), F.xxhash64(words).alias("template")))
+
+    levels = F.array_compact(F.array(*(at_level(i) for i in range(len(SHARES) + 1))))
+    return seen.select("leaf", "kind", F.inline(levels))
+
 
 def _sieved(rows: DataFrame, wanted: DataFrame, slots: int = 2**18) -> DataFrame:
     """Rows whose leaf may be among the wanted ones.
@@ -151,16 +165,18 @@ def drop_recurring_lines(
     )
     # Kinds of line in leaves that can recur at all.
     able = durable(kinds.join(leaves, "leaf"), "line-kinds")
-    wanted = able.where("leaf_kinds > 1").select("leaf", "kind", "docs", "of.*")
+    wanted = able.where("leaf_kinds > 1").select("leaf", "kind", "docs", "leaf_docs", "of.*")
     bodies = join_same(
         _sieved(keyed, wanted).select("doc", "mark", "line_no", "body"),
         wanted,
         ["doc", "mark", "line_no"],
     ).dropDuplicates(["leaf", "kind"])
-    wider = _templates(bodies.select("leaf", "kind", "body", "docs"), min_docs, similarity)
+    wider = _templates(
+        bodies.select("leaf", "kind", "body", "docs", "leaf_docs"), min_docs, similarity
+    )
     named = able.select("leaf", "kind").join(wider, ["leaf", "kind"], "left").select(
         "leaf", "kind", F.coalesce("template", "kind").alias("template"),
-        F.col("template").isNotNull().alias("wide"),
+        F.col("template").isNotNull().alias("wide"), F.coalesce("level", F.lit(0)).alias("level"),
     )
     named = durable(named, "line-templates")
     recurring = (
@@ -172,7 +188,12 @@ def drop_recurring_lines(
         .where(F.col("docs") >= min_docs)
         .drop("docs")
     )
-    dropped = named.join(recurring, ["leaf", "template", "wide"]).select("leaf", "kind", "first")
+    # A line belongs to the finest of its templates that recurs.
+    dropped = (
+        named.join(recurring, ["leaf", "template", "wide"])
+        .groupBy("leaf", "kind")
+        .agg(F.min_by("first", "level").alias("first"))
+    )
     stays = F.lit(False)
     if keep_first:
         stays = F.struct("doc", "mark", "line_no").eqNullSafe(F.col("first"))

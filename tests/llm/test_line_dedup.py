@@ -65,3 +65,17 @@ def test_lines_of_variable_tokens_stand_for_themselves(docs_of):
     got = run(docs_of(rows), min_docs=5)
     assert got[0].n_dropped == 0
     assert all(got[i].text == rows[i][1].removesuffix("\n12 34") and got[i].n_dropped == 1 for i in range(1, 6))
+
+
+def test_fields_are_generalised_at_every_size(docs_of):
+    # 40 x 40 values, each in 10 documents, each pair of them in one at most.
+    place = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    rows = [
+        (i, f"This shop is open in {place(i % 40)} and also in {place((i * 7 + i // 40) % 40)} every single day")
+        for i in range(400)
+    ]
+    assert len({t for _, t in rows}) == 400
+    got = run(docs_of(rows))
+    assert got[0].n_dropped == 0 and all(got[i].n_dropped == 1 for i in range(1, 400))
+    few = run(docs_of(rows[:30]))
+    assert all(few[i].n_dropped == 1 for i in range(1, 30))
