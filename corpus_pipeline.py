@@ -27,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without recurring lines; documents of nothing but those go."""
-    cut = line_dedup.drop_recurring_lines(docs)
+    cut = line_dedup.drop_recurring_lines(docs, lead_counts=False)
     left = cut.where((F.col("n_dropped") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

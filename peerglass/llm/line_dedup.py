@@ -10,7 +10,9 @@ has too few constant tokens. A line whose template does not recur is tried with
 ones, in which a kept token also has a share (``SHARES``) of its leaf's documents, so
 that a field's values are generalised however many documents each has. Templates found in at least
 ``min_docs`` documents recur, and their lines are dropped, except for the first
-(least document id) unless ``keep_first`` is false.
+(least document id) unless ``keep_first`` is false. The first ``depth`` tokens are the
+same throughout a leaf; unless ``lead_counts``, similarity is that of the tokens after
+them, of which at least two must be kept.
 
 All steps are DataFrame functions. Texts are read for the keys of their lines, read
 again for the tokens of leaves that can recur and hold several kinds of line, and
@@ -82,13 +84,14 @@ def _keyed(
     )
 
 
-def _templates(bodies: DataFrame, min_docs: int, similarity: float) -> DataFrame:
+def _templates(bodies: DataFrame, min_docs: int, similarity: float, lead: int = 0) -> DataFrame:
     """(leaf, kind, level, template) of kinds of line that are instances of wider templates.
 
     ``bodies``: leaf, kind, body, docs, leaf_docs. Tokens are counted by (leaf,
     position, token), so that a leaf with very many lines is spread over its tokens.
     Level 0 asks for ``min_docs`` documents, those after it for shares of the leaf's;
-    a level that repeats the template of the one before it is left out.
+    a level that repeats the template of the one before it is left out. With ``lead``,
+    only the tokens after so many count, of which two or more must be kept.
     """
     tokens = bodies.select(
         "leaf", "kind", "docs", "leaf_docs", F.posexplode(F.split("body", " ")).alias("at", "token")
@@ -99,6 +102,10 @@ def _templates(bodies: DataFrame, min_docs: int, similarity: float) -> DataFrame
     level = F.when(~enough | (F.col("token") == VARIABLE), -1)
     for i, share in reversed(list(enumerate(SHARES, 1))):
         level = level.when(F.col("in_docs") >= share * F.col("leaf_docs"), i)
+
+    def kept(i: int) -> Column:
+        return F.when(F.col("at") >= lead, F.when(F.col("upto") >= i, 1.0).otherwise(0.0))
+
     seen = (
         tokens.join(held, ["leaf", "at", "token"])
         .withColumn("upto", level.otherwise(0))
@@ -106,7 +113,7 @@ def _templates(bodies: DataFrame, min_docs: int, similarity: float) -> DataFrame
         .agg(
             F.array_sort(F.collect_list(F.struct("at", "token", "upto"))).alias("words"),
             *(
-                F.avg(F.when(F.col("upto") >= i, 1.0).otherwise(0.0)).alias(f"kept{i}")
+                F.when(F.sum(kept(i)) >= (2 if lead else 0), F.avg(kept(i))).alias(f"kept{i}")
                 for i in range(len(SHARES) + 1)
             ),
         )
@@ -143,6 +150,7 @@ def drop_recurring_lines(
     min_docs: int = 5,
     similarity: float = 0.6,
     keep_first: bool = True,
+    lead_counts: bool = True,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -172,8 +180,9 @@ def drop_recurring_lines(
         ["doc", "mark", "line_no"],
     ).dropDuplicates(["leaf", "kind"])
     wider = _templates(
-        bodies.select("leaf", "kind", "body", "docs", "leaf_docs"), min_docs, similarity
-    )
+        bodies.select("leaf", "kind", "body", "docs", "leaf_docs"), min_docs, similarity,
+        0 if lead_counts else depth,
+    )
     named = able.select("leaf", "kind").join(wider, ["leaf", "kind"], "left").select(
         "leaf", "kind", F.coalesce("template", "kind").alias("template"),
         F.col("template").isNotNull().alias("wide"), F.coalesce("level", F.lit(0)).alias("level"),

@@ -79,3 +79,12 @@ def test_fields_are_generalised_at_every_size(docs_of):
     assert got[0].n_dropped == 0 and all(got[i].n_dropped == 1 for i in range(1, 400))
     few = run(docs_of(rows[:30]))
     assert all(few[i].n_dropped == 1 for i in range(1, 30))
+
+
+def test_short_lines_with_an_equal_beginning(docs_of):
+    ends = [f"{chr(97 + i)}x {chr(97 + i)}y" for i in range(6)]
+    rows = [(i, f"One of the {e[:2]}\nOne of the {e}\nOne of the shops in town is {e[:2]}") for i, e in enumerate(ends)]
+    got = run(docs_of(rows), lead_counts=False)
+    assert got[0].n_dropped == 0
+    assert all(got[i].text == rows[i][1].rsplit("\n", 1)[0] for i in range(1, 6))
+    assert all(run(docs_of(rows))[i].n_dropped == 3 for i in range(1, 6))
