@@ -45,3 +45,11 @@ def test_sample_is_bounded(docs_of):
     model = learn(docs_of(rows), rows=10)
     assert model["en"].count(b"text") == 10 and b"yyy" not in model["en"]
     assert model == learn(docs_of(rows).repartition(5), rows=10)
+
+
+def test_languages_of_long_texts_are_learned(docs_of):
+    de, en = "der und die das nicht " * 40, "the of and to with " * 900
+    df = docs_of([(i, t, lang, "s") for i, (t, lang) in enumerate([(de, "de"), (en, "en")] * 3)])
+    model = learn(df)
+    assert sorted(model) == ["de", "en"] and 20_000 < len(model["en"]) <= 3 * 8_002
+    assert [g[0] for g in predicted(docs_of([(1, de), (2, en)]), model)] == ["de", "en"]
