@@ -3,13 +3,15 @@
 A document's score is the sum over its characters of log p(character | the two
 characters on either side). The network embeds the four neighbours, has one hidden
 layer, and a softmax over a closed alphabet (the most frequent lower-case
-characters of the corpus, one symbol for all others, one for the text's edges).
+characters of the corpus, ``hashed`` symbols that all others share by a hash, one
+for the text's edges).
 
 It learns from every character of the corpus: the windows of all documents are
-counted (``window_counts``), and the counts, not the texts, are dealt to a fixed
-number of shards. In each round every shard trains a copy in numpy on windows
-drawn in proportion to their counts, and the copies are averaged. The driver holds
-a few copies of the network, whose size depends on the alphabet alone.
+counted (``window_counts``), and the counts, not the texts, are dealt to shards of
+about ``shard_windows`` distinct windows at most. In each round every shard trains a
+copy in numpy on all of its windows, weighted by their counts, and the copies are
+averaged. The driver holds a copy of the network per shard, whose size depends on
+the alphabet alone.
 
 Texts are scored whole. Windows are looked up once per batch, so the network runs
 on distinct windows only.
@@ -41,12 +43,14 @@ _CHUNK = 4_000_000
 
 @dataclass(frozen=True)
 class Settings:
-    alphabet: int = 96  # symbols, edge and other among them; at most 2**BITS
+    alphabet: int = 96  # symbols, edge and other among them; with ``hashed`` at most 2**BITS
+    hashed: int = 32  # symbols of rarer characters
     embedding: int = 12
     hidden: int = 32
-    shards: int = 12
+    shards: int = 12  # at least
+    shard_windows: int = 200_000
     rounds: int = 5
-    steps: int = 60
+    steps: int = 60  # of a shard in a round, at least
     batch: int = 1024
     rate: float = 0.01
     seed: int = 1
@@ -83,10 +87,15 @@ def symbol_counts(documents: DataFrame) -> DataFrame:
     return found.groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def alphabet_of(documents: DataFrame, size: int) -> np.ndarray:
+def alphabet_of(documents: DataFrame, size: int, hashed: int = Settings.hashed) -> np.ndarray:
     """Symbol of every code point; the most frequent ones have their own."""
+    if size + hashed > 1 << BITS:
+        raise ValueError(f"more than {1 << BITS} symbols")
     top = symbol_counts(documents).orderBy(F.desc("n"), "code").limit(size - 2).collect()
     table = np.full(0x110000, OTHER, dtype=np.uint8)
+    if hashed:
+        mixed = (np.arange(len(table), dtype=np.uint64) * np.uint64(0x9E3779B1)) >> np.uint64(12)
+        table[:] = size + mixed % np.uint64(hashed)
     for i, row in enumerate(top):
         table[row["code"]] = i + 2
     return table
@@ -142,14 +151,14 @@ class Network:
     @classmethod
     def fresh(cls, s: Settings) -> Network:
         rng = np.random.default_rng(s.seed)
-        wide = 2 * REACH * s.embedding
+        wide, symbols = 2 * REACH * s.embedding, s.alphabet + s.hashed
         return cls(
             {
-                "embed": rng.normal(0, 0.3, (2 * REACH, s.alphabet, s.embedding)),
+                "embed": rng.normal(0, 0.3, (2 * REACH, symbols, s.embedding)),
                 "inner": rng.normal(0, wide**-0.5, (wide, s.hidden)),
                 "inner_bias": np.zeros(s.hidden),
-                "outer": rng.normal(0, s.hidden**-0.5, (s.hidden, s.alphabet)),
-                "outer_bias": np.zeros(s.alphabet),
+                "outer": rng.normal(0, s.hidden**-0.5, (s.hidden, symbols)),
+                "outer_bias": np.zeros(symbols),
             }
         )
 
@@ -171,12 +180,13 @@ class Network:
             out.append(log_p[np.arange(len(target)), target])
         return np.concatenate(out)
 
-    def gradients(self, windows: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, windows: np.ndarray, weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Of the sum of -log p times ``weight``, by default of the mean."""
         symbols, target, x, h, log_p = self._forward(windows)
         w, n = self.weights, len(windows)
         dz = np.exp(log_p)
         dz[np.arange(n), target] -= 1
-        dz /= n
+        dz *= 1 / n if weight is None else weight[:, None]
         dh = (dz @ w["outer"].T) * (1 - h * h)
         dx = dh @ w["inner"].T
         embed = np.zeros_like(w["embed"])
@@ -188,19 +198,34 @@ class Network:
             "outer": h.T @ dz, "outer_bias": dz.sum(axis=0),
         }
 
-    def train(self, windows: np.ndarray, counts: np.ndarray, s: Settings, seed: list[int]) -> None:
-        """Adam steps on windows drawn in proportion to their counts."""
+    def train(self, windows: np.ndarray, counts: np.ndarray, s: Settings, seed: list[int]) -> int:
+        """Adam steps over all windows, weighted by their counts; returns windows passed.
+
+        Windows are dealt to batches in random order, again until there were
+        ``steps`` steps. The most frequent ones are in every batch with a share of
+        their count, so that batches weigh about the same.
+        """
         rng = np.random.default_rng(seed)
-        edges = np.cumsum(counts)
+        often = np.argsort(-counts, kind="stable")[: s.batch // 4]
+        rest = np.setdiff1d(np.arange(len(windows)), often)
+        batches = max(1, -(-len(rest) // (s.batch - len(often))))
+        share = counts * (batches / counts.sum())
         slope = {k: np.zeros_like(v) for k, v in self.weights.items()}
         power = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        for t in range(1, s.steps + 1):
-            drawn = np.searchsorted(edges, rng.integers(0, edges[-1], s.batch), side="right")
-            for k, g in self.gradients(windows[drawn]).items():
-                slope[k] += 0.1 * (g - slope[k])
-                power[k] += 0.001 * (g * g - power[k])
-                step = slope[k] / (1 - 0.9**t) / (np.sqrt(power[k] / (1 - 0.999**t)) + 1e-8)
-                self.weights[k] = self.weights[k] - s.rate * step
+        t = passed = 0
+        while t < s.steps:
+            for part in np.array_split(rng.permutation(rest), batches):
+                t += 1
+                passed += len(part)
+                drawn = np.concatenate([often, part])
+                weight = np.concatenate([share[often] / batches, share[part]])
+                for k, g in self.gradients(windows[drawn], weight).items():
+                    slope[k] += 0.1 * (g - slope[k])
+                    power[k] += 0.001 * (g * g - power[k])
+                    step = slope[k] / (1 - 0.9**t) / (np.sqrt(power[k] / (1 - 0.999**t)) + 1e-8)
+                    self.weights[k] = self.weights[k] - s.rate * step
+            passed += len(often)
+        return passed
 
     def packed(self) -> bytes:
         return b"".join(self.weights[k].tobytes() for k in sorted(self.weights))
@@ -228,15 +253,15 @@ def _one_round(start: Network, r: int, s: Settings):
 
 def train(counts: DataFrame, s: Settings) -> Network:
     """Rounds of training on all shards of a stored table of window counts."""
-    shards = durable(
-        counts.withColumn("shard", F.pmod(F.xxhash64("window"), F.lit(s.shards))), "lm-windows"
-    )
+    stored = durable(counts, "lm-windows")
+    n_shards = max(s.shards, -(-stored.count() // s.shard_windows))
+    shards = stored.withColumn("shard", F.pmod(F.xxhash64("window"), F.lit(n_shards)))
     net = Network.fresh(s)
     for r in range(s.rounds):
         made = shards.groupBy("shard").applyInArrow(
             _one_round(net, r, s), "shard long, n long, weights binary"
         )
-        copies = sorted(made.collect(), key=lambda row: row["shard"])  # at most ``shards`` rows
+        copies = sorted(made.collect(), key=lambda row: row["shard"])  # one row per shard
         if not copies:
             return net
         total = sum(row["n"] for row in copies)
@@ -309,5 +334,5 @@ def score_documents(
     """Learns from all texts, then scores all texts."""
     s = settings or Settings()
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    table = alphabet_of(docs, s.alphabet)
+    table = alphabet_of(docs, s.alphabet, s.hashed)
     return score(docs, table, train(window_counts(docs, table), s))

@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 
+from peerglass.llm import pseudo_likelihood as P
 from peerglass.llm.pseudo_likelihood import (
     Network,
     Settings,
@@ -81,3 +83,36 @@ def test_gradients():
 def test_empty(docs_of):
     assert score_documents(docs_of([]), SMALL).count() == 0
     assert score_documents(docs_of([(1, None)]), SMALL).first().score is None
+
+
+def test_training_passes_over_all_windows_in_bounded_shards(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    windows = np.unique(rng.integers(0, 24, (5000, 5)) @ (1 << 7 * np.arange(5)))
+    counts = rng.integers(1, 9, len(windows))
+    seen = []
+    monkeypatch.setattr(Network, "gradients", lambda self, w, weight: seen.append((w, weight)) or {})
+    assert Network.fresh(SMALL).train(windows, counts, replace(SMALL, steps=1), [1]) == len(windows)
+    total = dict.fromkeys(windows.tolist(), 0.0)
+    for w, weight in seen:
+        assert len(w) <= SMALL.batch
+        for x, y in zip(w.tolist(), weight, strict=True):
+            total[x] += y
+    assert np.allclose([total[x] for x in windows.tolist()], counts * len(seen) / counts.sum())
+
+
+def test_shards_follow_the_table(spark, monkeypatch):
+    df = spark.range(900).selectExpr("id % 30 + 128 * (id div 30) AS window", "1L AS n")
+    made, plain = [], P._one_round
+    monkeypatch.setattr(P, "_one_round", lambda net, r, s: made.append(r) or plain(net, r, s))
+    sizes = []
+    real = Network.unpacked
+    monkeypatch.setattr(Network, "unpacked", lambda self, data: sizes.append(1) or real(self, data))
+    train(df, replace(SMALL, rounds=1, steps=1, shard_windows=100))
+    assert made == [0] and len(sizes) == 9
+
+
+def test_rare_characters_differ(docs_of):
+    common = "abcdefghijklmnopqrstuv" * 50
+    table = alphabet_of(docs_of([(1, common), (2, "".join(map(chr, range(0x4E00, 0x4E40))))]), 24)
+    rare = Counter(table[0x4E00:0x4E40].tolist())
+    assert len(rare) > 16 and min(rare) >= 24
