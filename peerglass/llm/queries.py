@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from peerglass.llm import (
     chat,
+    exact_dedup,
     fingerprint,
     langid,
     line_dedup,
@@ -310,3 +311,22 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_fingerprints")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_with_next(table(spark, sf_dir, "documents"))
+
+
+# --- 12: exact dedup -------------------------------------------------------
+
+COPIES_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+@query("op12_exact_dedup", COPIES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
