@@ -18,6 +18,7 @@ from peerglass.llm import (
     mixing,
     packing,
     pseudo_likelihood,
+    spelling,
     topk,
     url_filter,
 )
@@ -313,6 +314,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_with_next(table(spark, sf_dir, "documents"))
 
 
+# --- 11: spelling variants -------------------------------------------------
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.counted_words(table(spark, sf_dir, "documents")))
+
+
 # --- 12: exact dedup -------------------------------------------------------
 
 COPIES_SQL = """
