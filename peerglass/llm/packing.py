@@ -62,9 +62,9 @@ def tokenised(
         encoder = _encoder(path, by_word)
         end = encoder.packed([end_id])
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [encoder.encode(t) + end for t in part.column("text").to_pylist()]
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                ids = [i + end for i in encoder.encode_all(part.column("text"))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -94,7 +95,14 @@ def test_words_give_the_ids_of_the_whole_text():
     texts = [r[1] for r in corpus(60)] + [
         "a.b, c.. d.\ne,\tf. <|endoftext|>. x", "ＫΣİ ſ é. 'S it's.", "1. 2, ²., á., \x1c b\x0b.",
     ]
-    for t in texts:
+    rng = random.Random(2)
+    signs = [chr(i) for i in range(0x250)] + list(" \n.,'019sTlL") * 30 + ["Σ", "東", "\u0301", "<|endoftext|>", "<|EndOfText|>"]
+    texts += ["".join(rng.choices(signs, k=rng.randint(1, 60))) for _ in range(3000)]
+    whole = [np.array(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert fast.encode_all(pa.array(texts)) == whole
+    words = ["".join(rng.choices("etaoinshrdlucmfwypvbgkqjxzéßñøÿ", range(32, 1, -1), k=rng.randint(1, 14))) for _ in range(40_000)]
+    assert fast.ranked.encode(words, "<u2") == [fast.whole(w) for w in words]
+    for t in texts[:60]:
         assert fast.encode(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes(), t
 
 
