@@ -36,12 +36,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
+from peerglass.llm.tokens import byte_of_letter
 from peerglass.sources.tables import durable
 
 PIECE = 2**16  # token ends per piece of a merge
@@ -49,17 +51,13 @@ CHUNK_CHARS = 2**20  # characters tokenised together, if no text is longer
 BLOCK_CHARS = 2**23
 MOST_BEST = 2**20  # ids of A whose best counts may be broadcast
 _LINKS = 2**22  # links written out at once
+# Fixed value: how byte-level vocabularies cut a text into words before they merge bytes.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_NOT_LATIN = re.compile("[^\x00-\u024f]")
 _BREAK = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
 
 # ------------------------------------------------------------------- vocabularies
-def _byte_of_letter() -> dict[str, int]:
-    """Byte-level vocabularies write a byte as a letter: printable Latin-1 as itself, others from 256 on."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class Vocabularies:
     """Both tokenizers, and the bytes of every id."""
 
@@ -68,13 +66,15 @@ class Vocabularies:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=b_path)
-        letters = _byte_of_letter()
+        letters = byte_of_letter()
         with open(a_path, encoding="utf-8") as f:
-            added = {t["id"] for t in json.load(f).get("added_tokens", [])}
+            file = json.load(f)
+        added = {t["id"] for t in file.get("added_tokens", [])}
         entries = {i: t for t, i in self.a.get_vocab(with_added_tokens=True).items()}
         self.a_bytes = [b""] * (max(entries) + 1)
         for i, t in entries.items():
             self.a_bytes[i] = t.encode() if i in added else bytes(letters[c] for c in t)
+        self.fast_a = self._ranked(file["model"], added)
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.size = (len(self.a_bytes), len(self.b_bytes))
         self.a_length = np.array([len(x) for x in self.a_bytes], dtype=np.int64)
@@ -83,6 +83,18 @@ class Vocabularies:
         written = [f"{i}{mark}" for n, end in zip(self.size, "|;", strict=True) for mark in "," + end for i in range(n)]
         self.written = np.array(written, dtype=object)
 
+    def _ranked(self, model: dict, added: set[int]) -> tiktoken.Encoding | None:
+        """The same vocabulary by ranks, which is several times faster, where ids follow the merges' order.
+
+        Used for Latin texts only: what counts as a letter elsewhere depends on the
+        libraries' versions of Unicode.
+        """
+        merged = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        if any(model["vocab"][x + y] != 256 + i for i, (x, y) in enumerate(merged)):
+            return None
+        ranks = {t: i for i, t in enumerate(self.a_bytes) if i not in added}
+        return tiktoken.Encoding("ranked", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
@@ -96,10 +108,10 @@ class Vocabularies:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         spaced = [" " + t for t in texts]
-        if max(map(len, texts), default=0) > CHUNK_CHARS:
-            a = [self.encode_a(t) for t in spaced]
-        else:
-            a = [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)]
+        a = [
+            self.fast_a.encode_ordinary(t) if self.fast_a and not _NOT_LATIN.search(t) else self.encode_a(t)
+            for t in spaced
+        ]
         for text, x, y in zip(spaced, a, self.b.encode(texts, num_threads=1), strict=True):
             whole = text.encode()
             same = b"".join(map(self.a_bytes.__getitem__, x)) == whole == b"".join(map(self.b_bytes.__getitem__, y))

@@ -122,6 +122,17 @@ def test_long_texts_are_encoded_in_parts(monkeypatch):
     assert known.encode_a(text) == want
 
 
+def test_ranks_give_the_library_s_ids():
+    known = AL.Vocabularies(A, B)
+    rng = np.random.default_rng(3)
+    letters_ = [chr(i) for i in range(0x250)] + list(" \n\t'sdmtrvel.,0123") * 20
+    texts = ["".join(rng.choice(letters_, rng.integers(1, 40))) for _ in range(3000)]
+    texts += [p.format(c) for c in map(chr, range(0x250)) for p in ("{0}", "a{0}b", " {0} ", "{0}{0}{0}", "1{0} {0}'s")]
+    texts += [" " * 20_000, "a" * 20_000, " \n" * 20_000]
+    for t in texts:
+        assert known.fast_a.encode_ordinary(t) == known.a.encode(t, add_special_tokens=False).ids, t
+
+
 def test_spans(docs_of):
     rows = {r.doc_id: r for r in AL.align(docs_of([(1, "naïve fox"), (2, None), (3, "b")]), A, B).collect()}
     assert rows[2].a_ids == [] and rows[2].groups == []
