@@ -6,6 +6,8 @@ judged policies; each oracle adds one SELECT.
 
 from __future__ import annotations
 
+import math
+
 from peerglass import params as P
 from peerglass.sources import proxies as PX
 
@@ -190,22 +192,13 @@ winners AS (SELECT window_id, segment, nullif(bin, '*') AS bin, cluster_id, arch
 def archetype_boot_sql(boot, pct):
     """Bootstrap over the archetypes of a segment, as tables ``aboot`` and ``abest``."""
     ws = "window_id, segment"
-    h = "md5(concat_ws('|', '42', window_id, segment, unit, CAST(rep AS VARCHAR), CAST(b AS VARCHAR)))"
     return f"""
 au0 AS (SELECT {ws}, archetype AS unit, count(*) AS draws, {UM('rel')} AS level, min(agent_id || '|' || CAST(day AS VARCHAR)) AS first_key FROM lab GROUP BY ALL),
 au AS (SELECT a.* FROM au0 a JOIN (SELECT window_id, n_study_days FROM ndays WHERE phase = 'study') USING (window_id) WHERE draws >= {NEED('n_study_days', pct)}),
-abest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {ws} ORDER BY level DESC, first_key) AS r, count(*) OVER (PARTITION BY {ws}) AS n_units FROM au) WHERE r = 1),
+abest AS (SELECT {ws}, unit AS best FROM (SELECT *, row_number() OVER (PARTITION BY {ws} ORDER BY level DESC, first_key) AS r FROM au) WHERE r = 1),
 apool AS (SELECT l.window_id, l.segment, l.rel FROM lab l JOIN au ON au.window_id = l.window_id AND au.segment = l.segment AND au.unit = l.archetype),
-asize AS (SELECT {ws}, count(*) AS n_pool FROM apool GROUP BY ALL),
-areps AS (SELECT {ws}, unit, draws, unnest(range(1, {boot + 1})) AS rep FROM au),
-amed AS (SELECT {ws}, rep, list_sort(flatten(list_transform(range(0, (draws - 1) // 4 + 1), lambda b:
-  [substr({h}, 1, 8), substr({h}, 9, 8), substr({h}, 17, 8), substr({h}, 25, 8)]))[1:draws])[draws // 2 + 1] AS h FROM areps),
-amax AS (SELECT {ws}, rep, max(CAST('0x' || h AS BIGINT) / 4294967296.0) AS u FROM amed GROUP BY ALL),
-aspot AS (SELECT {ws}, rel, row_number() OVER (PARTITION BY {ws} ORDER BY rel) - 1 AS i FROM apool),
-anull AS (SELECT m.window_id, m.segment, s.rel AS v FROM amax m JOIN asize z USING ({ws}) JOIN aspot s
-  ON s.window_id = m.window_id AND s.segment = m.segment AND s.i = CAST(floor(m.u * z.n_pool) AS BIGINT)),
-aboot AS (SELECT n.window_id, n.segment, max(b.unit) AS best, max(n_units) AS n_units, max(n_units) AS n_trials,
-  {R(f'(count(*) FILTER (WHERE v >= level) + 1) / {boot + 1}.0', 4)} AS p_value FROM anull n JOIN abest b ON b.window_id = n.window_id AND b.segment = n.segment GROUP BY ALL)
+{boot_sql('au', 'apool', ws, ws, boot, 'ab').strip()},
+aboot AS (SELECT {ws}, best, n_units, n_units AS n_trials, p_value FROM ab JOIN abest USING ({ws}))
 """
 
 
@@ -221,7 +214,6 @@ def chain(
     archetypes=False,
     sel: P.Selection = P.Selection(),
     rules: P.PolicyRules = P.PolicyRules(),
-    boot=200,
 ):
     act = ", ".join(f"'{a}'" for a in activities) if activities else None
     keep = f"WHERE activity IN ({act})" if act else ""
@@ -258,10 +250,6 @@ fit AS (SELECT {CMB}, bin, {mix}, sum(n_days) AS n_days, min(spread_min) AS spre
         follower_cost,
         follower_cost,
     )
-    b = boot
-    digest = (
-        f"md5(concat_ws('|', '{sel.seed}', window_id, segment, archetype, unit, CAST(rep AS VARCHAR), CAST(b AS VARCHAR)))"
-    )
     return f"""WITH {source},
 daily AS (SELECT agent_id, CAST(ts AS DATE) AS day, {', '.join(f'sum({m}) AS {m}' for m in MEASURES)}
   FROM hourly GROUP BY 1, 2),
@@ -382,26 +370,80 @@ maes AS (SELECT {CMB}, {', '.join(f"{R(f'avg(abs(r_{x} - real_{x}))')} AS mae_{x
 fidelity AS (SELECT *, {R('(' + ' + '.join(f'mae_{x}' for x in SHARES) + ') / 4.0')} AS mae_mean FROM maes),
 units AS (SELECT s.{CMB.replace(', ', ', s.')}, agent_id AS unit, n_days AS draws, relative_median AS level FROM eligible s),
 pool AS (SELECT {CMB}, agent_id, rel FROM lab SEMI JOIN eligible USING ({CMB}, agent_id)),
+"""
+
+
+# Chance that the best of the medians lies at position j or before: the product over the
+# classes of units with equally many draws (n of them, m units) of a binomial tail's power.
+def _upto(j, size="n_pool"):
+    p = f"(({j} + 1) / {size})"
+    term = f"exp(lgamma(c.n + 1.0) - lgamma(k + 1.0) - lgamma(c.n - k + 1.0) + k * ln({p}) + (c.n - k) * ln(1 - {p}))"
+    tail = f"list_sum(list_transform(range(c.n // 2 + 1, c.n + 1), lambda k: {term}))"
+    return (
+        f"(CASE WHEN {j} < 0 THEN 0.0 WHEN {j} >= {size} - 1 THEN 1.0 ELSE "
+        f"exp(list_sum(list_transform(classes, lambda c: c.m * ln(greatest({tail}, 1e-300))))) END)"
+    )
+
+
+def boot_sql(units, pool, keys, pool_keys, b, name="boot", value="rel", seed=42):
+    """The bootstrap of ``units`` (keys, unit, draws, level) against ``pool``, as table ``name``.
+
+    A replicate is the least position of the sorted pool whose chance reaches a number
+    that a digest gives.
+    """
+    u = (
+        f"(CAST('0x' || substr(md5(concat_ws('|', '{seed}', {keys}, CAST(rep AS VARCHAR))), 1, 13) AS BIGINT) + 0.5::DOUBLE)"
+        " / 4503599627370496::DOUBLE"
+    )
+    mid, hi = 0.5 * (b - 1), 0.95 * (b - 1)
+    ranks = {"m0": math.floor(mid), "m1": math.ceil(mid), "h0": math.floor(hi), "h1": math.ceil(hi)}
+    at = "(acc.lo + acc.hi) // 2"
+    seek = (
+        f"list_reduce(list_concat([{{'lo': 0::BIGINT, 'hi': n_pool - 1}}], list_transform(range(0, 34), lambda i: {{'lo': 0::BIGINT, 'hi': 0::BIGINT}})), "
+        f"lambda acc, x: CASE WHEN acc.lo >= acc.hi THEN acc WHEN {_upto(at)} >= u THEN {{'lo': acc.lo, 'hi': {at}}} "
+        f"ELSE {{'lo': {at} + 1, 'hi': acc.hi}} END).lo"
+    )
+    between = lambda lo, up, pos: (
+        f"max(v) FILTER (WHERE r = '{lo}') + (max(v) FILTER (WHERE r = '{up}') - max(v) FILTER (WHERE r = '{lo}')) * {pos - math.floor(pos)}"
+    )
+    same = " AND ".join(f"s.{k} = k.{k}" for k in pool_keys.split(", "))
+    n = name
+    return f"""
+{n}c AS (SELECT {keys}, list({{'n': draws, 'm': m}}) AS classes, sum(m) AS n_units, max(best) AS best FROM
+  (SELECT {keys}, draws, count(*) AS m, max(level) AS best FROM {units} GROUP BY {keys}, draws) GROUP BY {keys}),
+{n}p AS (SELECT {', '.join('k.' + k for k in keys.split(', '))}, any_value(classes) AS classes, any_value(n_units) AS n_units, any_value(best) AS best, count(*) AS n_pool,
+  count(*) FILTER (WHERE s.{value} < best) AS n_below, count(*) FILTER (WHERE s.{value} <= best) AS n_upto
+  FROM {n}c k JOIN {pool} s ON {same} GROUP BY {', '.join('k.' + k for k in keys.split(', '))}),
+{n}u AS (SELECT *, list_sort(list_transform(range(1, {b + 1}), lambda rep: {u})) AS us, {_upto('(n_below - 1)')} AS below, {_upto('(n_upto - 1)')} AS upto FROM {n}p),
+{n}r AS (SELECT {keys}, classes, n_pool, r, us[i + 1] AS u FROM {n}u, (VALUES {', '.join(f"('{r}', {i})" for r, i in ranks.items())}) t(r, i)),
+{n}j AS (SELECT {keys}, r, {seek} AS i FROM {n}r),
+{n}s AS (SELECT {pool_keys}, {value} AS v, row_number() OVER (PARTITION BY {pool_keys} ORDER BY {value}) - 1 AS i FROM {pool}),
+{n}v AS (SELECT {', '.join('k.' + x for x in keys.split(', '))}, {between('m0', 'm1', mid)} AS p50, {between('h0', 'h1', hi)} AS p95
+  FROM {n}j k JOIN {n}s s ON {same} AND s.i = k.i GROUP BY {', '.join('k.' + x for x in keys.split(', '))}),
+{n} AS (SELECT {keys}, n_units, n_pool, {b} AS n_boot, {R('best')} AS boot_best, {R('p50')} AS boot_null_p50, {R('p95')} AS boot_null_p95,
+  {R(f'(len(list_filter(us, lambda x: x > below)) + 1) / {b + 1}.0', 4)} AS p_value,
+  {R(f'len(list_filter(us, lambda x: x <= upto)) * 100.0 / {b}.0', 1)} AS boot_percentile FROM {n}u JOIN {n}v USING ({keys}))
+"""
+
+
+def draws_sql(b, seed=42):
+    """The same bootstrap with every value of every unit drawn, as table ``boot``."""
+    digest = f"md5(concat_ws('|', '{seed}', window_id, segment, archetype, unit, CAST(rep AS VARCHAR), CAST(b AS VARCHAR)))"
+    return f"""
 draws0 AS (SELECT {CMB}, unit, draws, unnest(range(1, {b} + 1)) AS rep FROM units),
 draws1 AS (SELECT {CMB}, rep, list_sort(flatten(list_transform(range(0, (draws - 1) // 4 + 1), lambda b:
     [substr({digest}, 1, 8), substr({digest}, 9, 8), substr({digest}, 17, 8), substr({digest}, 25, 8)]))[1:draws])[draws // 2 + 1] AS h FROM draws0),
 nullmax AS (SELECT {CMB}, rep, max(CAST('0x' || h AS BIGINT) / 4294967296.0) AS u FROM draws1 GROUP BY ALL),
 best AS (SELECT {CMB}, max(level) AS best, count(*) AS n_units FROM units GROUP BY ALL),
-"""
-
-
-def _boot_tail(pool, pool_keys, b):
-    """Null values by position in the sorted pool, then the test."""
-    return f"""
-sized AS (SELECT {pool_keys}, count(*) AS n_pool FROM {pool} GROUP BY ALL),
-spots AS (SELECT {pool_keys}, rel, row_number() OVER (PARTITION BY {pool_keys} ORDER BY rel) - 1 AS i FROM {pool}),
-nulls AS (SELECT m.window_id, m.segment, m.archetype, m.rep, s.rel AS v FROM nullmax m JOIN sized z USING ({pool_keys})
-  JOIN spots s ON {' AND '.join(f's.{k} = m.{k}' for k in pool_keys.split(', '))} AND s.i = CAST(floor(m.u * z.n_pool) AS BIGINT)),
+sized AS (SELECT {CMB}, count(*) AS n_pool FROM pool GROUP BY ALL),
+spots AS (SELECT {CMB}, rel, row_number() OVER (PARTITION BY {CMB} ORDER BY rel) - 1 AS i FROM pool),
+nulls AS (SELECT m.window_id, m.segment, m.archetype, m.rep, s.rel AS v FROM nullmax m JOIN sized z USING ({CMB})
+  JOIN spots s ON s.window_id = m.window_id AND s.segment = m.segment AND s.archetype = m.archetype AND s.i = CAST(floor(m.u * z.n_pool) AS BIGINT)),
 tested AS (SELECT {CMB}, count(*) FILTER (WHERE v >= best) AS ge, count(*) FILTER (WHERE v <= best) AS le,
   {R('max(best)')} AS boot_best, max(n_units) AS n_units, {R('quantile_cont(v, 0.5)')} AS boot_null_p50, {R('quantile_cont(v, 0.95)')} AS boot_null_p95
   FROM nulls JOIN best USING ({CMB}) GROUP BY ALL),
 boot AS (SELECT {CMB}, n_units, z.n_pool, {b} AS n_boot, boot_best, boot_null_p50, boot_null_p95,
-  {R(f'(ge + 1) / {b + 1}.0', 4)} AS p_value, {R(f'le * 100.0 / {b}.0', 1)} AS boot_percentile FROM tested JOIN sized z USING ({pool_keys}))
+  {R(f'(ge + 1) / {b + 1}.0', 4)} AS p_value, {R(f'le * 100.0 / {b}.0', 1)} AS boot_percentile FROM tested JOIN sized z USING ({CMB}))
 """
 
 
@@ -494,7 +536,7 @@ def scan_sql(boot, persistence="CAST(NULL AS DOUBLE)", extra=""):
     """All combinations with every metric and gate, as table ``gated``."""
     gates = ", ".join(f"{v} AS {k}" for k, v in GATE_SQL.items())
     return (
-        _boot_tail("pool", CMB, boot).rstrip()
+        boot_sql("units", "pool", CMB, CMB, boot).rstrip()
         + ",\nntr AS (SELECT window_id, segment, archetype, n_units AS n_trials FROM boot),"
         + sharpe_sql("sim", CMB, "ntr")
         + ","

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peerglass.functions.medians import best_of_medians, binomial_upper_tail
+from peerglass.functions.medians import best_median_at, best_median_upto, binomial_upper_tail
 from peerglass.functions.normal import normal_cdf, normal_ppf
 from peerglass.functions.numeric import dec_round, upper_median
 from peerglass.operators import COMBO, WINDOW
@@ -78,34 +78,79 @@ def _null_maxima(
 ) -> DataFrame:
     """Per replicate, the best unit's median as a fraction of the sorted pool.
 
-    ``class``: medians of units with equally many draws are alike and independent,
-    so the best of a class of them is one number drawn from its distribution. The
-    cost is in the number of classes, whatever the units and their draws.
-
-    ``xxhash64`` and ``md5`` draw every value of every unit. Units stream through
-    and are reduced on the map side: what is shuffled is one number per
-    combination, replicate and map task.
+    Every value of every unit is drawn. Units stream through and are reduced on the map
+    side: what is shuffled is one number per combination, replicate and map task.
     """
     # The table is small but the draws are the whole work, so it is dealt out in
     # blocks of replicates before anything is drawn.
     blocks = F.explode(F.sequence(F.lit(1), F.lit(int(n_boot)), F.lit(_BLOCK))).alias("_first")
     last = F.least(F.col("_first") + F.lit(_BLOCK - 1), F.lit(int(n_boot)))
-    by = ["draws"] if draws == "class" else ["unit", "draws"]
     reps = (
-        units.groupBy(*keys, *by)
-        .agg(F.count("*").alias("members"))
-        .select(*keys, *by, "members", blocks)
-        .repartition(*keys, by[0], "_first")
+        units.select(*keys, "unit", "draws", blocks)
+        .repartition(*keys, "unit", "_first")
         .withColumn("rep", F.explode(F.sequence("_first", last)))
     )
-    if draws == "class":
-        word = F.shiftrightunsigned(F.xxhash64(F.lit(int(seed)), *keys, "draws", "rep"), 11)
-        u = best_of_medians((word + 0.5) / 9007199254740992.0, F.col("draws"), F.col("members"))
-    else:
-        u = _hash_fraction(keys, seed, draws)
+    u = _hash_fraction(keys, seed, draws)
     return reps.select(*keys, "rep", u.alias("u")).groupBy(*keys, "rep").agg(F.max("u").alias("u"))
 
 
+def _tested_by_draws(
+    units: DataFrame, placed: DataFrame, keys: list[str], n_boot: int, seed: int, draws: str, ranks: dict[str, int]
+) -> DataFrame:
+    nulls = (
+        _null_maxima(units, keys, n_boot, seed, draws)
+        .join(placed.select(*keys, "n_pool", "n_below", "n_upto"), keys)
+        .withColumn("_i", F.floor(F.col("u") * F.col("n_pool")).cast("long"))
+    )
+    ordered = F.sort_array(F.collect_list("_i"))
+    return nulls.groupBy(*keys).agg(
+        F.count_if(F.col("_i") >= F.col("n_below")).alias("n_as_good"),
+        F.count_if(F.col("_i") < F.col("n_upto")).alias("n_not_better"),
+        *[F.element_at(ordered, r + 1).alias(name) for name, r in ranks.items()],
+    )
+
+
+def _tested_by_class(
+    units: DataFrame, placed: DataFrame, keys: list[str], n_boot: int, seed: int, ranks: dict[str, int]
+) -> DataFrame:
+    """Replicates from the best median's own distribution, one uniform number each.
+
+    Units with equally many draws are one class. A replicate is the least position
+    whose chance reaches its number. Positions grow with the numbers, so replicates
+    are counted against the chance at the real value's place, and only those of the
+    wanted ranks are turned into positions. The cost is in the number of combinations
+    and replicates, whatever the units, their draws and the pool.
+    """
+    classes = (
+        units.groupBy(*keys, "draws")
+        .agg(F.count(F.lit(1)).alias("members"))
+        .groupBy(*keys)  # at most as many classes as a unit can have days
+        .agg(F.sort_array(F.collect_list(F.struct("draws", "members"))).alias("classes"))
+    )
+    arrays = (F.col("classes.draws"), F.col("classes.members"))
+    names = ", ".join(f"cast({k} as string)" for k in keys)
+    number = f"conv(substr(md5(concat_ws('|', '{int(seed)}', {names}, cast(rep as string))), 1, 13), 16, 10)"
+    uniform = F.expr(
+        f"array_sort(transform(sequence(1, {int(n_boot)}), rep -> "
+        f"(cast({number} as bigint) + 0.5D) / 4503599627370496.0D))"
+    )
+    based = placed.select(*keys, "n_pool", "n_below", "n_upto").join(classes, keys)
+    chances = based.select(
+        *keys, "n_pool", "classes", uniform.alias("u"),
+        best_median_upto(F.col("n_below") - 1, "n_pool", *arrays).alias("below"),
+        best_median_upto(F.col("n_upto") - 1, "n_pool", *arrays).alias("upto"),
+    )
+    return chances.select(
+        *keys,
+        F.size(F.filter("u", lambda x: x > F.col("below"))).cast("long").alias("n_as_good"),
+        F.size(F.filter("u", lambda x: x <= F.col("upto"))).cast("long").alias("n_not_better"),
+        *[
+            best_median_at(F.element_at("u", r + 1), "n_pool", *arrays).alias(name)
+            for name, r in ranks.items()
+        ],
+    )
+
+
 def bootstrap_best_median(
     units: DataFrame,
     pool: DataFrame,
@@ -125,6 +170,9 @@ def bootstrap_best_median(
     positions too, so no draw is ever joined to the pool: only the positions of
     the real value and of the null's quantiles are looked up.
 
+    ``draws``: ``class`` draws each replicate from the distribution of its result;
+    ``md5`` and ``xxhash64`` draw every value of every unit.
+
     ``pool`` holds the pool rows; ``pool_keys`` may be coarser than ``keys``.
     """
     pool_keys = pool_keys or keys
@@ -143,20 +191,13 @@ def bootstrap_best_median(
             F.sum(F.when(F.col("_v") <= F.col("best"), F.col("_c")).otherwise(0)).alias("n_upto"),
         )
     )
-    nulls = (
-        _null_maxima(units, keys, n_boot, seed, draws)
-        .join(placed.select(*keys, "n_pool", "n_below", "n_upto"), keys)
-        .withColumn("_i", F.floor(F.col("u") * F.col("n_pool")).cast("long"))
-    )
     b = int(n_boot)
     mid, hi = 0.5 * (b - 1), 0.95 * (b - 1)
     ranks = {"m0": math.floor(mid), "m1": math.ceil(mid), "h0": math.floor(hi), "h1": math.ceil(hi)}
-    ordered = F.sort_array(F.collect_list("_i"))
-    tested = nulls.groupBy(*keys).agg(
-        F.count_if(F.col("_i") >= F.col("n_below")).alias("n_as_good"),
-        F.count_if(F.col("_i") < F.col("n_upto")).alias("n_not_better"),
-        *[F.element_at(ordered, r + 1).alias(name) for name, r in ranks.items()],
-    )
+    if draws == "class":
+        tested = _tested_by_class(units, placed, keys, b, seed, ranks)
+    else:
+        tested = _tested_by_draws(units, placed, keys, b, seed, draws, ranks)
     upto = F.sum("_c").over(
         Window.partitionBy(*pool_keys)
         .orderBy("_v")

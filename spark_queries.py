@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,12 +80,17 @@ def plain(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ fixtures
 @dataclass
 class Events:
+    """The events fixture. The fact is rolled up once, by the first query part that asks for days."""
+
     market: PX.Market
     settings: object
-    daily: ST.Daily
     windows: DataFrame
     spans: DataFrame
 
+    @cached_property
+    def daily(self) -> ST.Daily:
+        return ST.daily(self.market, self.settings, store=True)
+
     def span(self, phase):
         return self.spans.where(F.col("phase") == phase)
 
@@ -102,7 +108,7 @@ def events(spark, sf_dir, **changes) -> Events:
     windows = durable(
         WN.window_at_end(edges, None, PX.EVENT_EVAL_DAYS, PX.EVENT_WINDOW_ID), "windows"
     )
-    return Events(market, settings, ST.daily(market, settings, store=True), windows, WN.phase_spans(windows, 2))
+    return Events(market, settings, windows, WN.phase_spans(windows, 2))
 
 
 def with_leaders(e: Events, store: bool = False):
@@ -157,12 +163,12 @@ def sel(cols: str, table: str, tail: str = "", ch: str = CH) -> str:
     sel("CAST(max(day) AS VARCHAR) AS latest_day", "prices"),
 )
 def latest_day(spark, sf):
-    return RU.latest_day(events(spark, sf).market.prices)
+    return RU.latest_day(PX.from_events(spark, sf).prices)
 
 
 @query("price_history", sel(f"{DAY}, contract, spot, scarcity", "prices"))
 def price_history(spark, sf):
-    return RU.price_history(events(spark, sf).market.prices)
+    return RU.price_history(PX.from_events(spark, sf).prices)
 
 
 @query(
@@ -194,7 +200,7 @@ def agent_day_rollup(spark, sf):
 
 @query("ratio_of_sums_daily", sel(f"{DAY}, {O.R('level_pct', 6)} AS level_pct", "levels"))
 def ratio_of_sums_daily(spark, sf):
-    lv = RU.reservoir_level(events(spark, sf).market.reservoirs)
+    lv = RU.reservoir_level(PX.from_events(spark, sf).reservoirs)
     return lv.select("day", dec_round(F.col("level_pct"), 6).alias("level_pct"))
 
 
@@ -710,7 +716,7 @@ _BOOT = (
 
 @query(
     "bootstrap_best_median",
-    CH + O._boot_tail("pool", O.CMB, 200) + f"SELECT {_BOOT} FROM boot",
+    CH + O.boot_sql("units", "pool", O.CMB, O.CMB, 200) + f"SELECT {_BOOT} FROM boot",
 )
 def bootstrap_best_median(spark, sf):
     e = events(spark, sf)
@@ -719,7 +725,20 @@ def bootstrap_best_median(spark, sf):
         PN.entity_stats(s.labelled), s.days, e.settings.selection.min_presence_pct
     )
     return VA.bootstrap_best_median(
-        VA.bootstrap_units(eligible), VA.bootstrap_pool(s.labelled, eligible), n_boot=200, draws=DRAWS
+        VA.bootstrap_units(eligible), VA.bootstrap_pool(s.labelled, eligible), n_boot=200
+    )
+
+
+@query("bootstrap_by_draws", CH + O.draws_sql(200) + f"SELECT {_BOOT} FROM boot")
+def bootstrap_by_draws(spark, sf):
+    """The definition: every value of every entity is drawn."""
+    e = events(spark, sf)
+    s = stored_study(e)
+    eligible = SE.present_enough(
+        PN.entity_stats(s.labelled), s.days, e.settings.selection.min_presence_pct
+    )
+    return VA.bootstrap_best_median(
+        VA.bootstrap_units(eligible), VA.bootstrap_pool(s.labelled, eligible), n_boot=200, draws="md5"
     )
 
 
@@ -730,7 +749,7 @@ _CROSS_CH = CH.replace("FROM eligible s)", "FROM stats s)").replace(
 
 @query(
     "bootstrap_cross_segment",
-    _CROSS_CH + O._boot_tail("lab", "window_id, archetype", 200) + f"SELECT {_BOOT} FROM boot",
+    _CROSS_CH + O.boot_sql("units", "lab", O.CMB, "window_id, archetype", 200) + f"SELECT {_BOOT} FROM boot",
 )
 def bootstrap_cross_segment(spark, sf):
     s = stored_study(events(spark, sf))
@@ -739,7 +758,6 @@ def bootstrap_cross_segment(spark, sf):
         s.labelled,
         pool_keys=["window_id", "archetype"],
         n_boot=200,
-        draws=DRAWS,
     )
 
 
@@ -752,27 +770,15 @@ besta AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY window_id, se
 
 @query(
     "bootstrap_archetype",
-    CH + _ARCH_UNITS.rstrip() + """,
-sizes2 AS (SELECT window_id, segment, count(*) AS n_pool FROM lab GROUP BY ALL),
-reps2 AS (SELECT window_id, segment, unit, draws, unnest(range(1, 201)) AS rep FROM units2),
-med2 AS (SELECT window_id, segment, rep, list_sort(flatten(list_transform(range(0, (draws - 1) // 4 + 1), lambda b:
- list_transform([1, 9, 17, 25], lambda p: substr(md5(concat_ws('|', '42', window_id, segment, unit, CAST(rep AS VARCHAR), CAST(b AS VARCHAR))), p, 8))))[1:draws])[draws // 2 + 1] AS h FROM reps2),
-max2 AS (SELECT window_id, segment, rep, max(CAST('0x' || h AS BIGINT) / 4294967296.0) AS u FROM med2 GROUP BY ALL),
-spots2 AS (SELECT window_id, segment, rel, row_number() OVER (PARTITION BY window_id, segment ORDER BY rel) - 1 AS i FROM lab),
-null2 AS (SELECT m.window_id, m.segment, s.rel AS v FROM max2 m JOIN sizes2 z USING (window_id, segment) JOIN spots2 s
- ON s.window_id = m.window_id AND s.segment = m.segment AND s.i = CAST(floor(m.u * z.n_pool) AS BIGINT))
-""" + f"""SELECT n.window_id, n.segment, b.unit AS archetype, (SELECT CAST(count(*) AS BIGINT) FROM units2 u WHERE u.window_id = n.window_id AND u.segment = n.segment) AS n_units,
- CAST(max(z.n_pool) AS BIGINT) AS n_pool, CAST(200 AS BIGINT) AS n_boot, {O.R('max(level)')} AS boot_best,
- {O.R('quantile_cont(v, 0.5)')} AS boot_null_p50, {O.R('quantile_cont(v, 0.95)')} AS boot_null_p95,
- {O.R('(count(*) FILTER (WHERE v >= level) + 1) / 201.0', 4)} AS p_value, {O.R('count(*) FILTER (WHERE v <= level) * 100.0 / 200.0', 1)} AS boot_percentile
- FROM null2 n JOIN besta b ON b.window_id = n.window_id AND b.segment = n.segment
- JOIN sizes2 z ON z.window_id = n.window_id AND z.segment = n.segment GROUP BY n.window_id, n.segment, b.unit""",
+    CH + _ARCH_UNITS.rstrip() + ","
+    + O.boot_sql("units2", "lab", "window_id, segment", "window_id, segment", 200)
+    + f"SELECT b.window_id, b.segment, a.unit AS archetype, {_BOOT.replace(O.CMB + ', ', '')} FROM boot b JOIN besta a USING (window_id, segment)",
 )
 def bootstrap_archetype(spark, sf):
     s = stored_study(events(spark, sf))
     units = VA.archetype_units(s.labelled)
     keys = WINDOW + ["segment"]
-    boot = VA.bootstrap_best_median(units, s.labelled, keys=keys, n_boot=200, draws=DRAWS)
+    boot = VA.bootstrap_best_median(units, s.labelled, keys=keys, n_boot=200)
     return boot.join(VA.best_archetype(units), keys).select(
         *keys, "archetype", *[c for c in boot.columns if c not in keys]
     )
@@ -922,21 +928,12 @@ class Orders:
         return ST.daily(self.market, self.settings, store=True)
 
 
-# Registered queries draw with md5, which plain SQL can repeat; the library draws by class.
-DRAWS = "md5"
-
-
-def repeatable(settings):
-    """Settings whose bootstrap draws the SQL twin can repeat."""
-    return replace(settings, selection=replace(settings.selection, draws=DRAWS))
-
-
 def orders(spark, sf_dir, study=90, evald=7, step=30, **changes) -> Orders:
     market = PX.from_orders(spark, sf_dir)
     edges = WN.data_edges(market.prices)
     return Orders(
         market,
-        repeatable(PX.order_settings(**changes)),
+        PX.order_settings(**changes),
         durable(WN.window_grid(edges, study, evald, step), "windows"),
         SR.regime_total(market.prices),
         RU.reservoir_level(market.reservoirs),
@@ -1056,7 +1053,7 @@ def sweep(spark, sf):
     return SK.sweep_table(SN.sweep(rows, o.settings), COMBO + ["pos"])
 
 
-_ASSESS_CH = O.event_chain(weighted=True, boot=1000)
+_ASSESS_CH = O.event_chain(weighted=True)
 _PERSIST = f"""
 hs0 AS (SELECT {O.CMB}, agent_id, count(*) AS n_days, {O.UM('margin')} AS level, min(agent_id || '|' || CAST(day AS VARCHAR)) AS k FROM hold GROUP BY ALL),
 hs AS (SELECT h.*, row_number() OVER (PARTITION BY {O.CMB} ORDER BY level DESC, k) - 1 AS position, count(*) OVER (PARTITION BY {O.CMB}) AS n
@@ -1076,13 +1073,10 @@ _VALID = "coalesce(p_value <= 0.05 AND persistence_pct >= 50 AND replication_rat
 
 def event_assessment(spark, sf):
     e = events(spark, sf)
-    e.settings = repeatable(
-        replace(e.settings, policy=replace(e.settings.policy, weighted=True))
-    )
+    e.settings = replace(e.settings, policy=replace(e.settings.policy, weighted=True))
     levels = RU.reservoir_level(e.market.reservoirs)
     regime = SR.regime_total(e.market.prices)
-    d = ST.daily(e.market, e.settings, store=True)
-    return e, AS.assess(d, e.market, e.settings, e.windows, regime, levels=levels), levels
+    return e, AS.assess(e.daily, e.market, e.settings, e.windows, regime, levels=levels), levels
 
 
 @query(
@@ -1143,7 +1137,7 @@ def window_scan_archetype(spark, sf):
     return SN.with_candidates(rows, o.settings).select(*_SCAN_COLS)
 
 
-_WALK_CH = O.order_chain(spans=O.walk_spans(), main="select", weighted=True, boot=1000)
+_WALK_CH = O.order_chain(spans=O.walk_spans(), main="select", weighted=True)
 @query(
     "walk_forward",
     _WALK_CH + _PERSIST.replace(O.NEED("n_study_days", 20), O.NEED("n_study_days", 5))
@@ -1155,7 +1149,7 @@ SELECT segment, archetype, CAST(step AS BIGINT) AS step, window_id, CAST(n_leade
 )
 def walk_forward(spark, sf):
     market = PX.from_orders(spark, sf)
-    settings = repeatable(PX.order_settings())
+    settings = PX.order_settings()
     settings = replace(settings, policy=replace(settings.policy, weighted=True))
     edges = WN.data_edges(market.prices)
     windows = durable(WN.walk_forward_grid(edges, 30, 7, 6), "windows")
@@ -1194,7 +1188,7 @@ def weekly_tables(spark, sf):
     return AC.weekly(
         e.daily,
         e.market,
-        repeatable(e.settings),
+        e.settings,
         e.windows,
         SR.regime_total(e.market.prices),
         "SMALL",
@@ -1297,8 +1291,7 @@ def cluster_assign(spark, sf):
 @query("kmeans_profiles")
 def kmeans_profiles(spark, sf):
     e = events(spark, sf)
-    d = ST.daily(e.market, e.settings, store=True)
-    s = ST.study(d, e.market, e.settings, e.span("select"), labels="kmeans", store=True)
+    s = ST.study(e.daily, e.market, e.settings, e.span("select"), labels="kmeans", store=True)
     return s.profiles
 
 
@@ -1313,8 +1306,7 @@ def kmeans_best_k(spark, sf):
 def kmeans_auto_profiles(spark, sf):
     """Profiles of the clusters of the best k."""
     e = events(spark, sf)
-    d = ST.daily(e.market, e.settings, store=True)
-    return ST.study(d, e.market, e.settings, e.span("select"), labels="kmeans", store=True, k=None).profiles
+    return ST.study(e.daily, e.market, e.settings, e.span("select"), labels="kmeans", store=True, k=None).profiles
 
 
 @query("window_scan_kmeans")

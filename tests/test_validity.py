@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from helpers import day, labelled, one
 from pyspark.sql import functions as F
 
-from peerglass.functions.medians import best_of_medians_at
+from peerglass.functions.medians import best_median_at, log_binomial_tail
 from peerglass.operators import COMBO, WINDOW
 from peerglass.operators import panel as PN
 from peerglass.operators import validity as VA
@@ -74,21 +75,37 @@ def test_bootstrap_agrees_with_the_closed_form(spark, draws):
     assert abs(r["p_value"] - want) < 4 * math.sqrt(want * (1 - want) / n) + 1 / n
 
 
-def test_best_of_medians_against_the_binomial_tail():
-    rng = np.random.default_rng(3)
-    for n in (1, 2, 3, 10, 91, 1500):
-        for m in (1, 7, 5000):
-            u = rng.uniform(size=20)
-            x = best_of_medians_at(u, np.full(20, n), np.full(20, m))
-            r = n // 2 + 1
-            for a, b in zip(u, x):
-                steps = [
-                    math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-                    + k * math.log(b) + (n - k) * math.log1p(-b)
-                    for k in range(n + 1)
-                ]
-                miss = sum(math.exp(s) for s in steps[:r])
-                assert abs(math.exp(m * math.log1p(-miss)) - a) < 2e-4
+def exact_tail(n, least, p):
+    return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least, n + 1))
+
+
+def test_binomial_tails_against_the_sum():
+    cases = [(n, k, p) for n in (1, 2, 3, 10, 91, 400) for k in {0, 1, n // 2, n // 2 + 1, n, n + 1}
+             for p in (Fraction(0), Fraction(1, 1000), Fraction(1, 3), Fraction(1, 2), Fraction(999, 1000), Fraction(1))]
+    n, k, p = (np.array([float(c[i]) for c in cases]) for i in range(3))
+    got = np.exp(log_binomial_tail(n, k, p))
+    want = [float(exact_tail(*c)) for c in cases]
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-280)
+    # Large numbers of draws: both sides of the mean add up.
+    for size in (10**4, 10**6):
+        for x in (0.49, 0.5, 0.501):
+            r = size // 2 + 1
+            up, down = np.exp(log_binomial_tail([size, size], [r, size - r + 1], [x, 1 - x]))
+            assert abs(up + down - 1) < 1e-8
+
+
+def test_replicates_are_the_least_positions_that_reach_their_number(spark):
+    rng = random.Random(8)
+    rows = [(rng.random(), n, [rng.choice((1, 2, 9, 40)) for _ in range(3)], [rng.choice((1, 30)) for _ in range(3)])
+            for n in (1, 2, 7, 50, 900) for _ in range(6)]
+    df = spark.createDataFrame(rows, "u double, n long, d array<long>, m array<long>")
+    for r in df.select("*", best_median_at("u", "n", "d", "m").alias("j")).collect():
+
+        def chance(j, r=r):
+            tails = [float(exact_tail(d, d // 2 + 1, Fraction(j + 1, r.n))) ** m for d, m in zip(r.d, r.m, strict=True)]
+            return math.prod(tails)
+
+        assert chance(r.j) >= r.u - 1e-9 and (r.j == 0 or chance(r.j - 1) < r.u + 1e-9)
 
 
 def test_bootstrap_does_not_depend_on_partitioning(spark):
