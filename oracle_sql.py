@@ -212,6 +212,7 @@ def chain(
     main="select",
     weighted=False,
     archetypes=False,
+    kmeans=None,
     sel: P.Selection = P.Selection(),
     rules: P.PolicyRules = P.PolicyRules(),
 ):
@@ -250,7 +251,19 @@ fit AS (SELECT {CMB}, bin, {mix}, sum(n_days) AS n_days, min(spread_min) AS spre
         follower_cost,
         follower_cost,
     )
-    return f"""WITH {source},
+    members = f"""SELECT s.window_id, s.phase, p.*, g.name, g.segment
+  FROM panel p JOIN spans s ON p.day BETWEEN s.start_day AND s.end_day
+  JOIN seg g ON g.window_id = s.window_id AND g.phase = s.phase AND g.agent_id = p.agent_id"""
+    if kmeans:
+        means = ", ".join(R(f"CAST(sum(CAST({f} AS DECIMAL(18,4))) AS DOUBLE) / count(*)") + f" AS {f}" for f in PROFILE)
+        labels = f"""members AS ({members} WHERE s.phase = '{main}'),
+{kmeans_sql([kmeans], "members").strip()},
+knamed AS (SELECT window_id, id, {ARCHETYPE} AS archetype FROM
+  (SELECT window_id, a.id, {means} FROM members JOIN kasg a USING (window_id, agent_id, day) GROUP BY window_id, a.id)),
+lab0 AS (SELECT l.*, n.archetype FROM members l JOIN kasg a USING (window_id, agent_id, day) JOIN knamed n ON n.window_id = a.window_id AND n.id = a.id)"""
+    else:
+        labels = f"lab0 AS (SELECT *, {ARCHETYPE} AS archetype FROM ({members} WHERE s.phase <> 'eval'))"
+    return f"""WITH {'RECURSIVE ' if kmeans else ''}{source},
 daily AS (SELECT agent_id, CAST(ts AS DATE) AS day, {', '.join(f'sum({m}) AS {m}' for m in MEASURES)}
   FROM hourly GROUP BY 1, 2),
 panel0 AS (SELECT d.*, coalesce(p.contract, 0) AS contract, coalesce(p.spot, 0) AS spot, coalesce(p.scarcity, 0) AS scarcity
@@ -269,9 +282,7 @@ seg AS (SELECT window_id, phase, agent_id, name, {R('total_gwh', 1)} AS total_gw
   {R(SAFE('coalesce(unreg_gwh, 0)', 'total_gwh') + ' * 100.0', 1)} AS pct_unreg,
   CASE WHEN total_gwh >= {sizes.large_min} * ({scale}) THEN '{large}'
     WHEN total_gwh >= {sizes.medium_min} * ({scale}) THEN '{medium}' ELSE '{small}' END AS segment FROM pop),
-lab0 AS (SELECT s.window_id, s.phase, p.*, g.name, g.segment, {ARCHETYPE} AS archetype
-  FROM panel p JOIN spans s ON p.day BETWEEN s.start_day AND s.end_day
-  JOIN seg g ON g.window_id = s.window_id AND g.phase = s.phase AND g.agent_id = p.agent_id WHERE s.phase <> 'eval'),
+{labels},
 bench AS (SELECT window_id, phase, segment, day, {UM('margin')} AS bench FROM lab0 GROUP BY ALL),
 laball AS (SELECT l.*, {CODE} AS cluster_id, b.bench, {R('margin - coalesce(b.bench, margin)')} AS rel,
   spot - contract AS spread, {BIN('(spot - contract)', bins)} AS bin
@@ -519,6 +530,74 @@ merges AS (SELECT {CMB}, n_leaders, list_reduce(list_concat([coalesce(g0, CAST([
 nef AS (SELECT {CMB}, n_leaders, groups, greatest(1, n_leaders - coalesce(list_sum(list_transform(groups, lambda g: len(g) - 1)), 0)) AS n_effective FROM merges)"""
 
 
+def kmeans_sql(ks, rows="lab", starts=10):
+    """K-means of ``rows`` per window by repeated assignment, as tables ``kcen``, ``kasg`` and ``kqual``.
+
+    The statement must begin WITH RECURSIVE.
+    """
+    raw = ["ln(1 + demand_gwh)", "pct_unregulated", "least(ln(1 + pct_contract), 300.0)", "ln(1 + pct_spot)", "pct_auction", "has_auction"]
+    dims = range(1, len(raw) + 1)
+    mean, var = "(m{0} / n)", "sqrt(greatest(s{0} / n - (m{0} / n) * (m{0} / n), 0.0))"
+    z = [
+        f"CASE WHEN {var.format(i)} > 1e-9 THEN CAST(round(CAST((CAST(x{i} AS DOUBLE) - {mean.format(i)}) / {var.format(i)} AS DECIMAL(30,12)), 8) AS DOUBLE) ELSE 0.0 END"
+        for i in dims
+    ]
+    gap = lambda p, q: " + ".join(f"({p}[{i}] - {q}[{i}]) * ({p}[{i}] - {q}[{i}])" for i in dims)
+    gaps = f"list_transform(cs, lambda q: {gap('p', 'q.c')})"
+    nearest = f"list_position({gaps}, list_min({gaps}))"
+    first = [
+        f"SELECT window_id, {s} AS start, [arg_min(p, ({who}agent_id, day))] AS cs FROM kpts GROUP BY window_id"
+        for s in range(starts)
+        for who in [f"md5(concat_ws('|', agent_id, CAST(day AS VARCHAR), '{s}')), " if s else ""]
+    ]
+    far = "".join(
+        f"""
+kini{i} AS (SELECT f.window_id, f.start, CASE WHEN gap > 0 THEN list_append(cs, pt) ELSE cs END AS cs FROM kini{i - 1} f JOIN
+  (SELECT window_id, start, max(gap) AS gap, arg_max(p, (gap, agent_id, day)) AS pt FROM
+    (SELECT window_id, start, agent_id, day, p, list_min(list_transform(cs, lambda q: {gap('p', 'q')})) AS gap FROM kpts JOIN kini{i - 1} USING (window_id))
+   GROUP BY window_id, start) USING (window_id, start)),"""
+        for i in range(1, max(ks))
+    )
+    sums = ", ".join(f"CAST(sum(CAST(p[{i}] AS DECIMAL(20,8))) AS DOUBLE)" for i in dims)
+    means = ", ".join(f"CAST(sum(CAST(p[{i}] AS DECIMAL(20,8))) AS DOUBLE) / count(*)" for i in dims)
+    square = " + ".join(f"p[{i}] * p[{i}]" for i in dims)
+    cross = " + ".join(f"p[{i}] * c.s[{i}]" for i in dims)
+    spread = f"greatest(c.n * ({square}) + c.q - 2 * ({cross}), 0.0)"
+    mine = f"list_transform(list_filter(clusters, lambda c: c.id = a.id), lambda c: {spread})[1]"
+    other = f"list_min(list_transform(list_filter(clusters, lambda c: c.id <> a.id), lambda c: ({spread}) / c.n))"
+    return f"""
+kraw AS (SELECT *, {', '.join(f'CAST(round(CAST(coalesce({x}, 0.0) AS DECIMAL(30,12)), 8) AS DECIMAL(18,8)) AS x{i}' for i, x in enumerate(raw, 1))} FROM {rows}),
+kstat AS (SELECT window_id, CAST(count(*) AS DOUBLE) AS n, {', '.join(f'CAST(sum(x{i}) AS DOUBLE) AS m{i}, CAST(sum(CAST(x{i} AS DECIMAL(19,8)) * CAST(x{i} AS DECIMAL(19,8))) AS DOUBLE) AS s{i}' for i in dims)} FROM kraw GROUP BY window_id),
+kpts AS MATERIALIZED (SELECT window_id, agent_id, day, [{', '.join(z)}] AS p FROM kraw JOIN kstat USING (window_id)),
+kini0 AS ({' UNION ALL '.join(first)}),{far}
+kruns AS (SELECT window_id, k, start, list_transform(cs[1:k], lambda c, i: {{'id': i - 1, 'c': c}}) AS cs FROM kini{max(ks) - 1}, (VALUES {', '.join(f'({k})' for k in ks)}) t(k)),
+kmove AS (SELECT window_id, k, start, 0 AS step, cs, false AS rests FROM kruns
+  UNION ALL
+  SELECT window_id, k, start, any_value(step) + 1, list({{'id': id, 'c': c}} ORDER BY id), list({{'id': id, 'c': c}} ORDER BY id) = any_value(cs) FROM
+    (SELECT window_id, k, start, cs[place].id AS id, any_value(step) AS step, any_value(cs) AS cs, [{means}] AS c FROM
+      (SELECT m.window_id, k, start, step, cs, p, {nearest} AS place FROM kmove m JOIN kpts USING (window_id) WHERE NOT rests AND step < 300)
+     GROUP BY window_id, k, start, cs[place].id)
+   GROUP BY window_id, k, start),
+krest AS (SELECT window_id, k, start, arg_max(cs, step) AS cs FROM kmove GROUP BY window_id, k, start),
+kcost AS (SELECT window_id, k, start, any_value(cs) AS cs, CAST(sum(CAST(list_min({gaps}) AS DECIMAL(30,8))) AS DOUBLE) AS cost
+  FROM krest JOIN kpts USING (window_id) GROUP BY window_id, k, start),
+kcen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY window_id, k ORDER BY cost, start) AS r FROM kcost) WHERE r = 1),
+kasg AS (SELECT window_id, k, agent_id, day, p, cs[{nearest}].id AS id FROM kcen JOIN kpts USING (window_id)),
+kheld AS (SELECT window_id, k, list({{'id': id, 'n': n, 'q': q, 's': s}}) AS clusters FROM (SELECT window_id, k, id, count(*) AS n,
+  CAST(sum(CAST({square} AS DECIMAL(30,8))) AS DOUBLE) AS q, [{sums}] AS s FROM kasg GROUP BY window_id, k, id) GROUP BY window_id, k),
+kwide AS (SELECT a.window_id, a.k, list_filter(clusters, lambda c: c.id = a.id)[1].n AS n, {mine} AS own, {other} AS b FROM kasg a JOIN kheld USING (window_id, k)),
+ksil AS (SELECT window_id, k, CAST(sum(CAST(CASE WHEN n = 1 OR greatest(own / nullif(n - 1, 0), b) = 0 THEN 0.0 ELSE
+   coalesce((b - own / nullif(n - 1, 0)) / greatest(own / nullif(n - 1, 0), b), 0.0) END AS DECIMAL(20,10))) AS DOUBLE) / count(*) AS silhouette FROM kwide GROUP BY window_id, k),
+kscore AS (SELECT window_id, k, {R('cost', 1)} AS cost, {R('silhouette', 4)} AS silhouette FROM kcen JOIN ksil USING (window_id, k) JOIN kstat USING (window_id) WHERE k < n),
+kqual AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY silhouette DESC, k) = 1 AS is_best FROM kscore)
+"""
+
+
+def profiles_sql(rows, agg):
+    """Named profiles of the clusters of ``rows``; ``agg`` are its aggregates."""
+    return f"SELECT *, {ARCHETYPE} AS archetype FROM (SELECT {agg} FROM {rows} GROUP BY window_id, cluster_id)"
+
+
 GATE_SQL = {
     "V1_bootstrap": "coalesce(p_value <= 0.05, false)",
     "V2_n_effective": "coalesce(n_effective, 0) >= 3",

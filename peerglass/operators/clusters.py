@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,22 +45,31 @@ def cluster_inputs(
 
 # --------------------------------------------------- many windows at once
 def _standardised(inputs: DataFrame, keys: list[str]) -> DataFrame:
-    """Z-scores per window; a constant feature becomes zero."""
-    aggs = []
+    """Z-scores per window to eight decimals; a constant feature becomes zero.
+
+    Inputs are taken to eight decimals and summed as decimals, so that points depend
+    neither on the row order nor on an engine's logarithm.
+    """
+    exact = {x: F.round(F.col(x).cast("decimal(30,12)"), 8).cast("decimal(18,8)") for x in CLUSTER_INPUTS}
+    fixed = inputs.select(*keys, "agent_id", "day", *[v.alias(x) for x, v in exact.items()])
+    aggs = [F.count(F.lit(1)).cast("double").alias("n")]
     for x in CLUSTER_INPUTS:
-        aggs += [F.avg(x).alias(f"m_{x}"), F.stddev_pop(x).alias(f"s_{x}")]
-    # Stored, so that its true size lets every point meet it without a shuffle.
-    stats = durable(inputs.groupBy(*keys).agg(*aggs), "scale")
-    point = F.array(
-        *[
-            F.coalesce(
-                F.try_divide(F.col(x) - F.col(f"m_{x}"), F.nullif(F.col(f"s_{x}"), F.lit(0.0))),
-                F.lit(0.0),
-            )
-            for x in CLUSTER_INPUTS
+        aggs += [
+            F.sum(x).cast("double").alias(f"m_{x}"),
+            F.sum(F.col(x) * F.col(x)).cast("double").alias(f"s_{x}"),
         ]
+    # Stored, so that its true size lets every point meet it without a shuffle.
+    stats = durable(fixed.groupBy(*keys).agg(*aggs), "scale")
+
+    def z(x: str) -> Column:
+        mean = F.col(f"m_{x}") / F.col("n")
+        spread = F.sqrt(F.greatest(F.col(f"s_{x}") / F.col("n") - mean * mean, F.lit(0.0)))
+        value = (F.col(x).cast("double") - mean) / spread
+        return F.when(spread > 1e-9, F.round(value.cast("decimal(30,12)"), 8).cast("double")).otherwise(0.0)
+
+    return fixed.join(stats, keys).select(
+        *keys, "agent_id", "day", F.array(*[z(x) for x in CLUSTER_INPUTS]).alias("point")
     )
-    return inputs.join(stats, keys).select(*keys, "agent_id", "day", point.alias("point"))
 
 
 def _gap(a: Column, b: Column, size: int) -> Column:
@@ -79,30 +90,27 @@ def nearest_center(point: Column, centers: Column, size: int = len(CLUSTER_INPUT
 def _first_centers(points: DataFrame, keys: list[str], ks: list[int], starts: int) -> DataFrame:
     """Starting centres (keys, k, start, centers): one entity-day, then the farthest ones.
 
-    Starts differ in their first entity-day: the least one, then others by a hash.
-    Each step is one aggregate with map-side partials.
+    Starts differ in their first entity-day: the least one, then others by a digest. A
+    start's centres for k are the first k of one sequence. Each step is one aggregate
+    with map-side partials.
     """
+    name = "concat_ws('|', agent_id, cast(day as string), '{}')"
     firsts = [F.min_by("point", F.struct("agent_id", "day"))] + [
-        F.min_by("point", F.struct(F.xxhash64("agent_id", "day", F.lit(s)), "agent_id", "day"))
+        F.min_by("point", F.struct(F.md5(F.expr(name.format(s))), "agent_id", "day"))
         for s in range(1, starts)
     ]
     centers = (
         points.groupBy(*keys)
         .agg(F.array(*firsts).alias("p"))
         .select(*keys, F.posexplode("p").alias("start", "p"))
-        .select(
-            *keys,
-            F.explode(F.array(*(F.lit(k) for k in ks))).alias("k"),
-            "start",
-            F.array(F.struct(F.lit(0).alias("id"), F.col("p").alias("center"))).alias("centers"),
-        )
+        .select(*keys, "start", F.array(F.struct(F.lit(0).alias("id"), F.col("p").alias("center"))).alias("centers"))
     )
     centers = durable(centers, "centers")
     for i in range(1, max(ks)):
         far = (
-            points.join(centers.where(F.col("k") > i), keys)
+            points.join(centers, keys)
             .withColumn("gap", nearest_center(F.col("point"), F.col("centers"))["gap"])
-            .groupBy(*keys, "k", "start")
+            .groupBy(*keys, "start")
             .agg(
                 F.max("gap").alias("gap"),
                 F.max_by("point", F.struct("gap", "agent_id", "day")).alias("p"),
@@ -110,15 +118,17 @@ def _first_centers(points: DataFrame, keys: list[str], ks: list[int], starts: in
         )
         further = F.array(F.struct(F.lit(i).alias("id"), F.col("p").alias("center")))
         centers = durable(
-            centers.join(far, [*keys, "k", "start"], "left").select(
-                *keys, "k", "start",
+            centers.join(far, [*keys, "start"], "left").select(
+                *keys, "start",
                 F.when(F.col("gap") > 0, F.concat("centers", further))
                 .otherwise(F.col("centers"))
                 .alias("centers"),
             ),
             "centers",
         )
-    return centers
+    return centers.withColumn("k", F.explode(F.array(*(F.lit(k) for k in ks)))).select(
+        *keys, "k", "start", F.slice("centers", 1, F.col("k")).alias("centers")
+    )
 
 
 def _assigned(points: DataFrame, centers: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,22 +138,26 @@ def _assigned(points: DataFrame, centers: DataFrame, keys: list[str]) -> DataFra
     )
 
 
-def fitted_centers(
-    points: DataFrame, keys: list[str], ks: list[int], starts: int, max_steps: int
-) -> DataFrame:
-    """(keys, k, centers, cost): the best of several starts, each moved until it rests.
+_CENTERS = "array<struct<id:int,center:array<double>>>"
+IN_TASK = 200_000  # points of a window up to which one task moves its centres until they rest
+
+
+def _moved_in_steps(points: DataFrame, first: DataFrame, by: list[str], keys: list[str], max_steps: int) -> DataFrame:
+    """Centres (by, centers) at rest, for windows of any size.
 
-    All windows, numbers of clusters and starts move in the same job. Those that
-    rest drop out of the next one. Points are not repeated: they meet the table of
-    centres, and only partial sums are shuffled.
+    All runs are one small table, written anew in every step from the one before, so a
+    step's plan does not grow. Runs that rest are carried over, and their points are
+    not looked at again. Only partial sums are shuffled.
     """
-    moving, resting = _first_centers(points, keys, ks, starts), None
     size = len(CLUSTER_INPUTS)
-    by = [*keys, "k", "start"]
+    state = durable(first.select(*by, "centers", F.lit(False).alias("rests")), "centers")
     for _ in range(max_steps):
+        moving = state.where("NOT rests")
+        if moving.isEmpty():
+            break
         # Decimal sums make the centres independent of the row order.
         moved = (
-            _assigned(points, moving, keys)
+            _assigned(points, moving.drop("rests"), keys)
             .groupBy(*by, "id")
             .agg(
                 *[
@@ -160,16 +174,89 @@ def fitted_centers(
                 ).alias("now")
             )
         )
-        step = durable(
-            moving.join(moved, by).select(*by, F.col("now").alias("centers"), (F.col("now") == F.col("centers")).alias("rests")),
+        state = durable(
+            state.join(moved, by, "left").select(
+                *by, F.coalesce("now", "centers").alias("centers"),
+                (F.col("rests") | F.coalesce(F.col("now") == F.col("centers"), F.lit(True))).alias("rests"),
+            ),
             "centers",
+        )
+    return state.drop("rests")
+
+
+def _rested(points: np.ndarray, ids: np.ndarray, centers: np.ndarray, max_steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same steps on the points of one window; sums are of whole numbers, hence exact."""
+    whole = np.rint(points * 1e8).astype(np.int64)
+    for _ in range(max_steps):
+        gap = np.zeros((len(points), len(centers)))
+        for i in range(points.shape[1]):
+            step = points[:, i, None] - centers[None, :, i]
+            gap = gap + step * step if i else step * step
+        near = gap.argmin(axis=1)
+        held = [c for c in range(len(centers)) if (near == c).any()]
+        now = np.array(
+            [[int(x) / 10**8 / int((near == c).sum()) for x in whole[near == c].sum(axis=0)] for c in held]
         )
-        rests = step.where("rests").drop("rests")
-        resting = rests if resting is None else resting.unionByName(rests)
-        moving = step.where("NOT rests").drop("rests")
-        if moving.isEmpty():
+        if len(held) == len(centers) and (now == centers).all():
             break
-    fitted = moving if resting is None else resting.unionByName(moving)
+        ids, centers = ids[held], now
+    return ids, centers
+
+
+def _moved_in_tasks(
+    points: DataFrame, first: DataFrame, by: list[str], keys: list[str], numbers: list[int], max_steps: int
+) -> DataFrame:
+    """Centres (by, centers) at rest, a task for each window and k; windows of bounded size only."""
+    group = [*keys, "k"]
+    ks = first.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("start", "centers"))).alias("runs"))
+    left = points.withColumn("k", F.explode(F.array(*(F.lit(k) for k in numbers))))
+
+    def fit(key: tuple, rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(rows["point"].to_numpy()).astype(float) if len(rows) else np.zeros((0, len(CLUSTER_INPUTS)))
+        out = []
+        for run in runs["runs"].iloc[0] if len(runs) else []:
+            ids = np.array([c["id"] for c in run["centers"]])
+            centers = np.array([list(c["center"]) for c in run["centers"]], dtype=float)
+            ids, centers = _rested(x, ids, centers, max_steps)
+            found = [{"id": int(i), "center": c.tolist()} for i, c in zip(ids, centers, strict=True)]
+            out.append((*key, int(run["start"]), found))
+        return pd.DataFrame(out, columns=[*by, "centers"])
+
+    types = dict(first.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in by) + f", centers {_CENTERS}"
+    return left.groupBy(*group).cogroup(ks.groupBy(*group)).applyInPandas(fit, schema)
+
+
+def fitted_centers(
+    points: DataFrame, keys: list[str], ks: list[int], starts: int, max_steps: int, in_task: int | None = None
+) -> DataFrame:
+    """(keys, k, centers, cost): the best of several starts, each moved until it rests.
+
+    All windows, numbers of clusters and starts move in the same job. Windows of at
+    most ``in_task`` points are moved within tasks; larger ones step by step over all
+    tasks. Both give the same centres.
+    """
+    limit = IN_TASK if in_task is None else in_task
+    by = [*keys, "k", "start"]
+    first = durable(_first_centers(points, keys, ks, starts), "centers")
+    sizes = durable(
+        points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, (F.col("n") > limit).alias("large")),
+        "sizes",
+    )
+    fitted = None
+    for large in (False, True):
+        some = sizes.where("large" if large else "NOT large").select(*keys)
+        if some.isEmpty():
+            continue
+        mine, begin = points.join(some, keys, "left_semi"), first.join(some, keys, "left_semi")
+        part = (
+            _moved_in_steps(mine, begin, by, keys, max_steps)
+            if large
+            else durable(_moved_in_tasks(mine, begin, by, keys, ks, max_steps), "centers")
+        )
+        fitted = part if fitted is None else fitted.unionByName(part)
+    if fitted is None:
+        fitted = first
     cost = _assigned(points, fitted, keys).groupBy(*by).agg(
         F.sum(F.col("gap").cast("decimal(30,8)")).cast("double").alias("cost")
     )

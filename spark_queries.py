@@ -354,10 +354,8 @@ def rank_histogram(spark, sf):
     return RK.rank_histogram(RK.daily_ranking(events(spark, sf).study().labelled), 8)
 
 
-@query(
-    "cluster_profiles",
-    sel(
-        f"window_id, {BIG('cluster_id')}, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT agent_id) AS BIGINT) AS n_agents, "
+_PROFILE = (
+    f"window_id, {BIG('cluster_id')}, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT agent_id) AS BIGINT) AS n_agents, "
         + ", ".join(
             O.R(f"CAST(sum(CAST({f} AS DECIMAL(18,4))) AS DOUBLE) / count(*)") + f" AS {f}"
             for f in ("log_demand", *PROFILE)
@@ -367,11 +365,11 @@ def rank_histogram(spark, sf):
             f"CASE WHEN count(*) FILTER (WHERE segment = '{s}') > 0 THEN '{s}=' || count(*) FILTER (WHERE segment = '{s}') END"
             for s in ("LARGE", "MEDIUM", "SMALL")
         )
-        + "] IF x IS NOT NULL]), 'string_agg', ',') AS by_segment",
-        "lab",
-        "GROUP BY window_id, cluster_id",
-    ),
+        + "] IF x IS NOT NULL]), 'string_agg', ',') AS by_segment"
 )
+
+
+@query("cluster_profiles", sel(_PROFILE, "lab", "GROUP BY window_id, cluster_id"))
 def cluster_profiles(spark, sf):
     return CL.cluster_profiles(events(spark, sf).study().labelled).drop("archetype")
 
@@ -1288,28 +1286,39 @@ def cluster_assign(spark, sf):
     )
 
 
-@query("kmeans_profiles")
+RCH = CH.replace("WITH ", "WITH RECURSIVE ", 1)
+_KROWS = "klab AS (SELECT l.* EXCLUDE (cluster_id, archetype), a.id AS cluster_id FROM lab l JOIN kasg a USING (window_id, agent_id, day){})\n"
+
+
+@query("kmeans_profiles", RCH + O.kmeans_sql([5]).rstrip() + ",\n" + _KROWS.format("") + O.profiles_sql("klab", _PROFILE))
 def kmeans_profiles(spark, sf):
     e = events(spark, sf)
     s = ST.study(e.daily, e.market, e.settings, e.span("select"), labels="kmeans", store=True)
     return s.profiles
 
 
-@query("kmeans_best_k")
+_KS = list(CL.NUMBERS)
+
+
+@query("kmeans_best_k", RCH + O.kmeans_sql(_KS) + "SELECT window_id, CAST(k AS BIGINT) AS k, cost, silhouette, CAST(is_best AS BIGINT) AS is_best FROM kqual")
 def kmeans_best_k(spark, sf):
     """Cost and silhouette per k, for one study, on whole tables."""
     s = stored_study(events(spark, sf))
     return CL.cluster_quality(CL.cluster_inputs(s.labelled))
 
 
-@query("kmeans_auto_profiles")
+@query(
+    "kmeans_auto_profiles",
+    RCH + O.kmeans_sql(_KS).rstrip() + ",\n" + _KROWS.format(" JOIN kqual k USING (window_id) WHERE k.is_best AND k.k = a.k")
+    + O.profiles_sql("klab", _PROFILE),
+)
 def kmeans_auto_profiles(spark, sf):
     """Profiles of the clusters of the best k."""
     e = events(spark, sf)
     return ST.study(e.daily, e.market, e.settings, e.span("select"), labels="kmeans", store=True, k=None).profiles
 
 
-@query("window_scan_kmeans")
+@query("window_scan_kmeans", O.order_chain(kmeans=5) + O.scan_sql(200) + f"SELECT {_SCAN} FROM gated")
 def window_scan_kmeans(spark, sf):
     """The grid with every window clustered in the same job."""
     o = orders(spark, sf)

@@ -100,6 +100,29 @@ def test_centres_rest_and_starts_do_not_hurt(inputs):
         assert b["cost"] <= a["cost"]
 
 
+def test_tasks_and_steps_move_centres_alike(inputs):
+    points = durable(CL._standardised(inputs, ["window_id"]), "points")
+    run = lambda n: sorted(CL.fitted_centers(points, ["window_id"], [2, 5], 3, 300, in_task=n).collect())
+    assert run(0) == run(10**6)
+
+
+def test_steps_have_plans_of_one_size(inputs, monkeypatch):
+    """A step reads the state that the one before wrote, and nothing older."""
+    points = durable(CL._standardised(inputs, ["window_id"]), "points")
+    sizes = []
+    write = CL.durable
+
+    def watched(df, label, *a, **k):
+        if label == "centers":
+            sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, label, *a, **k)
+
+    first = write(CL._first_centers(points, ["window_id"], [5], 4), "first")
+    monkeypatch.setattr(CL, "durable", watched)
+    CL._moved_in_steps(points, first, ["window_id", "k", "start"], ["window_id"], 300)
+    assert len(sizes) > 3 and max(sizes[1:]) < 1.05 * min(sizes[1:])
+
+
 def test_best_number_is_used_where_none_is_given(inputs):
     got = labels(CL.grouped_kmeans(inputs, k=None, starts=1))
     assert {w: len({r[3] for r in got if r[0] == w}) for w in ("w1", "w2")} == {"w1": 3, "w2": 3}
