@@ -12,7 +12,8 @@ that a field's values are generalised however many documents each has. Templates
 ``min_docs`` documents recur, and their lines are dropped, except for the first
 (least document id) unless ``keep_first`` is false. The first ``depth`` tokens are the
 same throughout a leaf; unless ``lead_counts``, similarity is that of the tokens after
-them, of which at least two must be kept.
+them, of which at least two must be kept. Equal lines of more than ``long_line`` tokens
+recur from two documents on, however few share them.
 
 All steps are DataFrame functions. Texts are read for the keys of their lines, read
 again for the tokens of leaves that can recur and hold several kinds of line, and
@@ -22,7 +23,8 @@ Defined results: null text stays null; lines without a token stay; a text withou
 recurring lines is unchanged, including its line ends (``\\n``); a text that loses
 all lines is empty. Rows that repeat an id and text count as one document and are
 treated alike; rows that repeat only the id are different documents. An empty
-table gives an empty result. Other columns of the input are passed on.
+table gives an empty result. Other columns of the input are passed on, whatever their
+names; given columns n_lines and n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ def body_of(line: Column) -> Column:
 
 
 def _keyed(
-    docs: DataFrame, id_col: str, text_col: str, depth: int, similarity: float
+    docs: DataFrame, id_col: str, text_col: str, depth: int, similarity: float, long_line: int
 ) -> DataFrame:
     """A row per line with a token: document, line number, leaf, tokens, hash of the tokens.
 
@@ -76,6 +78,7 @@ def _keyed(
         "mark",
         "line_no",
         F.xxhash64(n, F.substring_index("body", " ", depth)).alias("leaf"),
+        (n > long_line).alias("long"),
         F.when(
             F.contains("body", F.lit(VARIABLE)) & (n - variable < similarity * n),
             F.xxhash64(F.trim(F.regexp_replace("line", "[\\x20\\x09-\\x0D]+", " "))),
@@ -150,30 +153,33 @@ def drop_recurring_lines(
     min_docs: int = 5,
     similarity: float = 0.6,
     keep_first: bool = True,
-    lead_counts: bool = True,
+    lead_counts: bool = False,
+    long_line: int = 50,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """The documents with recurring lines dropped, and n_lines, n_dropped (0 for null text)."""
-    keyed = _keyed(documents, id_col, text_col, depth, similarity)
+    keyed = _keyed(documents, id_col, text_col, depth, similarity, long_line)
     every = durable(keyed.drop("body"), "line-keys")
+    need = F.when(F.col("long"), 2).otherwise(min_docs)
     # Most lines stand alone in their leaf; they leave before anything is sorted by document.
-    shared = every.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    shared = every.groupBy("leaf", "long").agg(F.count("*").alias("n")).where(F.col("n") >= need)
     lines = durable(
         _sieved(every, shared).join(shared.select("leaf"), "leaf", "left_semi"), "line-shared"
     )
-    in_doc = lines.groupBy("leaf", "kind", "doc", "mark").agg(F.min("line_no").alias("line_no"))
-    kinds = in_doc.groupBy("leaf", "kind").agg(
+    in_doc = lines.groupBy("leaf", "long", "kind", "doc", "mark").agg(F.min("line_no").alias("line_no"))
+    kinds = in_doc.groupBy("leaf", "long", "kind").agg(
         F.count("*").alias("docs"), F.min(F.struct("doc", "mark", "line_no")).alias("of")
     )
     leaves = (
-        kinds.groupBy("leaf")
+        kinds.groupBy("leaf", "long")
         .agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("leaf_kinds"))
-        .where(F.col("leaf_docs") >= min_docs)
+        .where(F.col("leaf_docs") >= need)
+        .drop("long")
     )
     # Kinds of line in leaves that can recur at all.
     able = durable(kinds.join(leaves, "leaf"), "line-kinds")
-    wanted = able.where("leaf_kinds > 1").select("leaf", "kind", "docs", "leaf_docs", "of.*")
+    wanted = able.where(F.col("leaf_kinds") > 1).where(F.col("leaf_docs") >= min_docs).select("leaf", "kind", "docs", "leaf_docs", "of.*")
     bodies = join_same(
         _sieved(keyed, wanted).select("doc", "mark", "line_no", "body"),
         wanted,
@@ -187,15 +193,21 @@ def drop_recurring_lines(
         "leaf", "kind", F.coalesce("template", "kind").alias("template"),
         F.col("template").isNotNull().alias("wide"), F.coalesce("level", F.lit(0)).alias("level"),
     )
-    named = durable(named, "line-templates")
+    # A long line that is an instance of a template may still recur by itself.
+    alone = able.where("long").select(
+        "leaf", "kind", F.col("kind").alias("template"), F.lit(False).alias("wide"), F.lit(len(SHARES) + 1).alias("level")
+    )
+    named = durable(named.where("wide").unionByName(alone).unionByName(
+        named.join(able.where("NOT long").select("leaf", "kind"), ["leaf", "kind"], "left_semi").where("NOT wide")
+    ), "line-templates")
     recurring = (
         in_doc.join(named, ["leaf", "kind"])
-        .groupBy("leaf", "template", "wide", "doc", "mark")
+        .groupBy("leaf", "long", "template", "wide", "doc", "mark")
         .agg(F.min("line_no").alias("line_no"))
-        .groupBy("leaf", "template", "wide")
+        .groupBy("leaf", "long", "template", "wide")
         .agg(F.count("*").alias("docs"), F.min(F.struct("doc", "mark", "line_no")).alias("first"))
-        .where(F.col("docs") >= min_docs)
-        .drop("docs")
+        .where(F.col("docs") >= F.when(F.col("wide"), min_docs).otherwise(need))
+        .drop("docs", "long")
     )
     # A line belongs to the finest of its templates that recurs.
     dropped = (
@@ -214,17 +226,21 @@ def drop_recurring_lines(
         .groupBy(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"))
         .agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
     )
-    met = documents.join(
-        masks,
-        F.col(id_col).eqNullSafe(F.col("_doc")) & (F.xxhash64(text_col) == F.col("_mark")),
-        "left",
-    ).withColumn("_lines", F.split(text_col, "\n"))
-    return met.select(
-        *(c for c in documents.columns if c != text_col),
-        F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(_without("_lines", "gone")).alias(text_col),
-        F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_dropped"),
+    # The input's columns travel in a struct, so that none can clash.
+    met = (
+        documents.select(F.struct("*").alias("row"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+        .join(masks, F.col("doc").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_mark")), "left")
+        .withColumn("lines", F.split("text", "\n"))
+    )
+    cut = met.select(
+        "row",
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without("lines", "gone")).alias("cut"),
+        F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).alias("all"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("less"),
     )
+    others = [c for c in documents.columns if c not in (text_col, "n_lines", "n_dropped")]
+    made = F.col("cut").alias(text_col), F.col("all").alias("n_lines"), F.col("less").alias("n_dropped")
+    return cut.select(*(F.col("row")[c].alias(c) for c in others), *made)
 
 
 def _without(lines: str, gone: str) -> Column:

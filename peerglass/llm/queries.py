@@ -87,17 +87,18 @@ WITH raw AS (
   SELECT doc_id, line_no,
     trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS s FROM raw
 ), lines AS (
-  SELECT doc_id, line_no, s2 AS body, string_split(s2, ' ') AS tokens,
+  SELECT doc_id, line_no, len(string_split(s2, ' ')) > 50 AS long, s2 AS body, string_split(s2, ' ') AS tokens,
     len(string_split(s2, ' ')) || ' ' ||
       array_to_string(list_slice(string_split(s2, ' '), 1, 3), ' ') AS leaf
   FROM (SELECT *, regexp_replace(s, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS s2 FROM spaced)
   WHERE s2 <> ''
 ), kinds AS (
-  SELECT leaf, body, any_value(tokens) AS tokens, count(DISTINCT doc_id) AS docs
+  SELECT leaf, body, any_value(long) AS long, any_value(tokens) AS tokens,
+    count(DISTINCT doc_id) AS docs
   FROM lines GROUP BY leaf, body
 ), able AS (
   SELECT *, count(*) OVER (PARTITION BY leaf) AS leaf_kinds FROM kinds
-  QUALIFY sum(docs) OVER (PARTITION BY leaf) >= 5
+  QUALIFY sum(docs) OVER (PARTITION BY leaf) >= CASE WHEN long THEN 2 ELSE 5 END
 ), words AS (
   SELECT leaf, body, docs, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos
   FROM able WHERE leaf_kinds > 1
@@ -107,20 +108,27 @@ WITH raw AS (
   FROM words
 ), wider AS (
   SELECT leaf, body, string_agg(word, ' ' ORDER BY pos) AS template
-  FROM kept GROUP BY leaf, body HAVING avg((word <> '<*>')::INT::DOUBLE) >= 0.6
+  FROM kept GROUP BY leaf, body
+  HAVING avg((word <> '<*>')::INT::DOUBLE) FILTER (pos > 3) >= 0.6
+    AND count(*) FILTER (pos > 3 AND word <> '<*>') >= 2
 ), named AS (
-  SELECT a.leaf, a.body, coalesce(w.template, a.body) AS template,
-    w.template IS NOT NULL AS wide
-  FROM able a LEFT JOIN wider w ON a.leaf = w.leaf AND a.body = w.body
+  SELECT leaf, body, template, true AS wide FROM wider
+  UNION ALL
+  SELECT leaf, body, body, false FROM able a
+  WHERE long OR NOT EXISTS (FROM wider w WHERE a.leaf = w.leaf AND a.body = w.body)
 ), placed AS (
-  SELECT l.doc_id, l.line_no, n.template, n.wide,
+  SELECT l.doc_id, l.line_no, l.leaf, l.body, l.long, n.template, n.wide,
     row_number() OVER (PARTITION BY l.leaf, n.template, n.wide ORDER BY doc_id, line_no) AS nth
   FROM lines l JOIN named n ON l.leaf = n.leaf AND l.body = n.body
 ), recurring AS (
-  SELECT template, wide FROM placed GROUP BY template, wide HAVING count(DISTINCT doc_id) >= 5
+  SELECT leaf, template, wide FROM placed GROUP BY leaf, template, wide
+  HAVING count(DISTINCT doc_id) >= CASE WHEN any_value(long) AND NOT wide THEN 2 ELSE 5 END
+), chosen AS (
+  SELECT leaf, body, bool_or(wide) AS wide
+  FROM (SELECT DISTINCT leaf, body, template, wide FROM placed) SEMI JOIN recurring USING (leaf, template, wide)
+  GROUP BY leaf, body
 ), gone AS (
-  SELECT DISTINCT doc_id, line_no FROM placed p JOIN recurring r
-    ON p.template = r.template AND p.wide = r.wide WHERE nth > 1
+  SELECT DISTINCT doc_id, line_no FROM placed JOIN chosen USING (leaf, body, wide) WHERE nth > 1
 ), rebuilt AS (
   SELECT raw.doc_id, string_agg(line, chr(10) ORDER BY raw.line_no)
       FILTER (gone.line_no IS NULL) AS text,

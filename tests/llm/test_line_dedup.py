@@ -55,6 +55,16 @@ def test_repeated_rows_and_clashing_columns(docs_of):
     assert (2, "", 1, 1) in got
 
 
+def test_columns_named_like_the_operators_own(docs_of):
+    names = ["gone", "_doc", "_mark", "_lines", "lines", "row", "doc", "mark", "leaf", "kind", "long", "n_lines", "n_dropped"]
+    df = docs_of([(i, "a b c d e f\nc") for i in range(3)]).withColumns({c: F.lit(c) for c in names})
+    got = drop_recurring_lines(df, min_docs=2)
+    assert sorted(got.columns) == sorted(df.columns)
+    assert sorted((r.doc_id, r.text, r.gone, r.row, r.n_dropped) for r in got.collect()) == [
+        (0, "a b c d e f\nc", "gone", "row", 0), (1, "", "gone", "row", 2), (2, "", "gone", "row", 2),
+    ]
+
+
 def test_body(spark):
     df = spark.createDataFrame([("  a\tb1 c ",), ("",), ("7",)], "line string")
     assert [r[0] for r in df.select(body_of(F.col("line"))).collect()] == ["a <*> c", "", "<*>"]
@@ -84,7 +94,17 @@ def test_fields_are_generalised_at_every_size(docs_of):
 def test_short_lines_with_an_equal_beginning(docs_of):
     ends = [f"{chr(97 + i)}x {chr(97 + i)}y" for i in range(6)]
     rows = [(i, f"One of the {e[:2]}\nOne of the {e}\nOne of the shops in town is {e[:2]}") for i, e in enumerate(ends)]
-    got = run(docs_of(rows), lead_counts=False)
+    got = run(docs_of(rows))
     assert got[0].n_dropped == 0
     assert all(got[i].text == rows[i][1].rsplit("\n", 1)[0] for i in range(1, 6))
-    assert all(run(docs_of(rows))[i].n_dropped == 3 for i in range(1, 6))
+    trees = [(i, f"One of the {t}") for i, t in enumerate(("alders", "beeches", "cedars", "dogwoods", "elms", "firs"))]
+    assert all(r.n_dropped == 0 for r in run(docs_of(trees)).values())
+
+
+def test_long_lines_recur_from_two_documents(docs_of):
+    words = lambda c, n: " ".join(f"{c}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
+    passage, short = words("p", 51), words("s", 50)
+    rows = [(i, f"{words('abc'[i], 60)}\n{passage}\n{short}") for i in range(3)]
+    got = run(docs_of(rows))
+    assert got[0].n_dropped == 0
+    assert all(got[i].text == f"{words('abc'[i], 60)}\n{short}" for i in (1, 2))
