@@ -51,7 +51,7 @@ def _away(x: np.ndarray) -> np.ndarray:
 def log_binomial_tail(n: np.ndarray, least: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Logarithm of the chance of ``least`` or more successes in n trials."""
     n, least, p = (np.asarray(v, dtype=float) for v in (n, least, p))
-    out = np.where((p >= 1.0) | (least <= 0), 0.0, -np.inf)
+    out = np.where(((p >= 1.0) & (least <= n)) | (least <= 0), 0.0, -np.inf)
     open_ = (p > 0.0) & (p < 1.0) & (least > 0) & (least <= n)
     n, a, x = n[open_], least[open_], p[open_]
     b = n - a + 1.0
