@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peerglass.params import SpreadBins
+from peerglass.sources.tables import durable
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -20,6 +22,24 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", by: list[st
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def publish(table: DataFrame, path: str, keys: list[str], by: tuple[str, ...] = ("window_id",)) -> DataFrame:
+    """Replace the partitions that a result table has rows for, and read the whole table back.
+
+    The rows are stored and checked before anything under ``path`` changes: a
+    repeated key, or one without its partition, is an error. Spark stages the new
+    partitions and moves them in as the job commits, so a run that fails leaves the
+    old ones, a rerun leaves one copy, and partitions of other runs stay. A
+    partition that has no rows any more keeps those it had.
+    """
+    stored = durable(table, "publish")
+    unplaced = reduce(or_, (F.col(k).isNull() for k in by))
+    bad = stored.groupBy(*dict.fromkeys([*keys, *by])).count().where(unplaced | (F.col("count") > 1)).limit(1).collect()
+    if bad:
+        raise ValueError(f"keys {keys} repeat or lack their partition: {bad[0]}")
+    stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path).select(*table.columns)
+
+
 def flag(column: str) -> Column:
     return F.col(column).cast("int").alias(f"{column}_1_0")
 

@@ -1114,11 +1114,12 @@ _AC = O.order_chain(archetypes=True)
 _AGATES = ", ".join(f"{v} AS {k}" for k, v in O.GATE_SQL.items())
 
 
-@query(
-    "window_scan_archetype",
-    _AC + O.archetype_boot_sql(200, 5).rstrip() + ",\natr AS (SELECT window_id, segment, '*' AS archetype, n_trials FROM aboot),"
-    + O.sharpe_sql("sim", O.CMB, "atr")
-    + f""",
+def archetype_gated_sql(chain: str, presence: float) -> str:
+    """Every window and segment judged by its winning archetypes, as table ``agated``."""
+    return (
+        chain + O.archetype_boot_sql(200, presence).rstrip() + ",\natr AS (SELECT window_id, segment, '*' AS archetype, n_trials FROM aboot),"
+        + O.sharpe_sql("sim", O.CMB, "atr")
+        + f""",
 acodes AS (SELECT window_id, segment, string_agg(archetype, ',' ORDER BY archetype) AS codes FROM winners WHERE bin IS NOT NULL GROUP BY ALL),
 ascan AS (SELECT j.* EXCLUDE (archetype), b.best AS archetype, b.n_units AS n_leaders, b.n_units AS n_effective, b.p_value, c.codes, d.dsr,
  CAST(NULL AS DOUBLE) AS persistence FROM judged j LEFT JOIN aboot b USING (window_id, segment) LEFT JOIN acodes c USING (window_id, segment)
@@ -1126,8 +1127,11 @@ ascan AS (SELECT j.* EXCLUDE (archetype), b.best AS archetype, b.n_units AS n_le
 agated0 AS (SELECT *, {_AGATES} FROM ascan),
 agated AS (SELECT *, V1_bootstrap AND V2_n_effective AND V4_replication AND V5_dsr AND E1_beats_segment AND E2_no_kill_switch AND E3_expected_value AND E4_capacity AS valid_cheap,
  0.0::DOUBLE AS relative_top, CAST(NULL AS DOUBLE) AS mae_mean FROM agated0)
-SELECT {_SCAN} FROM agated""",
-)
+"""
+    )
+
+
+@query("window_scan_archetype", archetype_gated_sql(_AC, 5) + f"SELECT {_SCAN} FROM agated")
 def window_scan_archetype(spark, sf):
     o = orders(spark, sf)
     s, ev = SN.scan_study(o.daily(), o.market, o.settings, o.windows)
@@ -1146,12 +1150,19 @@ SELECT segment, archetype, CAST(step AS BIGINT) AS step, window_id, CAST(n_leade
  replication_ratio, dsr, CAST(kill_switch AS BIGINT) AS kill_switch, p_value, persistence FROM walked WHERE i = step""",
 )
 def walk_forward(spark, sf):
+    return walk_forward_steps(spark, sf).select(
+        "segment", "archetype", "step", "window_id", "n_leaders", "follower_median", "leaders_median", "segment_median",
+        "replication_ratio", "dsr", "kill_switch", "p_value", "persistence",
+    )
+
+
+def walk_forward_steps(spark, sf):
     market = PX.from_orders(spark, sf)
     settings = PX.order_settings()
     settings = replace(settings, policy=replace(settings.policy, weighted=True))
     edges = WN.data_edges(market.prices)
     windows = durable(WN.walk_forward_grid(edges, 30, 7, 6), "windows")
-    rows = AS.walk_forward(
+    return AS.walk_forward(
         ST.daily(market, settings, True, windows),
         market,
         settings,
@@ -1159,10 +1170,6 @@ def walk_forward(spark, sf):
         SR.regime_total(market.prices),
         levels=RU.reservoir_level(market.reservoirs),
     )
-    return rows.select(
-        "segment", "archetype", "step", "window_id", "n_leaders", "follower_median", "leaders_median", "segment_median",
-        "replication_ratio", "dsr", "kill_switch", "p_value", "persistence",
-    )
 
 
 @query(
@@ -1181,47 +1188,6 @@ def acceptance(spark, sf):
     return SK.confirmed_table(out["confirmed"], ("mode",))
 
 
-def weekly_tables(spark, sf):
-    e = events(spark, sf)
-    return AC.weekly(
-        e.daily,
-        e.market,
-        e.settings,
-        e.windows,
-        SR.regime_total(e.market.prices),
-        "SMALL",
-        "Comercializador mixto",
-        RU.reservoir_level(e.market.reservoirs),
-    )
-
-
-@query("weekly")
-def weekly(spark, sf):
-    return weekly_tables(spark, sf)["verdict"]
-
-
-@query("weekly_series")
-def weekly_series(spark, sf):
-    """Daily margins of the eval with their drawdown."""
-    return SK.weekly_table(weekly_tables(spark, sf)["series"], WINDOW)
-
-
-@query("weekly_kpis")
-def weekly_kpis(spark, sf):
-    """Traffic lights."""
-    return weekly_tables(spark, sf)["kpis"]
-
-
-@query("weekly_regime")
-def weekly_regime(spark, sf):
-    return weekly_tables(spark, sf)["regime"]
-
-
-@query("weekly_profile")
-def weekly_profile(spark, sf):
-    return weekly_tables(spark, sf)["profile"]
-
-
 @query("power")
 def power(spark, sf):
     """Every segment and archetype of a window a year, and of the first whole year."""

@@ -107,7 +107,8 @@ def test_result_tables(assessed, tmp_path):
     assert policy.where("bin = 'FALLBACK'").count() == n
     assert SK.summary_table(a.summary, COMBO).count() == 10 * n
     dist = SK.distribution_table(a.distributions, COMBO)
-    assert set(dist.columns) == {*COMBO, "metric", "follower", "leaders", "segment"} and dist.count() == 9 * n
+    assert set(dist.columns) == {*COMBO, "metric", "follower_margin", "leaders_margin", "segment_margin"} and dist.count() == 9 * n
+    assert len(dist.columns) == len(set(dist.columns))
     assert SK.stress_table(a.stress, COMBO).count() == 2 * n
     days = SK.simulated_days_table(a.replay.days.where("phase = 'eval'"), COMBO)
     assert {r[0] for r in days.select("is_scarcity_1_0").distinct().collect()} <= {0, 1}
@@ -122,6 +123,26 @@ def test_result_tables(assessed, tmp_path):
     assert e.market.prices.sparkSession.read.parquet(str(tmp_path / "parquet")).count() == policy.count()
 
 
+def test_a_rerun_leaves_one_copy(spark, tmp_path):
+    path, schema = str(tmp_path / "published"), "window_id string, day string, n long"
+    make = lambda *rows: spark.createDataFrame(list(rows), schema)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    first = make(("2020-01-01", "a", 1), ("2020-01-01", "b", 2), ("w1", "a", 3))
+    for _ in range(2):
+        got = SK.publish(first, path, ["window_id", "day"])
+        assert got.columns == first.columns and got.schema["window_id"].dataType.simpleString() == "string"
+        assert rows(got) == rows(first)
+    # A window that is computed again is replaced, late rows and fewer rows alike; others stay.
+    again = SK.publish(make(("2020-01-01", "a", 7)), path, ["window_id", "day"])
+    assert rows(again) == [("2020-01-01", "a", 7), ("w1", "a", 3)]
+    for bad in (make(("w1", "a", 1), ("w1", "a", 2)), make((None, "a", 1))):
+        with pytest.raises(ValueError):
+            SK.publish(bad, path, ["window_id", "day"])
+    assert rows(spark.read.schema(schema).parquet(path).select("window_id", "day", "n")) == rows(again)
+    assert rows(SK.publish(make(), path, ["window_id", "day"])) == rows(again)
+    assert SK.publish(make(), str(tmp_path / "none"), ["day"]).count() == 0
+
+
 def test_regime_table(spark, sf_dir):
     e = Q.events(spark, sf_dir)
     from peerglass.operators import series as SR
