@@ -145,11 +145,12 @@ DISTRIBUTION_METRICS = [
 
 
 def distribution_table(dist: DataFrame, keys: list[str]) -> DataFrame:
-    """Metric rows, one column per series."""
+    """Metric rows, one column per series (``segment`` alone would clash with the key)."""
     long = metric_rows(dist, keys + ["series"], DISTRIBUTION_METRICS)
+    named = long.withColumn("series", F.concat("series", F.lit("_margin")))
     return (
-        long.groupBy(*keys, "metric")
-        .pivot("series", ["follower", "leaders", "segment"])
+        named.groupBy(*keys, "metric")
+        .pivot("series", ["follower_margin", "leaders_margin", "segment_margin"])
         .agg(F.first("value"))
     )
 
