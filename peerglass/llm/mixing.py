@@ -146,16 +146,15 @@ def apply_mix(documents: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id",
     Documents of size 0 have no words to take and leave. The text is dealt once,
     by id, for the numbering and the join.
     """
-    again = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    docs = documents.withColumn("_nth", F.row_number().over(again))
+    # The input's columns travel in a struct, so that none can clash.
+    docs = documents.select(
+        F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark")
+    ).withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("mark")))
     mixed = mixed.where(F.col("taken") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("nth").alias("_at"), F.col("copies").alias("_copies")
+        F.col("doc_id").alias("_id"), F.col("nth").alias("_nth"), F.col("copies")
     )
     # The difference keeps the second equality from becoming a join key, so that
     # the dealing by id serves both.
-    met = docs.join(
-        mixed, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_nth") - F.col("_at") == 0)
-    )
-    return met.withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
-    ).select(*documents.columns)
+    met = docs.join(mixed, F.col("id").eqNullSafe(F.col("_id")) & (F.col("nth") - F.col("_nth") == 0))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return met.select("row", each.alias("copy")).select("row.*")

@@ -65,3 +65,29 @@ def test_empty(spark, docs_of, tmp_path):
     docs_of([]).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none(spark, tmp_path):
+    rng = random.Random(3)
+    words = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(40))
+    a, b, c, d = (words() for _ in range(4))
+    given = [(1, a), (1, b), (2, a), (None, c), (None, c), (None, c), (None, a), (3, d), (None, d), (3, d), (4, ""), (None, None)]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(5)
+    got = [tuple(r) for r in P.near_dedup(spark, docs, str(tmp_path)).collect()]
+    assert Counter(got) == Counter([(1, a), (1, b), (None, c), (3, d), (4, ""), (None, None)])
+
+
+CLASHING = ["row", "found", "_found", "gone", "_doc", "_mark", "_lines", "n_lines", "n_dropped", "_id", "_at", "_nth", "nth", "_copies", "copies", "copy", "_copy", "id", "mark", "group", "leaf"]
+
+
+def test_columns_of_any_name_pass_every_stage(spark, docs_of, tmp_path):
+    docs = docs_of(corpus()).selectExpr("*", *(f"concat('{c}', doc_id) AS {c}" for c in CLASHING))
+    plain = docs_of(corpus())
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in P.STAGES[:-1]:
+        docs, plain = stage(spark, docs, str(tmp_path)).cache(), stage(spark, plain, str(tmp_path)).cache()
+        assert docs.columns == [*plain.columns, *CLASHING]
+        rows = docs.collect()
+        assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in plain.collect())
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHING)
+    P.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
