@@ -168,8 +168,9 @@ def trains(id_col: str = "doc_id"):
 @query("op5_language_id")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = langid.learn(docs.where(trains()).select("doc_id", "text", "lang"))
-    found = docs.withColumn("_found", langid.classify(docs, model))
+    model = langid.learn(docs.where(trains()))
+    margin = langid.narrow_margin(docs.where(trains()), model)
+    found = docs.withColumn("_found", langid.classify(docs, model, min_margin=margin))
     return found.select("doc_id", (~trains()).alias("held_out"), "_found.*")
 
 

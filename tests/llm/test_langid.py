@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+import re
+import zlib
+
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
-from peerglass.llm.langid import classify, judge, learn
-from peerglass.llm.queries import op5
+from peerglass.llm.langid import classify, judge, learn, narrow_margin
+from peerglass.llm.queries import op5, trains
 
 
 def predicted(df, model, **k):
@@ -41,15 +46,84 @@ def test_few_or_no_languages(docs_of):
 
 
 def test_sample_is_bounded(docs_of):
-    rows = [(i, f"text {i} " + "x" * (i % 50), "en", "s") for i in range(300)] + [(999, "y" * 9000, "en", "s")]
+    rows = [(i, f"text {i} " + "x" * (i % 50), "en", "s") for i in range(300)]
     model = learn(docs_of(rows), rows=10)
-    assert model["en"].count(b"text") == 10 and b"yyy" not in model["en"]
+    assert model["en"].count(b"text") == 10
     assert model == learn(docs_of(rows).repartition(5), rows=10)
 
 
 def test_languages_of_long_texts_are_learned(docs_of):
     de, en = "der und die das nicht " * 40, "the of and to with " * 900
-    df = docs_of([(i, t, lang, "s") for i, (t, lang) in enumerate([(de, "de"), (en, "en")] * 3)])
+    df = docs_of([(i, t, lang, "s") for i, (t, lang) in enumerate([(de, "de"), (en, "en"), (en[4:], "en"), (en[7:], "en")])])
     model = learn(df)
     assert sorted(model) == ["de", "en"] and 20_000 < len(model["en"]) <= 3 * 8_002
     assert [g[0] for g in predicted(docs_of([(1, de), (2, en)]), model)] == ["de", "en"]
+
+
+def test_equal_texts_count_once(docs_of):
+    same = [(1, "one and the same text", "en", "s")] * 500 + [(i, "one and the same text", "en", "s") for i in range(500)]
+    assert learn(docs_of(same)) == {"en": b" one and the same text "}
+    assert learn(docs_of(same + [(0, "another", "en", "s")]))["en"].count(b"another") == 1
+
+
+def test_many_languages_share_the_bytes(docs_of):
+    rows = [(i, "abcdefgh " * 900, f"l{i}", "s") for i in range(8)]
+    model = learn(docs_of(rows), rows=4, most_bytes=4 * 4 * 8 * 100)
+    assert len(model) == 8 and all(0 < len(d) <= 102 for d in model.values())
+
+
+def sizes(text, model, level=3, piece=4000):
+    """By definition: one new compressor per piece and language."""
+    low = " " + re.sub(r"[\W\d_]+", " ", text.lower()) + " "
+    out = {}
+    for lang, content in model.items():
+        packer = zstandard.ZstdCompressor(
+            level=level,
+            dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+            write_content_size=False,
+            write_dict_id=False,
+        )
+        out[lang] = sum(len(packer.compress(low[i : i + piece].encode())) for i in range(0, len(low), piece))
+    return out
+
+
+def test_sizes_margin_and_choice_by_definition(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    known = docs.where(trains())
+    model = learn(known)
+    margin = narrow_margin(known, model)
+    wanted = {}
+    for r in docs.collect():
+        if r.text is None or not re.search(r"[^\W\d_]", r.text):
+            wanted[r.doc_id] = ("und", 0.0, False)
+            continue
+        found = sorted((size, lang) for lang, size in sizes(r.text, model).items())
+        (best, lang), (second, _) = found[:2]
+        score = (second - best) / second
+        wanted[r.doc_id] = (lang, score, score >= margin)
+    got = {r.doc_id: (r.lang_pred, r.score, r.accepted) for r in op5(spark, sf_dir).collect()}
+    assert got == wanted
+
+
+def test_margin_keeps_the_share_of_right_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    known = docs.where(trains())
+    few = {"rows": 8}
+    model = learn(known, **few)
+    tight, loose = (narrow_margin(known, model, keep=k, checks=10**6, **few) for k in (0.5, 0.9))
+    assert tight > loose >= 0.001
+    places = {}
+    rows = known.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("p"))
+    for r in rows.distinct().orderBy("p").collect():
+        places.setdefault(r.lang, []).append(r.text)
+    found = [(lang, judge(t, tuple(model.items()))) for lang, texts in places.items() for t in texts[8:]]
+    scores = [score for lang, (named, score) in found if named == lang]
+    for share, margin in ((0.5, tight), (0.9, loose)):
+        assert sum(s > margin for s in scores) <= share * len(scores) <= sum(s >= margin for s in scores)
+    assert narrow_margin(known.where("false"), model) == 0.001 == narrow_margin(known, {}, **few)
+
+
+def test_only_two_thirds_are_learned_from(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.select("doc_id", trains().alias("t")).collect()
+    assert all(r.t == (zlib.crc32(str(r.doc_id).encode()) % 3 != 1) for r in rows)
