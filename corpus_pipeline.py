@@ -21,9 +21,11 @@ from peerglass.sources.tables import durable
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear; texts without letters and ties go."""
-    model = langid.learn(docs.where(trains()))
-    found = docs.select(F.struct("*").alias("row"), langid.classify(docs, model).alias("found"))
+    """Documents whose language is clear; texts without letters and narrow margins go."""
+    known = docs.where(trains())
+    model = langid.learn(known)
+    margin = langid.narrow_margin(known, model)
+    found = docs.select(F.struct("*").alias("row"), langid.classify(docs, model, min_margin=margin).alias("found"))
     return found.where("found.accepted").select("row.*")
 
 
