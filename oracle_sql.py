@@ -215,7 +215,16 @@ def chain(
     kmeans=None,
     sel: P.Selection = P.Selection(),
     rules: P.PolicyRules = P.PolicyRules(),
+    targets="",
 ):
+    """The study, replay and judgement of every combination, as a list of tables.
+
+    ``targets`` defines a table of that name: which combination stands in for which
+    target (target_segment, target_archetype, target_demand). The replay then has a
+    row set per target, at the target's demand.
+    """
+    keys = f"{CMB}, target_segment, target_archetype" if targets else CMB
+    wide = ", f.target_segment, f.target_archetype" if targets else ""
     act = ", ".join(f"'{a}'" for a in activities) if activities else None
     keep = f"WHERE activity IN ({act})" if act else ""
     large, medium, small = sizes.labels
@@ -242,6 +251,11 @@ fit AS (SELECT {CMB}, bin, {mix}, sum(n_days) AS n_days, min(spread_min) AS spre
     else:
         fit_sql = f"""fit AS (SELECT {CMB}, bin, {med}, count(*) AS n_days, {ranges}
   FROM train GROUP BY GROUPING SETS (({CMB}, bin), ({CMB})))"""
+    named, demand = "", "dref d USING (window_id, segment)"
+    if targets:
+        fit_sql = fit_sql.replace("fit AS (", "fit0 AS (")
+        named = f"{targets},\nfit AS (SELECT * FROM fit0 JOIN (SELECT {keys} FROM targets) USING ({CMB})),\n"
+        demand = f"(SELECT {keys}, target_demand AS demand_ref FROM targets) d USING ({keys})"
     expo = rules.outside_exposure_factor
     previous = "coalesce(lag(spot) OVER (PARTITION BY window_id, phase ORDER BY day), spot)"
     follower_cost = "(demand_ref * (pct_contract / 100.0)) * contract + (demand_ref * (pct_spot / 100.0)) * spot"
@@ -307,7 +321,7 @@ evalp AS (SELECT s.window_id, s.phase, p.*, g.segment FROM panel p JOIN spans s
 train AS (SELECT l.* FROM lab l SEMI JOIN leaders k ON l.window_id = k.window_id AND l.segment = k.segment
   AND l.archetype = k.archetype AND l.agent_id = k.agent_id),
 {fit_sql},
-band AS (SELECT {CMB}, {R('spread_min')} AS range_lo, {R('spread_max')} AS range_hi FROM fit WHERE bin IS NULL),
+{named}band AS (SELECT {keys}, {R('spread_min')} AS range_lo, {R('spread_max')} AS range_hi FROM fit WHERE bin IS NULL),
 dref AS (SELECT window_id, segment, median(demand) AS demand_ref FROM lab WHERE demand > 0 GROUP BY ALL),
 cap AS (SELECT window_id, segment, median(d) AS segment_demand FROM
   (SELECT window_id, segment, day, sum(demand) AS d FROM lab GROUP BY ALL) GROUP BY ALL),
@@ -316,14 +330,14 @@ rowsboth AS (SELECT window_id, phase, day, agent_id, segment, contract, spot, sc
 mdays AS (SELECT window_id, phase, day, max(contract) AS contract, max(spot) AS spot, max(scarcity) AS scarcity FROM rowsboth GROUP BY ALL),
 ctx AS (SELECT *, {BIN('context_spread', bins)} AS bin FROM
   (SELECT *, {previous} - contract AS context_spread FROM mdays)),
-picked AS (SELECT * FROM (SELECT c.*, f.segment, f.archetype, f.bin AS rule_bin, {', '.join(f'f.{x} AS r_{x}' for x in PROFILE)},
-  row_number() OVER (PARTITION BY c.window_id, c.phase, c.day, f.segment, f.archetype ORDER BY
+picked AS (SELECT * FROM (SELECT c.*, f.segment, f.archetype{wide}, f.bin AS rule_bin, {', '.join(f'f.{x} AS r_{x}' for x in PROFILE)},
+  row_number() OVER (PARTITION BY c.window_id, c.phase, c.day, f.segment, f.archetype{wide} ORDER BY
     CASE WHEN f.bin IS NULL THEN 2 WHEN f.bin = c.bin THEN 0 ELSE 1 END,
     CASE WHEN context_spread BETWEEN {BOUND('f.bin', bins, 1)} AND {BOUND('f.bin', bins, 2)} THEN 0.0
       ELSE least(abs(context_spread - {BOUND('f.bin', bins, 1)}), abs(context_spread - {BOUND('f.bin', bins, 2)})) END, f.bin) AS rk
   FROM ctx c JOIN fit f USING (window_id)) WHERE rk = 1),
 banded AS (SELECT p.*, d.demand_ref, coalesce(context_spread BETWEEN range_lo AND range_hi, true) AS in_distribution
-  FROM picked p JOIN band USING ({CMB}) JOIN dref d USING (window_id, segment)),
+  FROM picked p JOIN band USING ({keys}) JOIN {demand}),
 moved AS (SELECT *, CASE WHEN in_distribution THEN r_pct_spot ELSE {R(f'r_pct_spot * {expo}', 1)} END AS pct_spot FROM banded),
 acted AS (SELECT *, CASE WHEN in_distribution THEN r_pct_contract ELSE {R('r_pct_contract + (r_pct_spot - pct_spot)', 1)} END AS pct_contract,
   r_pct_unregulated AS pct_unregulated, r_pct_auction AS pct_auction, r_has_auction AS has_auction FROM moved),
@@ -335,9 +349,9 @@ sim AS (SELECT a.*, {fin['margin']} AS follower_margin, {fin['guarantee']} AS gu
   l.leaders_margin, {', '.join(f'l.real_{x}' for x in SHARES)}, s.segment_margin, {R('v.level_pct', 1)} AS reservoir_pct
   FROM acted a LEFT JOIN ledday l USING (window_id, phase, segment, archetype, day)
   LEFT JOIN segday s USING (window_id, phase, segment, day) LEFT JOIN levels v USING (day)),
-simrun AS (SELECT *, sum(CAST(follower_margin AS DECIMAL(18,2))) OVER (PARTITION BY {CMB}, phase ORDER BY day ROWS UNBOUNDED PRECEDING) AS run FROM sim),
-simpeak AS (SELECT *, greatest(0, max(run) OVER (PARTITION BY {CMB}, phase ORDER BY day ROWS UNBOUNDED PRECEDING)) AS peak FROM simrun),
-summary AS (SELECT {CMB}, count(*) AS days, {R('max(demand_ref)', 0)} AS demand_per_day, max(demand_ref) AS demand_ref, {R('median(follower_margin)')} AS follower_median,
+simrun AS (SELECT *, sum(CAST(follower_margin AS DECIMAL(18,2))) OVER (PARTITION BY {keys}, phase ORDER BY day ROWS UNBOUNDED PRECEDING) AS run FROM sim),
+simpeak AS (SELECT *, greatest(0, max(run) OVER (PARTITION BY {keys}, phase ORDER BY day ROWS UNBOUNDED PRECEDING)) AS peak FROM simrun),
+summary AS (SELECT {keys}, count(*) AS days, {R('max(demand_ref)', 0)} AS demand_per_day, max(demand_ref) AS demand_ref, {R('median(follower_margin)')} AS follower_median,
   {R(SUM2('follower_margin') + ' / count(*)')} AS follower_mean, {R('median(leaders_margin)')} AS leaders_median,
   {R('median(segment_margin)')} AS segment_median,
   {R('count(*) FILTER (WHERE follower_margin > segment_margin) * 100.0 / nullif(count(segment_margin), 0)', 1)} AS pct_beats_segment,
@@ -345,8 +359,8 @@ summary AS (SELECT {CMB}, count(*) AS days, {R('max(demand_ref)', 0)} AS demand_
   {R('median(guarantee)', 0)} AS guarantee_median, {R('max(guarantee)', 0)} AS guarantee_max,
   {R(NR('follower_margin', 0.05))} AS p5, {R(NR('follower_margin', 0.95))} AS p95,
   {R('max(peak - run)')} AS drawdown FROM simpeak WHERE phase = 'eval' GROUP BY ALL),
-ratios AS (SELECT {CMB}, ri AS replication_in, ro AS replication_out, {R('ro / nullif(ri, 0)', 3)} AS replication_ratio FROM
-  (SELECT {CMB}, {R(f"median(follower_margin) FILTER (WHERE phase = '{main}')")} AS ri,
+ratios AS (SELECT {keys}, ri AS replication_in, ro AS replication_out, {R('ro / nullif(ri, 0)', 3)} AS replication_ratio FROM
+  (SELECT {keys}, {R(f"median(follower_margin) FILTER (WHERE phase = '{main}')")} AS ri,
     {R("median(follower_margin) FILTER (WHERE phase = 'eval')")} AS ro FROM sim GROUP BY ALL)),
 refday AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY scarcity DESC, day) AS rk FROM mdays WHERE phase = '{main}') WHERE rk = 1),
 shock AS (SELECT window_id, contract, scarcity * factor AS spot, scenario, scarcity * factor - contract AS spread

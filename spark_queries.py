@@ -1210,7 +1210,35 @@ def power(spark, sf):
     return AC.power_study(ST.daily(market, settings, True, cases), market, settings, cases)
 
 
-@query("alternatives")
+_FAILED = (
+    _ASSESS_CH + _PERSIST + O.scan_sql(1000, "persistence_pct", f"LEFT JOIN held USING ({O.CMB})").replace(
+        "AS persistence\n", "AS persistence, persistence_pct\n"
+    ).rstrip()
+    + f""",
+failed AS (SELECT {O.CMB}, demand_ref FROM gated WHERE NOT {_VALID})
+"""
+)
+_TARGETS = (
+    _ALT.strip()
+    + """,
+targets AS (SELECT a.window_id, a.alt_segment AS segment, a.alt_archetype AS archetype, a.segment AS target_segment, a.archetype AS target_archetype,
+ a.alt_codes AS codes, a.alt_relative_top AS relative_top, a.alt_absolute_top AS absolute_top, x.demand_ref AS target_demand
+ FROM (SELECT f.window_id, f.segment, f.archetype, c.segment AS alt_segment, c.archetype AS alt_archetype, c.codes AS alt_codes, c.relative_top AS alt_relative_top,
+  c.absolute_top AS alt_absolute_top, row_number() OVER (PARTITION BY f.window_id, f.segment, f.archetype ORDER BY c.relative_top DESC, c.n_leaders DESC, c.segment, c.archetype) AS r
+  FROM failed f JOIN combos c ON c.window_id = f.window_id AND (c.segment <> f.segment OR c.archetype <> f.archetype)) a
+ JOIN failed x ON x.window_id = a.window_id AND x.segment = a.segment AND x.archetype = a.archetype WHERE a.r = 1)"""
+)
+_TARGET_KEYS = f"{O.CMB}, target_segment, target_archetype"
+
+
+@query(
+    "alternatives",
+    _FAILED + "SELECT * FROM (" + O.event_chain(sel=Selection(top=5), targets=_TARGETS).rstrip().rstrip(",")
+    + f"""
+SELECT {_TARGET_KEYS}, t.codes, t.relative_top, t.absolute_top, CAST(days AS BIGINT) AS days, demand_per_day, follower_median, follower_mean,
+ leaders_median, segment_median, pct_beats_segment, pct_beats_leaders, guarantee_median, guarantee_max, replication_in, replication_out, replication_ratio
+ FROM targets t JOIN summary USING ({_TARGET_KEYS}) LEFT JOIN ratios USING ({_TARGET_KEYS}))""",
+)
 def alternatives(spark, sf):
     e, a, levels = event_assessment(spark, sf)
     return AS.alternatives(a, e.settings, levels)
