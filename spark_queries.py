@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from datetime import timedelta
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -826,18 +827,20 @@ def holdout_persistence(spark, sf):
     return VA.holdout_persistence(chosen, h.labelled, h.days, e.settings.selection.min_presence_pct)
 
 
-@query(
-    "holdout_persistence_archetype",
-    CH + _WIN.rstrip() + f""",
+def held_archetype_sql(presence: float) -> str:
+    """What became of the overall winners of a study, from tables ``winners``, ``hold`` and ``ndays``."""
+    return f"""
 ha0 AS (SELECT window_id, segment, archetype, count(*) AS n_rows, {O.UM('rel')} AS level, min(agent_id || '|' || CAST(day AS VARCHAR)) AS k FROM hold GROUP BY ALL),
 ha AS (SELECT h.*, row_number() OVER (PARTITION BY window_id, segment ORDER BY level DESC, k) - 1 AS position, count(*) OVER (PARTITION BY window_id, segment) AS n
- FROM ha0 h JOIN (SELECT window_id, n_study_days FROM ndays WHERE phase = 'holdout') USING (window_id) WHERE n_rows >= {O.NEED('n_study_days', 20)})
+ FROM ha0 h JOIN (SELECT window_id, n_study_days FROM ndays WHERE phase = 'holdout') USING (window_id) WHERE n_rows >= {O.NEED('n_study_days', presence)})
 SELECT w.window_id, w.segment, w.archetype, CAST(coalesce(m.n, 0) AS BIGINT) AS n_archetypes,
  CAST(CASE WHEN h.position IS NULL THEN NULL WHEN h.position < m.n / 2 THEN 100.0 ELSE 0.0 END AS DOUBLE) AS persistence_pct,
  {O.R('h.position * 100.0 / greatest(m.n - 1, 1)', 1)} AS persistence_percentile
  FROM winners w LEFT JOIN (SELECT window_id, segment, max(n) AS n FROM ha GROUP BY ALL) m USING (window_id, segment)
- LEFT JOIN ha h ON h.window_id = w.window_id AND h.segment = w.segment AND h.archetype = w.archetype WHERE w.bin IS NULL""",
-)
+ LEFT JOIN ha h ON h.window_id = w.window_id AND h.segment = w.segment AND h.archetype = w.archetype WHERE w.bin IS NULL"""
+
+
+@query("holdout_persistence_archetype", CH + _WIN.rstrip() + "," + held_archetype_sql(20))
 def holdout_persistence_archetype(spark, sf):
     e = events(spark, sf)
     s = stored_study(e)
@@ -1114,16 +1117,16 @@ _AC = O.order_chain(archetypes=True)
 _AGATES = ", ".join(f"{v} AS {k}" for k, v in O.GATE_SQL.items())
 
 
-def archetype_gated_sql(chain: str, presence: float) -> str:
+def archetype_gated_sql(chain: str, presence: float, boot: int = 200, persistence: str = "CAST(NULL AS DOUBLE)", held: str = "") -> str:
     """Every window and segment judged by its winning archetypes, as table ``agated``."""
     return (
-        chain + O.archetype_boot_sql(200, presence).rstrip() + ",\natr AS (SELECT window_id, segment, '*' AS archetype, n_trials FROM aboot),"
+        chain + O.archetype_boot_sql(boot, presence).rstrip() + ",\natr AS (SELECT window_id, segment, '*' AS archetype, n_trials FROM aboot),"
         + O.sharpe_sql("sim", O.CMB, "atr")
         + f""",
 acodes AS (SELECT window_id, segment, string_agg(archetype, ',' ORDER BY archetype) AS codes FROM winners WHERE bin IS NOT NULL GROUP BY ALL),
 ascan AS (SELECT j.* EXCLUDE (archetype), b.best AS archetype, b.n_units AS n_leaders, b.n_units AS n_effective, b.p_value, c.codes, d.dsr,
- CAST(NULL AS DOUBLE) AS persistence FROM judged j LEFT JOIN aboot b USING (window_id, segment) LEFT JOIN acodes c USING (window_id, segment)
- LEFT JOIN dsrs d USING (window_id, segment)),
+ {persistence} AS persistence FROM judged j LEFT JOIN aboot b USING (window_id, segment) LEFT JOIN acodes c USING (window_id, segment)
+ LEFT JOIN dsrs d USING (window_id, segment) {held}),
 agated0 AS (SELECT *, {_AGATES} FROM ascan),
 agated AS (SELECT *, V1_bootstrap AND V2_n_effective AND V4_replication AND V5_dsr AND E1_beats_segment AND E2_no_kill_switch AND E3_expected_value AND E4_capacity AS valid_cheap,
  0.0::DOUBLE AS relative_top, CAST(NULL AS DOUBLE) AS mae_mean FROM agated0)
@@ -1181,7 +1184,90 @@ def walk_forward_levels(spark, sf):
     return AS.walk_forward_levels(walk_forward(spark, sf))
 
 
-@query("acceptance")
+def both_modes(leaders: str, archetypes: str) -> str:
+    """The gated rows of both ways of a scan, one below the other, as table ``scanned``."""
+    return (
+        f"WITH scanned AS (SELECT * FROM ({leaders}SELECT 'leaders' AS mode, persistence, {_SCAN} FROM gated) "
+        f"UNION ALL SELECT * FROM ({archetypes}SELECT 'archetype' AS mode, persistence, {_SCAN} FROM agated))"
+    )
+
+
+_LIMITS = PX.order_settings().scan
+_PICKED = """,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY mode, valid_cheap ORDER BY p_value NULLS FIRST, follower_median DESC NULLS LAST,
+ window_id, segment, archetype) AS r FROM scanned),
+picked AS (SELECT * EXCLUDE (r) FROM ranked """ + (
+    f"WHERE CASE WHEN valid_cheap = 1 THEN r <= {_LIMITS.max_confirm} ELSE r <= {_LIMITS.near_confirm} END)\n"
+)
+_COARSE = both_modes(OC + O.scan_sql(200), archetype_gated_sql(_AC, 5)) + _PICKED
+
+
+@query("scan_to_confirm", _COARSE + "SELECT * EXCLUDE (persistence) FROM picked")
+def scan_to_confirm(spark, sf):
+    """Candidates of both modes over the grid, and those that just missed."""
+    o = orders(spark, sf)
+    scan = AC.coarse_scan(o.daily(), o.market, o.settings, o.windows, o.regime, o.levels)
+    picked = SC.to_confirm(scan, o.settings.scan.max_confirm, o.settings.scan.near_confirm)
+    return picked.select("mode", *_SCAN_COLS)
+
+
+_AT = {"study_start": ("a", 5), "study_end": ("b", -12), "eval_start": ("b", -9), "eval_end": ("b", -3)}
+_GIVEN = {name: f"CAST({edge} + INTERVAL ({k}) DAY AS DATE)" for name, (edge, k) in _AT.items()}
+_GIVEN_SPANS = f"""
+ends AS (SELECT min(day) AS a, max(day) AS b FROM prices),
+spans AS (SELECT 'given' AS window_id, 'select' AS phase, {_GIVEN['study_start']} AS start_day, {_GIVEN['study_end']} AS end_day FROM ends
+  UNION ALL SELECT 'given', 'eval', {_GIVEN['eval_start']}, {_GIVEN['eval_end']} FROM ends)"""
+
+
+@query(
+    "given_window_backtest",
+    O.chain(O.EVENTS, _GIVEN_SPANS, PX.EVENT_BINS, PX.EVENT_SIZES)
+    + f"SELECT {O.CMB}, {BIG('days')}, demand_per_day, follower_median, follower_mean, leaders_median, segment_median, pct_beats_segment, "
+    "pct_beats_leaders, guarantee_median, guarantee_max FROM summary",
+)
+def given_window_backtest(spark, sf):
+    """A backtest between dates that the caller gives, with days between study and evaluation left out."""
+    e = events(spark, sf)
+    edges = WN.data_edges(e.market.prices)
+    ends = edges.first()
+    at = {"a": ends["first_day"], "b": ends["last_day"]}
+    given = {name: at[edge] + timedelta(days=k) for name, (edge, k) in _AT.items()}
+    e.windows = durable(WN.window_at_end(edges, window_id="given", **given), "windows")
+    spans = WN.phase_spans(e.windows)
+    e.spans = spans.withColumn("phase", F.when(F.col("phase") == "study", "select").otherwise(F.col("phase")))
+    return BT.eval_summary(event_replay(e)[3].days.where(F.col("phase") == "eval"), COMBO)
+
+
+_ECONOMIC = "E1_beats_segment AND E2_no_kill_switch AND E3_expected_value AND E4_capacity"
+_CHEAP = "V1_bootstrap AND V2_n_effective AND V4_replication AND V5_dsr"
+_FULL = f"{_SCAN}, persistence, " + ", ".join(sorted(O.GATE_SQL))
+_FINE_LEADERS = (
+    O.order_chain(main="select", weighted=True) + _PERSIST.replace(O.NEED("n_study_days", 20), O.NEED("n_study_days", 5))
+    + O.scan_sql(_LIMITS.boot_fine, "persistence_pct", f"LEFT JOIN held USING ({O.CMB})")
+)
+_FINE_ARCHETYPES = archetype_gated_sql(
+    _AC, 5, _LIMITS.boot_fine, "hh.persistence_pct",
+    "LEFT JOIN (" + O.order_chain(main="select") + _WIN.rstrip() + "," + held_archetype_sql(5) + ") hh USING (window_id, segment)",
+)
+_BY_MODE = {"leaders": O.CMB, "archetype": "window_id, segment"}
+_CONFIRMED = ",\n".join(
+    f"fine_{mode} AS (SELECT '{mode}' AS mode, {_FULL} FROM ({sql}SELECT * FROM {table}) "
+    f"SEMI JOIN (SELECT {_BY_MODE[mode]} FROM picked WHERE mode = '{mode}') USING ({_BY_MODE[mode]}))"
+    for mode, sql, table in (("leaders", _FINE_LEADERS, "gated"), ("archetype", _FINE_ARCHETYPES, "agated"))
+)
+
+
+@query(
+    "acceptance",
+    _COARSE.rstrip() + ",\n" + _CONFIRMED
+    + f"""
+SELECT mode, window_id AS study_start, CAST(CAST(window_id AS DATE) + 89 AS VARCHAR) AS study_end, CAST(CAST(window_id AS DATE) + 90 AS VARCHAR) AS eval_start,
+ CAST(CAST(window_id AS DATE) + 96 AS VARCHAR) AS eval_end, segment, archetype, n_leaders, n_effective, codes, p_value, replication_ratio, dsr, persistence,
+ pct_beats_segment, kill_switch AS kill_switch_1_0, ev_history, over_capacity AS over_capacity_1_0, mae_mean,
+ CAST(({_CHEAP} AND V3_holdout) AS BIGINT) AS n1_full, CAST(({_ECONOMIC}) AS BIGINT) AS n2, CAST(({_CHEAP} AND V3_holdout AND {_ECONOMIC}) AS BIGINT) AS valid_final_1_0,
+ {" || ".join(f"'{g}=' || CAST({g} AS INTEGER) || ';'" for g in sorted(O.GATE_SQL))} AS gate_detail
+ FROM (SELECT * FROM fine_leaders UNION ALL SELECT * FROM fine_archetype)""",
+)
 def acceptance(spark, sf):
     o = orders(spark, sf)
     out = AC.acceptance(o.daily(), o.market, o.settings, o.windows, o.regime, o.levels)
