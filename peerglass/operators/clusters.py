@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from peerglass.functions.naming import archetype_name
 from peerglass.functions.numeric import dec_round
@@ -87,13 +90,114 @@ def nearest_center(point: Column, centers: Column, size: int = len(CLUSTER_INPUT
     )
 
 
-def _first_centers(points: DataFrame, keys: list[str], ks: list[int], starts: int) -> DataFrame:
+def _blocks(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks (keys, block, r) of bounded size; equal points of a window are one, with their number.
+
+    Only a window's distinct points are ever moved: ``r`` holds (point, n). Blocks
+    given are returned as they are.
+    """
+    if "r" in points.columns:
+        return points
+    distinct = durable(points.groupBy(*keys, "point").agg(F.count(F.lit(1)).alias("n")), "distinct")
+    counts = durable(
+        distinct.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks")), "counts"
+    )
+    block = F.pmod(F.xxhash64("point"), F.col("blocks")).alias("block")
+    return durable(
+        distinct.join(counts, keys)
+        .groupBy(*keys, block)
+        .agg(F.collect_list(F.struct("point", "n")).alias("r")),
+        "blocks",
+    )
+
+
+def _gaps(x: np.ndarray, center: Sequence[float]) -> np.ndarray:
+    """Squared distances to one centre, the terms added in the order of ``_gap``."""
+    out = x[0] - center[0]
+    out *= out
+    for i in range(1, len(x)):
+        step = x[i] - center[i]
+        step *= step
+        out += step
+    return out
+
+
+def _nearest(x: np.ndarray, centers: Sequence[Sequence[float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the nearest centre of every point, the first of equals, and the distance."""
+    gap = _gaps(x, centers[0])
+    near = np.zeros(len(gap), dtype=np.int16)
+    for c in range(1, len(centers)):
+        other = _gaps(x, centers[c])
+        near[other < gap] = c
+        np.minimum(gap, other, out=gap)
+    return near, gap
+
+
+def _run_over_blocks(
+    blocks: DataFrame, runs: DataFrame, keys: list[str], of_run: list[str], found: Callable, schema: str
+) -> DataFrame:
+    """Rows (keys, of_run, ...) that ``found(x, n, centers)`` gives for every block and run of its window.
+
+    ``x`` is a row per dimension, ``n`` how often each point occurs.
+    """
+    size, types = len(CLUSTER_INPUTS), dict(runs.dtypes)
+    packed = runs.groupBy(*keys).agg(F.collect_list(F.struct(*of_run, "centers")).alias("runs"))
+    flat = blocks.join(packed, keys).select(
+        *keys, F.flatten(F.col("r.point")).alias("x"), F.col("r.n").alias("n"), "runs"
+    )
+    names = [*keys, *of_run, *(f.split()[0] for f in schema.split(", "))]
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in range(batch.num_rows):
+                of = {c: batch.column(c)[row] for c in batch.schema.names}
+                x = np.ascontiguousarray(of["x"].values.to_numpy().reshape(-1, size).T)
+                n, key = of["n"].values.to_numpy(), [of[c].as_py() for c in keys]
+                for run in of["runs"].as_py():
+                    out += [(*key, *(run[c] for c in of_run), *r) for r in found(x, n, run["centers"])]
+            if out:
+                table = pa.Table.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
+                yield from table.cast(wanted).to_batches()
+
+    types = ", ".join(f"{c} {types[c]}" for c in [*keys, *of_run]) + ", " + schema
+    wanted = to_arrow_schema(StructType.fromDDL(types))
+    return flat.mapInArrow(over, types)
+
+
+def _farthest(points: DataFrame, blocks: DataFrame, centers: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start, gap, p): the point farthest from a start's centres, of equals that of the last entity-day."""
+
+    def found(x: np.ndarray, n: np.ndarray, given: list[dict]) -> list[tuple]:
+        gap = _nearest(x, [c["center"] for c in given])[1]
+        return [(float(gap[i]), x[:, i].tolist()) for i in np.flatnonzero(gap == gap.max())]
+
+    rows = _run_over_blocks(blocks, centers, keys, ["start"], found, "gap double, p array<double>")
+    top = F.rank().over(Window.partitionBy(*keys, "start").orderBy(F.desc("gap")))
+    far = durable(rows.withColumn("place", top).where("place = 1").select(*keys, "start", "gap", "p"), "far")
+    one = [*keys, "start"]
+    if far.groupBy(*one).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return far
+    # Equally far points: the entity-days themselves decide.
+    named = points.join(F.broadcast(far.select(*keys, F.col("p").alias("point")).distinct()), [*keys, "point"])
+    last = named.groupBy(*keys, "point").agg(F.max(F.struct("agent_id", "day")).alias("last"))
+    return (
+        far.join(last.withColumnRenamed("point", "p"), [*keys, "p"])
+        .groupBy(*one)
+        .agg(F.max("gap").alias("gap"), F.max_by("p", "last").alias("p"))
+    )
+
+
+def _first_centers(
+    points: DataFrame, keys: list[str], ks: list[int], starts: int, blocks: DataFrame | None = None
+) -> DataFrame:
     """Starting centres (keys, k, start, centers): one entity-day, then the farthest ones.
 
     Starts differ in their first entity-day: the least one, then others by a digest. A
-    start's centres for k are the first k of one sequence. Each step is one aggregate
-    with map-side partials.
+    start's centres for k are the first k of one sequence. Each step is one pass over
+    the distinct points.
     """
+    blocks = _blocks(points, keys) if blocks is None else blocks
     name = "concat_ws('|', agent_id, cast(day as string), '{}')"
     firsts = [F.min_by("point", F.struct("agent_id", "day"))] + [
         F.min_by("point", F.struct(F.md5(F.expr(name.format(s))), "agent_id", "day"))
@@ -107,15 +211,7 @@ def _first_centers(points: DataFrame, keys: list[str], ks: list[int], starts: in
     )
     centers = durable(centers, "centers")
     for i in range(1, max(ks)):
-        far = (
-            points.join(centers, keys)
-            .withColumn("gap", nearest_center(F.col("point"), F.col("centers"))["gap"])
-            .groupBy(*keys, "start")
-            .agg(
-                F.max("gap").alias("gap"),
-                F.max_by("point", F.struct("gap", "agent_id", "day")).alias("p"),
-            )
-        )
+        far = _farthest(points, blocks, centers, keys)
         further = F.array(F.struct(F.lit(i).alias("id"), F.col("p").alias("center")))
         centers = durable(
             centers.join(far, [*keys, "start"], "left").select(
@@ -139,7 +235,34 @@ def _assigned(points: DataFrame, centers: DataFrame, keys: list[str]) -> DataFra
 
 
 _CENTERS = "array<struct<id:int,center:array<double>>>"
-IN_TASK = 200_000  # points of a window up to which one task moves its centres until they rest
+BLOCK = 16_384  # distinct points in a block
+IN_TASK = 200_000  # distinct points of a window up to which one task moves its centres until they rest
+
+
+def _sums(x: np.ndarray, n: np.ndarray, centers: list[dict]) -> list[tuple]:
+    """(id, n, sums in 1e-8, cost in 1e-8) of every centre that is nearest to some point; sums are exact."""
+    near, gap = _nearest(x, [c["center"] for c in centers])
+    whole, cost = np.rint(x * 1e8).astype(np.int64) * n, np.floor(gap * 1e8 + 0.5).astype(np.int64) * n
+    out = []
+    for i, c in enumerate(centers):
+        mine = near == i
+        if mine.any():
+            sums = whole[:, mine].sum(axis=1)
+            out.append((c["id"], int(n[mine].sum()), *map(int, sums), int(cost[mine].sum())))
+    return out
+
+
+def _summed(blocks: DataFrame, runs: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
+    """Partial sums of ``_sums``, a row for every block, run and centre."""
+    sums = ", ".join(f"s{i} long" for i in range(len(CLUSTER_INPUTS)))
+    return _run_over_blocks(
+        blocks, runs, keys, [c for c in by if c not in keys], _sums, f"id int, n long, {sums}, cost long"
+    )
+
+
+def _exact(name: str) -> Column:
+    """A sum of whole numbers of 1e-8, as a double rounded once."""
+    return F.expr(f"cast(sum(cast({name} as decimal(18,0))) * 0.00000001BD as double)")
 
 
 def _moved_in_steps(points: DataFrame, first: DataFrame, by: list[str], keys: list[str], max_steps: int) -> DataFrame:
@@ -149,22 +272,18 @@ def _moved_in_steps(points: DataFrame, first: DataFrame, by: list[str], keys: li
     step's plan does not grow. Runs that rest are carried over, and their points are
     not looked at again. Only partial sums are shuffled.
     """
+    blocks = _blocks(points, keys)
     size = len(CLUSTER_INPUTS)
     state = durable(first.select(*by, "centers", F.lit(False).alias("rests")), "centers")
     for _ in range(max_steps):
         moving = state.where("NOT rests")
         if moving.isEmpty():
             break
-        # Decimal sums make the centres independent of the row order.
+        # Whole sums make the centres independent of the row order.
         moved = (
-            _assigned(points, moving.drop("rests"), keys)
+            _summed(blocks, moving, by, keys)
             .groupBy(*by, "id")
-            .agg(
-                *[
-                    (F.sum(F.col("point")[i].cast("decimal(20,8)")).cast("double") / F.count(F.lit(1))).alias(f"c{i}")
-                    for i in range(size)
-                ]
-            )
+            .agg(*[(_exact(f"s{i}") / F.sum("n")).alias(f"c{i}") for i in range(size)])
             .groupBy(*by)
             .agg(
                 F.sort_array(
@@ -184,42 +303,38 @@ def _moved_in_steps(points: DataFrame, first: DataFrame, by: list[str], keys: li
     return state.drop("rests")
 
 
-def _rested(points: np.ndarray, ids: np.ndarray, centers: np.ndarray, max_steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same steps on the points of one window; sums are of whole numbers, hence exact."""
-    whole = np.rint(points * 1e8).astype(np.int64)
+def _rested(x: np.ndarray, n: np.ndarray, centers: list[dict], max_steps: int) -> list[dict]:
+    """The same steps on the points of one window."""
     for _ in range(max_steps):
-        gap = np.zeros((len(points), len(centers)))
-        for i in range(points.shape[1]):
-            step = points[:, i, None] - centers[None, :, i]
-            gap = gap + step * step if i else step * step
-        near = gap.argmin(axis=1)
-        held = [c for c in range(len(centers)) if (near == c).any()]
-        now = np.array(
-            [[int(x) / 10**8 / int((near == c).sum()) for x in whole[near == c].sum(axis=0)] for c in held]
-        )
-        if len(held) == len(centers) and (now == centers).all():
+        now = [
+            {"id": i, "center": [s / 10**8 / count for s in sums]}
+            for i, count, *sums, _ in _sums(x, n, centers)
+        ]
+        if now == centers:
             break
-        ids, centers = ids[held], now
-    return ids, centers
+        centers = now
+    return centers
 
 
 def _moved_in_tasks(
-    points: DataFrame, first: DataFrame, by: list[str], keys: list[str], numbers: list[int], max_steps: int
+    blocks: DataFrame, first: DataFrame, by: list[str], keys: list[str], numbers: list[int], max_steps: int
 ) -> DataFrame:
     """Centres (by, centers) at rest, a task for each window and k; windows of bounded size only."""
-    group = [*keys, "k"]
+    group, size = [*keys, "k"], len(CLUSTER_INPUTS)
     ks = first.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("start", "centers"))).alias("runs"))
-    left = points.withColumn("k", F.explode(F.array(*(F.lit(k) for k in numbers))))
+    left = blocks.select(
+        *keys, F.flatten(F.col("r.point")).alias("x"), F.col("r.n").alias("n"),
+        F.explode(F.array(*(F.lit(k) for k in numbers))).alias("k"),
+    )
 
     def fit(key: tuple, rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(rows["point"].to_numpy()).astype(float) if len(rows) else np.zeros((0, len(CLUSTER_INPUTS)))
         out = []
-        for run in runs["runs"].iloc[0] if len(runs) else []:
-            ids = np.array([c["id"] for c in run["centers"]])
-            centers = np.array([list(c["center"]) for c in run["centers"]], dtype=float)
-            ids, centers = _rested(x, ids, centers, max_steps)
-            found = [{"id": int(i), "center": c.tolist()} for i, c in zip(ids, centers, strict=True)]
-            out.append((*key, int(run["start"]), found))
+        if len(rows) and len(runs):
+            x = np.ascontiguousarray(np.concatenate(list(rows["x"])).reshape(-1, size).T)
+            n = np.concatenate(list(rows["n"]))
+            for run in runs["runs"].iloc[0]:
+                centers = [{"id": int(c["id"]), "center": list(map(float, c["center"]))} for c in run["centers"]]
+                out.append((*key, int(run["start"]), _rested(x, n, centers, max_steps)))
         return pd.DataFrame(out, columns=[*by, "centers"])
 
     types = dict(first.dtypes)
@@ -228,19 +343,26 @@ def _moved_in_tasks(
 
 
 def fitted_centers(
-    points: DataFrame, keys: list[str], ks: list[int], starts: int, max_steps: int, in_task: int | None = None
+    points: DataFrame,
+    keys: list[str],
+    ks: list[int],
+    starts: int,
+    max_steps: int,
+    in_task: int | None = None,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """(keys, k, centers, cost): the best of several starts, each moved until it rests.
 
     All windows, numbers of clusters and starts move in the same job. Windows of at
-    most ``in_task`` points are moved within tasks; larger ones step by step over all
-    tasks. Both give the same centres.
+    most ``in_task`` distinct points are moved within tasks; larger ones step by step
+    over all tasks. Both give the same centres.
     """
     limit = IN_TASK if in_task is None else in_task
     by = [*keys, "k", "start"]
-    first = durable(_first_centers(points, keys, ks, starts), "centers")
+    blocks = _blocks(points, keys) if blocks is None else blocks
+    first = durable(_first_centers(points, keys, ks, starts, blocks), "centers")
     sizes = durable(
-        points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, (F.col("n") > limit).alias("large")),
+        blocks.groupBy(*keys).agg(F.sum(F.size("r")).alias("n")).select(*keys, (F.col("n") > limit).alias("large")),
         "sizes",
     )
     fitted = None
@@ -248,7 +370,7 @@ def fitted_centers(
         some = sizes.where("large" if large else "NOT large").select(*keys)
         if some.isEmpty():
             continue
-        mine, begin = points.join(some, keys, "left_semi"), first.join(some, keys, "left_semi")
+        mine, begin = blocks.join(some, keys, "left_semi"), first.join(some, keys, "left_semi")
         part = (
             _moved_in_steps(mine, begin, by, keys, max_steps)
             if large
@@ -257,9 +379,7 @@ def fitted_centers(
         fitted = part if fitted is None else fitted.unionByName(part)
     if fitted is None:
         fitted = first
-    cost = _assigned(points, fitted, keys).groupBy(*by).agg(
-        F.sum(F.col("gap").cast("decimal(30,8)")).cast("double").alias("cost")
-    )
+    cost = _summed(blocks, fitted, by, keys).groupBy(*by).agg(_exact("cost").alias("cost"))
     best = F.min_by(F.struct("centers", "cost"), F.struct("cost", "start")).alias("best")
     return durable(
         fitted.join(cost, by).groupBy(*keys, "k").agg(best).select(
@@ -281,9 +401,10 @@ def grouped_kmeans(
     Without k every window gets the number of clusters of best quality.
     """
     points = durable(_standardised(inputs, keys), "points")
-    centers = fitted_centers(points, keys, [k] if k else list(NUMBERS), starts, max_steps)
+    blocks = _blocks(points, keys)
+    centers = fitted_centers(points, keys, [k] if k else list(NUMBERS), starts, max_steps, blocks=blocks)
     if not k:
-        best = _quality(points, centers, keys).where("is_best").select(*keys, "k")
+        best = _quality(blocks, centers, keys).where("is_best").select(*keys, "k")
         centers = centers.join(best, [*keys, "k"], "left_semi")
     centers = centers.drop("cost")
     return _assigned(points, centers, keys).select(
@@ -306,11 +427,14 @@ def cluster_quality(
     under the number of points is left out.
     """
     points = durable(_standardised(inputs, keys), "points")
-    return _quality(points, fitted_centers(points, keys, list(ks), starts, max_steps), keys)
+    blocks = _blocks(points, keys)
+    return _quality(blocks, fitted_centers(points, keys, list(ks), starts, max_steps, blocks=blocks), keys)
 
 
-def _quality(points: DataFrame, centers: DataFrame, keys: list[str]) -> DataFrame:
-    enough = points.groupBy(*keys).agg(F.count("*").alias("n_points"))
+def _quality(blocks: DataFrame, centers: DataFrame, keys: list[str]) -> DataFrame:
+    points = blocks.select(*keys, F.inline("r")).withColumnRenamed("n", "times")
+    enough = points.groupBy(*keys).agg(F.sum("times").alias("n_points"))
+    times = F.col("times").cast("decimal(12,0)")
     centers = centers.join(enough, keys).where("k < n_points")
     size = len(CLUSTER_INPUTS)
     x = F.col("point")
@@ -319,9 +443,9 @@ def _quality(points: DataFrame, centers: DataFrame, keys: list[str]) -> DataFram
     held = (
         assigned.groupBy(*keys, "k", "id")
         .agg(
-            F.count("*").alias("n"),
-            F.sum(F.col("square").cast("decimal(30,8)")).cast("double").alias("square"),
-            *[F.sum(x[i].cast("decimal(20,8)")).cast("double").alias(f"s{i}") for i in range(size)],
+            F.sum("times").alias("n"),
+            F.sum(F.col("square").cast("decimal(24,8)") * times).cast("double").alias("square"),
+            *[F.sum(x[i].cast("decimal(20,8)") * times).cast("double").alias(f"s{i}") for i in range(size)],
         )
         .groupBy(*keys, "k")
         .agg(
@@ -341,13 +465,13 @@ def _quality(points: DataFrame, centers: DataFrame, keys: list[str]) -> DataFram
         F.transform(F.filter("clusters", lambda c: c["id"] != F.col("id")), lambda c: gap(c) / c["n"])
     )
     scored = assigned.join(held, [*keys, "k"]).select(
-        *keys, "k", own["n"].alias("n"), F.try_divide(gap(own), own["n"] - 1).alias("a"), other.alias("b")
+        *keys, "k", "times", own["n"].alias("n"), F.try_divide(gap(own), own["n"] - 1).alias("a"), other.alias("b")
     )
     width = F.when(F.col("n") == 1, 0.0).otherwise(
         F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
     )
     scores = scored.groupBy(*keys, "k").agg(
-        (F.sum(width.cast("decimal(20,10)")).cast("double") / F.count("*")).alias("silhouette")
+        (F.sum(width.cast("decimal(20,10)") * times).cast("double") / F.sum("times")).alias("silhouette")
     )
     table = centers.join(scores, [*keys, "k"]).select(
         *keys, "k", dec_round(F.col("cost"), 1).alias("cost"), dec_round(F.col("silhouette"), 4).alias("silhouette")

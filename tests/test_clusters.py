@@ -137,3 +137,26 @@ def test_profiles(inputs):
     mean = rows.where("window_id = 'w1' and cluster_id = 0").agg(F.avg("pct_contract")).first()[0]
     assert x["pct_contract"] == pytest.approx(mean, abs=0.006)
     assert set(FEATURES) <= set(CL.cluster_profiles(rows).columns)
+
+
+def test_only_distinct_points_are_moved(inputs):
+    """Entities with equal days weigh as many points, but cost as one."""
+    copies = inputs.withColumn("agent_id", F.explode(F.array(*(F.concat("agent_id", F.lit(f"-{i}")) for i in range(7)))))
+    points = durable(CL._standardised(copies, ["window_id"]), "points")
+    blocks = CL._blocks(points, ["window_id"])
+    held = {r["window_id"]: r for r in blocks.groupBy("window_id").agg(
+        F.sum(F.size("r")).alias("points"), F.sum(F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x["n"])).alias("n")
+    ).collect()}
+    assert {w: (r["points"], r["n"]) for w, r in held.items()} == {"w1": (30, 210), "w2": (30, 210)}
+    once = {(r["window_id"], r["k"]): r for r in CL.cluster_quality(inputs, [2, 3], starts=2).collect()}
+    for r in CL.cluster_quality(copies, [2, 3], starts=2).collect():
+        assert r["cost"] == pytest.approx(7 * once[r["window_id"], r["k"]]["cost"], abs=0.5)
+
+
+def test_equally_far_points_go_by_their_entity_days(spark):
+    """Of several distinct points at the greatest distance the last entity-day's is taken."""
+    at = {"a": 0.0, "b": 2.0, "c": -2.0}
+    rows = [("w", f"{n}{i}", day(0), [v] + [0.0] * 5) for n, v in at.items() for i in (0, 1)]
+    points = spark.createDataFrame(rows, "window_id string, agent_id string, day date, point array<double>")
+    (run,) = CL._first_centers(points, ["window_id"], [3], 1).collect()
+    assert [c["center"][0] for c in run["centers"]] == [0.0, -2.0, 2.0]
