@@ -8,8 +8,8 @@ characters, once per dictionary, and adds up the sizes; pieces keep the dictiona
 the window however long the text.
 
 ``score`` is the margin between the best two totals over the larger: 0 for a tie,
-towards 1 the clearer. ``narrow_margin`` reads the margin to ask for off labelled
-texts next to the dictionaries' own: the greatest that leaves ``keep`` of those
+towards 1 the clearer. ``narrow_margin`` reads the margin to ask for off all labelled
+texts that are not in the dictionaries: the greatest that leaves ``keep`` of those
 rightly named. ``accepted`` is false for smaller margins and for undetermined texts.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0; so
@@ -20,6 +20,7 @@ point. Repeated rows are classified alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,6 +30,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peerglass.sources.tables import durable
+
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _REST = re.compile(r"[\W\d_]+")
@@ -103,6 +106,29 @@ def learn(
     return {lang: "".join(t for _, t in sorted(texts[lang])).encode() for lang in texts}
 
 
+_BINS = 4096
+
+
+def _at_rank(scores: DataFrame, rank: int) -> float:
+    """The score of that rank, from 0; rows (score, n). Bins are cut finer until one score is left."""
+    ends = scores.agg(F.min("score").alias("low"), F.max("score").alias("high")).first()
+    low, high = ends["low"], ends["high"]
+    while low < high:
+        place = F.least(F.floor((F.col("score") - low) / (high - low) * _BINS), F.lit(_BINS - 1))
+        bins = (
+            scores.where(F.col("score").between(low, high))
+            .groupBy(place.alias("bin"))
+            .agg(F.sum("n").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+            .collect()
+        )
+        for row in sorted(bins):
+            if rank < row["n"]:
+                low, high = row["low"], row["high"]
+                break
+            rank -= row["n"]
+    return low
+
+
 def narrow_margin(
     labelled: DataFrame,
     model: dict[str, bytes],
@@ -111,30 +137,32 @@ def narrow_margin(
     text_col: str = "text",
     lang_col: str = "lang",
     rows: int = 64,
-    checks: int = 256,
+    checks: int | None = None,
     keep: float = 0.99,
     least: float = 0.001,
     most_languages: int = 512,
 ) -> float:
     """The greatest margin that ``keep`` of the rightly named texts reach.
 
-    Measured on at most ``checks`` labelled texts per language, none of them in the
-    dictionaries that ``learn`` makes of the same rows with the same ``rows``; never
-    under ``least``, which is the result where nothing is left to measure on.
+    Measured on every labelled text that is not in the dictionaries that ``learn``
+    makes of the same rows with the same ``rows``, equal rows counting once; with
+    ``checks`` on the next that many texts of a language only. Never under ``least``,
+    which is the result where nothing is left to measure on.
     """
     sampled = _sampled(labelled, id_col, text_col, lang_col)
-    cuts = _cuts(sampled, rows, checks, most_languages)
+    cuts = _cuts(sampled, rows, checks or 0, most_languages)
     if not cuts:
         return least
-    beyond = (F.col("place") > _of({lang: cut for lang, (cut, _) in cuts.items()})) & (
-        F.col("place") <= _of({lang: last for lang, (_, last) in cuts.items()})
-    )
-    checked = sampled.where(beyond).groupBy("lang", "place").agg(F.min("text").alias("text"))
-    named = checked.select("lang", classify(checked, model).alias("found"))
-    right = named.where("found.lang_pred = lang").select("found.score")
-    # An order statistic of at most ``checks`` scores a language, so exact.
-    found = right.agg(F.percentile_approx("score", 1 - keep, 1_000_000).alias("margin")).first()
-    return max(least, found["margin"] or 0.0)
+    beyond = F.col("place") > _of({lang: cut for lang, (cut, _) in cuts.items()})
+    if checks is not None:
+        beyond &= F.col("place") <= _of({lang: last for lang, (_, last) in cuts.items()})
+    named = sampled.where(beyond).select("lang", "place", classify(sampled, model).alias("found"))
+    right = named.where("found.lang_pred = lang").groupBy("lang", "place").agg(F.min("found.score").alias("score"))
+    scores = durable(right.groupBy("score").agg(F.count(F.lit(1)).alias("n")), "margins")
+    total = scores.agg(F.sum("n")).first()[0]
+    if not total:
+        return least
+    return max(least, _at_rank(scores, max(0, total - math.ceil(round(keep * total, 6)))))
 
 
 @lru_cache(maxsize=4)

@@ -7,7 +7,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from peerglass.llm.langid import classify, judge, learn, narrow_margin
+from peerglass.llm.langid import _at_rank, classify, judge, learn, narrow_margin
 from peerglass.llm.queries import op5, trains
 
 
@@ -129,3 +129,31 @@ def test_only_two_thirds_are_learned_from(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select("doc_id", trains().alias("t")).collect()
     assert all(r.t == (zlib.crc32(str(r.doc_id).encode()) % 3 != 1) for r in rows)
+
+
+def test_margin_is_measured_on_all_labelled_texts(docs_of):
+    """No bounded share of them: by definition over every text beyond the dictionaries."""
+    words = {"de": "der die das und nicht haus", "en": "the and not house of with"}
+    rows = [
+        (2 * i + j, " ".join(w.split()[(i * k) % 6] for k in range(1, 4 + i % 9)) + f" {i}x", lang, "s")
+        for i in range(900)
+        for j, (lang, w) in enumerate(words.items())
+    ]
+    known = docs_of(rows + rows[:50])
+    model = learn(known, rows=2)
+    margin = narrow_margin(known, model, rows=2, keep=0.73)
+    places: dict = {}
+    marked = known.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("p"))
+    for r in marked.distinct().orderBy("p").collect():
+        places.setdefault(r.lang, []).append(r.text)
+    found = [(lang, judge(t, tuple(model.items()))) for lang, texts in places.items() for t in texts[2:]]
+    scores = [score for lang, (named, score) in found if named == lang]
+    assert len(scores) > 4 * 256
+    assert margin in scores
+    assert sum(s > margin for s in scores) <= 0.73 * len(scores) <= sum(s >= margin for s in scores)
+
+
+def test_score_of_a_rank(spark):
+    values = [0.1, 0.1, 0.1, 0.1 + 1e-15, 0.2, 0.9, 0.9]
+    scores = spark.createDataFrame([(v, values.count(v)) for v in set(values)], "score double, n long")
+    assert [_at_rank(scores, i) for i in range(7)] == values
