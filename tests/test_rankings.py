@@ -171,3 +171,79 @@ def test_leader_weights(spark):
     _, top = study(spark, ABS, min_presence_pct=0.0)
     w = {r["agent_id"]: r["weight"] for r in SE.leader_weights(top).collect()}
     assert abs(sum(w.values()) - 1) < 1e-12 and w["long"] > w["short"]
+
+
+def test_entity_stats_match_brute_force(spark, monkeypatch):
+    """Groups cut by batches, losses, ties and drawdowns, and the values of each group."""
+    rng = random.Random(11)
+    rows = [
+        (f"a{a}", d, rng.choice(("LARGE", "SMALL")), rng.choice("xy"), rng.choice((-500.0, 12.5, round(rng.gauss(0, 90), 2))))
+        for a in range(40)
+        for d in range(rng.randrange(1, 60))
+    ]
+    df = labelled(spark, rows).withColumn("rel", F.round(-F.col("rel") / 2, 2))
+    sorted_rows = df.orderBy("agent_id", "segment", "archetype", "day").drop("day").toArrow()
+    keys = ["window_id", "segment", "archetype", "agent_id"]
+    monkeypatch.setattr(PN, "_AT_ONCE", 64)
+    small = [b for b in PN._groups_of_entities(iter(sorted_rows.to_batches(max_chunksize=7)), keys, "rel")]
+    assert len(small) > 5
+    cut = {tuple(r[k] for k in keys): r for b in small for r in b.to_pylist()}
+    groups: dict = {}
+    for a, d, s, t, m in rows:
+        groups.setdefault(("w", s, t, a), []).append((d, m))
+    got = {tuple(r[k] for k in keys): r for r in PN.entity_stats(df, "rel").collect()}
+    assert got.keys() == groups.keys() == cut.keys()
+    for key, days in groups.items():
+        margins = [m for _, m in sorted(days)]
+        rels = {r["rel"] for r in df.where(F.col("agent_id") == key[3]).take(1)}
+        run = peak = depth = 0
+        for m in margins:
+            run += round(m * 100)
+            peak = max(peak, run)
+            depth = max(depth, peak - run)
+        losses = [m for m in margins if m < 0]
+        r = got[key]
+        assert rels and r["name"] == key[3] and r["n_days"] == len(margins) == len(r["rels"]) == cut[key]["n_days"]
+        assert r["median_margin"] == upper_median(margins) and r["drawdown"] == depth / 100 == cut[key]["depth"] / 100
+        assert r["downside_median"] == (upper_median(losses) if losses else 0.0)
+        assert r["relative_median"] == r["rels"][len(margins) // 2] == cut[key]["rels"][len(margins) // 2]
+        assert r["pct_loss_days"] == pytest.approx(len(losses) * 100 / len(margins), abs=0.0501)
+
+
+def test_rounding_is_that_of_decimals(spark):
+    """Ties, near ties, large values and nulls, at every number of places."""
+    from peerglass.functions.numeric import dec_round
+
+    rng = random.Random(3)
+    values = [None, 0.0, -0.0, 2.675, -2.675, 1.005, 0.125, 99999999999.995, -1e15 + 0.5, 123456.7850000001, 12345678.785]
+    values += [rng.choice((-1, 1)) * rng.randrange(10**7) / rng.choice((8, 1000, 2000, 3, 7)) for _ in range(4000)]
+    values += [v / 10 + e for v in range(-50, 50) for e in (0.05, 0.05 + 4e-11, 0.05 - 4e-11, 0.05 + 6e-11, 0.05 - 6e-11, 1e-16)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for places in (0, 1, 2, 4, 8):
+        exact = F.round(F.col("v").cast("decimal(30,10)"), places).cast("double")
+        assert df.where(~exact.eqNullSafe(dec_round(F.col("v"), places))).count() == 0
+
+
+def test_a_panel_is_shuffled_before_it_repeats_in_windows(spark):
+    """Rows that cross the network are entity-days, however many windows they fall in."""
+    from datetime import timedelta
+
+    from peerglass.operators import windows as WN
+
+    frame = spark.createDataFrame([(a, day(d), float(d)) for a in ("a", "b", "z") for d in range(20)], "agent_id string, day date, v double")
+    windows = [(f"w{i}", day(i), day(i) + timedelta(days=9)) for i in range(8)]
+    spans = spark.createDataFrame([(w, "study", s, e) for w, s, e in windows], "window_id string, phase string, start_day date, end_day date")
+    sides = spark.createDataFrame(
+        [(w, a, a.upper(), "LARGE" if (i + (a == "a")) % 2 else "SMALL") for i, (w, _, _) in enumerate(windows) for a in ("a", "b") if (i, a) != (3, "b")],
+        "window_id string, agent_id string, name string, segment string",
+    )
+    days = WN.phase_days(spans).drop("phase")
+    want = PN.attach_segments(WN.by_window(frame, days), sides, keep_unknown=False)
+    got = PN.in_windows(frame, days, sides, keep_unknown=False)
+    cols = ["window_id", "agent_id", "day", "v", "segment", "name"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    all_rows = PN.in_windows(frame, days, sides)
+    assert all_rows.count() == 8 * 10 * 3 and all_rows.where("segment is null").count() == 8 * 10 + 10
+    joined = got._jdf.queryExecution().optimizedPlan().toString()
+    # The outer join is that of days, the inner one that of entities.
+    assert joined.index("(day#") < joined.index("(agent_id#")
