@@ -42,16 +42,22 @@ SHARES = (0.001, 0.01, 0.1)  # of a leaf's documents, for lines whose finer temp
 def body_of(line: Column) -> Column:
     """The line's tokens between single spaces, variable ones masked.
 
-    Lines without digits, and without white space to mend, are not rewritten.
+    Lines without digits, and without white space to mend, are not rewritten. The pattern
+    starts at a token's start only and never goes back, so a token costs its length.
     """
     masked = F.when(
         line.rlike("[0-9]"),
         F.regexp_replace(
-            line, "[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*", VARIABLE
+            line,
+            "(?<![^\\x20\\x09-\\x0D])[^0-9\\x20\\x09-\\x0D]*+[0-9][^\\x20\\x09-\\x0D]*+",
+            VARIABLE,
         ),
     ).otherwise(line)
     spaced = F.trim(F.regexp_replace(masked, "[\\x20\\x09-\\x0D]+", " "))
-    return F.when(line.rlike("[\\x09-\\x0D]|  |^ | $"), spaced).otherwise(masked)
+    mend = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for part in ("  ", *map(chr, range(9, 14))):
+        mend = mend | F.contains(line, F.lit(part))
+    return F.when(mend, spaced).otherwise(masked)
 
 
 def _keyed(

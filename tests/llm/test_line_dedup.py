@@ -108,3 +108,25 @@ def test_long_lines_recur_from_two_documents(docs_of):
     got = run(docs_of(rows))
     assert got[0].n_dropped == 0
     assert all(got[i].text == f"{words('abc'[i], 60)}\n{short}" for i in (1, 2))
+
+
+def test_masking_costs_a_token_its_length(spark):
+    """Whole tokens with a digit are masked, and a very long one without is passed over in one go."""
+    import random
+    import re
+    import time
+
+    from pyspark.sql import functions as F
+
+    from peerglass.llm.line_dedup import body_of
+
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("ab1 2\t\r\x0b\x0c  -é") for _ in range(rng.randrange(14))) for _ in range(2000)]
+    df = spark.createDataFrame([(x,) for x in lines], "x string").select("x", body_of(F.col("x")).alias("y"))
+    for x, y in df.collect():
+        tokens = re.findall(r"[^\x20\x09-\x0D]+", x)
+        assert y == " ".join("<*>" if re.search("[0-9]", t) else t for t in tokens)
+    long = spark.createDataFrame([("7 " + "x" * 200_000,)], "x string").select(body_of(F.col("x")).alias("y"))
+    began = time.time()
+    assert long.collect()[0]["y"] == "<*> " + "x" * 200_000
+    assert time.time() - began < 5
