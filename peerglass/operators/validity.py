@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from peerglass.functions.medians import best_median_at, best_median_upto, binomial_upper_tail
 from peerglass.functions.normal import normal_cdf, normal_ppf
@@ -66,17 +70,38 @@ def _hash_fraction(keys: list[str], seed: int, draws: str) -> Column:
         )
     if draws != "md5":
         raise ValueError(f"unknown draws {draws!r}")
-    key = ", ".join(f"cast({k} as string)" for k in keys)
-    digest = (
-        f"md5(concat_ws('|', '{int(seed)}', {key}, unit, cast(rep as string), cast(b as string)))"
-    )
-    pieces = (
-        f"flatten(transform(sequence(0L, (draws - 1) div 4), b -> "
-        f"transform(array({digest}), h -> array(substr(h, 1, 8), substr(h, 9, 8), "
-        f"substr(h, 17, 8), substr(h, 25, 8)))[0]))"
-    )
-    picked = f"element_at(array_sort(slice({pieces}, 1, cast(draws as int))), {middle})"
-    return F.expr(f"cast(conv({picked}, 16, 10) as bigint) / 4294967296.0D")
+    key = F.concat_ws("|", F.lit(str(int(seed))), *[F.col(k).cast("string") for k in keys], F.col("unit"))
+    return _digest_median(key, F.col("rep").cast("long"), F.col("draws").cast("long"))
+
+
+@F.pandas_udf(DoubleType())
+def _digest_median(key: pd.Series, rep: pd.Series, draws: pd.Series) -> pd.Series:
+    """The upper median of the draws of ``md5(key|rep|b)``, four of 32 bits for each b, as fractions.
+
+    Rows with equally many draws are sorted together, as whole numbers.
+    """
+    n = draws.to_numpy()
+    out = np.zeros(len(n))
+    start: dict[str, object] = {}
+    for size in np.unique(n):
+        rows = np.flatnonzero(n == size)
+        blocks = [b"|%d" % b for b in range((int(size) + 3) // 4)]
+        step = max(1, 500_000 // len(blocks))
+        for first in range(0, len(rows), step):
+            some = rows[first : first + step]
+            data = bytearray()
+            for k, r in zip(key.iloc[some], rep.iloc[some], strict=True):
+                if (known := start.get(k)) is None:
+                    known = start[k] = hashlib.md5(k.encode(), usedforsecurity=False)
+                at = known.copy()
+                at.update(b"|%d" % r)
+                for b in blocks:
+                    digest = at.copy()
+                    digest.update(b)
+                    data += digest.digest()
+            drawn = np.frombuffer(bytes(data), dtype=">u4").reshape(len(some), -1)[:, :size]
+            out[some] = np.partition(drawn.astype(np.uint32), int(size) // 2, axis=1)[:, int(size) // 2]
+    return pd.Series(out / 4294967296.0)
 
 
 def _null_maxima(
