@@ -160,3 +160,45 @@ def test_equally_far_points_go_by_their_entity_days(spark):
     points = spark.createDataFrame(rows, "window_id string, agent_id string, day date, point array<double>")
     (run,) = CL._first_centers(points, ["window_id"], [3], 1).collect()
     assert [c["center"][0] for c in run["centers"]] == [0.0, -2.0, 2.0]
+
+
+def test_moves_within_a_task_look_at_each_point_once_and_then_at_changed_ones(monkeypatch):
+    """Running sums give the centres of whole sums, also where a centre loses all its points."""
+    import numpy as np
+
+    from peerglass.operators import clusters as CL
+
+    def whole_sums(x, n, centers, max_steps):
+        for _ in range(max_steps):
+            now = [{"id": i, "center": [s / 10**8 / c for s in sums]} for i, c, *sums, _ in CL._sums(x, n, centers)]
+            if now == centers:
+                break
+            centers = now
+        return centers
+
+    monkeypatch.setattr(CL, "_CHUNK", 64)
+    rng = np.random.default_rng(4)
+    for case in range(12):
+        x, n = np.round(rng.normal(size=(6, 500)), 8), rng.integers(1, 5, 500)
+        places = [x[:, i].tolist() for i in range(4)] + [[9.0 * (case % 2)] * 6]
+        first = [{"id": i, "center": p} for i, p in enumerate(places)]
+        want = whole_sums(x, n, first, 300)
+        monkeypatch.setattr(CL, "_sums", None)  # the rest of the steps must not sum all points again
+        assert CL._rested(x, n, first, 300) == want
+        monkeypatch.undo()
+        monkeypatch.setattr(CL, "_CHUNK", 64)
+
+
+def test_nearest_centers_written_out_are_those_of_the_array(spark):
+    from pyspark.sql import functions as F
+
+    from peerglass.operators import clusters as CL
+
+    rows = [
+        ([float(i % 3), float(i % 2)], [{"id": j, "center": [float((i + j) % 4), 1.0]} for j in range(i % 5 + 1)])
+        for i in range(60)
+    ]
+    df = spark.createDataFrame(rows, "p array<double>, c array<struct<id:int,center:array<double>>>")
+    both = df.select(*(CL.nearest_center(F.col("p"), F.col("c"), 2, m).alias(n) for n, m in (("a", None), ("b", 5))))
+    assert both.where("NOT (a <=> b)").count() == 0 and both.where("a IS NULL").count() == 0
+    assert CL.nearest_center(F.col("p"), F.col("c"), 2, 5)._jc.toString().count("lambda") == 0
