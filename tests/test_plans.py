@@ -196,6 +196,14 @@ def test_acceptance_confirms_what_it_picked(spark, sf_dir):
     assert a == sorted(map(str, both.collect())) and a
 
 
+def test_acceptance_builds_each_study_once(spark, sf_dir, monkeypatch):
+    o = Q.orders(spark, sf_dir, study=90, evald=7, step=1200)
+    built, build = [], ST.study
+    monkeypatch.setattr(ST, "study", lambda d, m, s, spans, *a, **k: built.append(spans) or build(d, m, s, spans, *a, **k))
+    AC.acceptance(o.daily(), o.market, o.settings, o.windows, o.regime, o.levels)
+    assert len(built) == 3  # the grid's, and the picked windows' without and with their last days only
+
+
 # --------------------------------------------------------------- SQL twins
 LIGHT = [
     "population_rollup", "agent_day_rollup", "segment_summary", "financial_model", "period_balance_by_segment",
