@@ -16,6 +16,7 @@ from peerglass.operators import windows as WN
 from peerglass.params import SpreadBins
 from peerglass.plans import acceptance as AC
 from peerglass.plans import assess as AS
+from peerglass.plans import scan as SN
 from peerglass.plans import study as ST
 from peerglass.sources import proxies as PX
 from peerglass.sources import sinks as SK
@@ -169,6 +170,16 @@ def test_weekly_tables(spark, sf_dir, assessed):
     assert out["archetype_winners"].count() == 1
 
 
+def test_series_wait_for_no_verdict(spark, sf_dir, monkeypatch):
+    def asked(*_, **__):
+        raise AssertionError("not needed for the series")
+
+    for module, name in ((SN, "leader_bootstrap"), (SN, "effective_leaders"), (SN, "scan_archetypes"), (AS, "alternatives")):
+        monkeypatch.setattr(module, name, asked)
+    assert entry.queries()["weekly_series"](spark, sf_dir).count() == 7
+    assert entry.queries()["table_simulated_days"](spark, sf_dir).count() > 0
+
+
 def test_study_tables(spark, sf_dir):
     e = Q.events(spark, sf_dir)
     tables = ST.study_tables(Q.stored_study(e), e.settings)
