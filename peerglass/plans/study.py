@@ -16,7 +16,7 @@ from peerglass.operators import segments as SG
 from peerglass.operators import windows as WN
 from peerglass.params import Settings
 from peerglass.sources.proxies import Market
-from peerglass.sources.tables import MEASURES, between, durable
+from peerglass.sources.tables import MEASURES, durable, within
 
 
 # Volumes that no step after the margin and the shares asks for.
@@ -55,17 +55,17 @@ def daily(
 
     With ``store`` the two tables are written to the shared folder; everything
     after that reads days, never hours. With ``windows`` (a short table of start
-    and end days) only the hours between the first and the last of their days are
-    read.
+    and end days) only hours of days that one of them covers are rolled up, not those
+    between windows.
     """
     hourly = market.hourly
     if windows is not None:
         days = [c for c in windows.columns if c.endswith(("_start", "_end", "_day"))]
-        ends = windows.agg(
-            F.min(F.least(*days)).alias("first"), F.date_add(F.max(F.greatest(*days)), 1).alias("end")
-        ).first()
-        if ends["first"] is not None:
-            hourly = between(hourly, ends["first"], ends["end"])
+        spans = windows.select(
+            F.least(*days).alias("first"), F.date_add(F.greatest(*days), 1).alias("end")
+        ).where(F.col("first").isNotNull()).distinct().collect()
+        if spans:
+            hourly = within(hourly, [(s["first"], s["end"]) for s in spans])
     volumes = RU.daily_volumes(hourly)
     if store:
         volumes = durable(volumes, "volumes")

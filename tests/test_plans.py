@@ -33,6 +33,17 @@ def test_time_filter_reaches_the_scan(spark, sf_dir):
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in df._jdf.queryExecution().toString()
 
 
+def test_rollup_leaves_out_days_between_windows(spark, sf_dir):
+    windows = spark.sql(
+        "select * from values (date'2024-01-03', date'2024-01-05'), (date'2024-01-05', date'2024-01-06'), (date'2024-01-12', date'2024-01-13') t(start_day, end_day)"
+    )
+    market, settings = PX.from_events(spark, sf_dir), PX.event_settings()
+    some, every = ST.daily(market, settings, windows=windows).volumes, ST.daily(market, settings).volumes
+    wanted = "day between '2024-01-03' and '2024-01-06' or day between '2024-01-12' and '2024-01-13'"
+    rows = sorted(map(str, every.where(wanted).collect()))
+    assert sorted(map(str, some.collect())) == rows and rows
+
+
 def test_rollup_reads_only_what_it_needs(spark, sf_dir):
     volumes = ST.daily(PX.from_events(spark, sf_dir), PX.event_settings()).volumes
     plan = volumes.select("agent_id", "day", "demand")
