@@ -14,7 +14,8 @@ move them would cost more than the merge.
 
 Counting: a block of documents (about ``BLOCK_CHARS`` characters) names its distinct
 pairs once and its documents refer to them by place. So what meets the corpus counts
-is a row per block and pair, not per document and pair. The best count of each A id is
+is a row per block and pair, not per document and pair. A block is stored in rows of
+bounded size, and a task holds one block at a time. The best count of each A id is
 a table of at most the vocabulary's size, which is checked before it is broadcast.
 
 Defined results: null and empty texts, and texts whose tokens do not give back the
@@ -36,6 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -49,6 +51,7 @@ from peerglass.sources.tables import durable
 PIECE = 2**16  # token ends per piece of a merge
 CHUNK_CHARS = 2**20  # characters tokenised together, if no text is longer
 BLOCK_CHARS = 2**23
+PART = 2**16  # pairs in a stored row at most
 MOST_BEST = 2**20  # ids of A whose best counts may be broadcast
 _LINKS = 2**22  # links written out at once
 # Fixed value: how byte-level vocabularies cut a text into words before they merge bytes.
@@ -320,16 +323,18 @@ def align(
 
 
 _PER_DOC = ("n_a", "n_b", "n_groups", "n_links")
+# Rows of a block: a document's first row has its figures, further ones more of its pairs; rows without a document
+# name the block's pairs from place ``at`` on. No row has more than ``PART`` pairs, however large block or document.
 _BLOCK = pa.schema(
-    [("block", pa.int64()), ("doc_id", pa.list_(pa.int64()))]
-    + [(c, pa.list_(pa.int64())) for c in _PER_DOC]
-    + [("groups_sha256", pa.list_(pa.string())), ("n_pairs", pa.list_(pa.int64()))]
-    + [("place", pa.binary()), ("times", pa.binary()), ("pair", pa.list_(pa.int64())), ("held", pa.list_(pa.int64()))]
+    [("block", pa.int64()), ("doc", pa.int32()), ("doc_id", pa.int64())]
+    + [(c, pa.int64()) for c in _PER_DOC]
+    + [("groups_sha256", pa.string()), ("place", pa.binary()), ("times", pa.binary())]
+    + [("at", pa.int64()), ("pair", pa.list_(pa.int64())), ("held", pa.list_(pa.int64()))]
 )
 _BLOCK_SQL = (
-    "block long, doc_id array<long>, "
-    + ", ".join(f"{c} array<long>" for c in _PER_DOC)
-    + ", groups_sha256 array<string>, n_pairs array<long>, place binary, times binary, pair array<long>, held array<long>"
+    "block long, doc int, doc_id long, "
+    + ", ".join(f"{c} long" for c in _PER_DOC)
+    + ", groups_sha256 string, place binary, times binary, at long, pair array<long>, held array<long>"
 )
 
 
@@ -337,7 +342,7 @@ class _Block:
     """Documents whose pairs are named once."""
 
     def __init__(self):
-        self.rows: dict[str, list] = {c: [] for c in ("doc_id", *_PER_DOC, "groups_sha256", "n_pairs")}
+        self.docs: dict[str, list] = {c: [] for c in ("doc_id", *_PER_DOC, "groups_sha256", "n_pairs")}
         self.pairs: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
         self.chars = 0
@@ -352,18 +357,34 @@ class _Block:
             ("doc_id", ids), ("n_a", c.n_a.tolist()), ("n_b", c.n_b.tolist()), ("n_groups", count(c.doc)),
             ("n_links", links.tolist()), ("groups_sha256", group_hashes(c, known)), ("n_pairs", count(doc)),
         ):
-            self.rows[name] += values
+            self.docs[name] += values
         self.pairs.append(pair)
         self.times.append(times)
         self.chars += sum(len(t or "") for t in texts)
 
-    def row(self, number: int) -> pa.RecordBatch:
+    def rows(self, number: int) -> Iterator[pa.RecordBatch]:
         pair, place, held = np.unique(np.concatenate(self.pairs), return_inverse=True, return_counts=True)
-        values = {"block": number} | self.rows | {
-            "place": place.astype("<i4").tobytes(), "times": np.concatenate(self.times).astype("<i8").tobytes(),
-            "pair": pair, "held": held,
-        }
-        return pa.RecordBatch.from_arrays([pa.array([values[f.name]], f.type) for f in _BLOCK], schema=_BLOCK)
+        n = np.array(self.docs["n_pairs"], dtype=np.int64)
+        parts = np.maximum(-(-n // PART), 1)
+        doc = np.repeat(np.arange(len(n)), parts)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = (np.cumsum(n) - n)[doc] + nth * PART
+        end = np.minimum(begin + PART, np.cumsum(n)[doc])
+        first = [d if k == 0 else None for d, k in zip(doc.tolist(), nth.tolist(), strict=True)]
+        values = {c: [None if d is None else self.docs[c][d] for d in first] for c in self.docs if c != "n_pairs"}
+        for name, numbers in (("place", place.astype("<i4")), ("times", np.concatenate(self.times).astype("<i8"))):
+            values[name] = [numbers[i:j].tobytes() for i, j in zip(begin, end, strict=True)]
+        yield self._batch(len(doc), {"block": [number] * len(doc), "doc": doc} | values)
+        for at in range(0, len(pair), PART):
+            named = {"pair": [pair[at : at + PART]], "held": [held[at : at + PART]]}
+            yield self._batch(1, {"block": [number], "at": [at]} | named)
+
+    @staticmethod
+    def _batch(n: int, values: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(values[f.name], f.type) if f.name in values else pa.nulls(n, f.type) for f in _BLOCK],
+            schema=_BLOCK,
+        )
 
 
 def _blocks(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -373,10 +394,10 @@ def _blocks(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for ids, texts in _chunks(batches, CHUNK_CHARS):
             block.add(ids, texts, known)
             if block.chars >= BLOCK_CHARS:
-                yield block.row((task << 32) + n)
+                yield from block.rows((task << 32) + n)
                 n, block = n + 1, _Block()
         if block.pairs:
-            yield block.row((task << 32) + n)
+            yield from block.rows((task << 32) + n)
 
     return durable(documents.mapInArrow(run, _BLOCK_SQL), "align-blocks", compression="zstd")
 
@@ -386,28 +407,22 @@ _OUT = (
 )
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document: its links' counts, and how many of them are their A id's best."""
-    names = [c.split()[0] for c in _OUT.split(", ")]
-    for batch in batches:
-        for row in range(batch.num_rows):
-            of = {c: batch.column(c)[row] for c in batch.schema.names}
-            values = {c: np.array(of[c].values) for c in (*_PER_DOC, "n_pairs")}
-            place = np.frombuffer(of["place"].as_py(), dtype="<i4")
-            times = np.frombuffer(of["times"].as_py(), dtype="<i8")
-            count, best = np.zeros((2, int(place.max(initial=-1)) + 1), dtype=np.int64)
-            if of["counts"].is_valid and len(of["counts"].values):
-                got = of["counts"].values.flatten()
-                at = got[0].to_numpy()
-                count[at], best[at] = got[1].to_numpy(), got[2].to_numpy(zero_copy_only=False)
-            edges = np.append(0, np.cumsum(values["n_pairs"]))
-            for name, per_pair in (("count_sum", count), ("n_best", best)):
-                sums = np.append(0, np.cumsum(per_pair[place] * times))
-                values[name] = sums[edges[1:]] - sums[edges[:-1]]
-            columns = [
-                of[c].values if c in ("doc_id", "groups_sha256") else pa.array(values[c], pa.int64()) for c in names
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+def _summed(rows: pa.Table, counted: pa.Table) -> pa.Table:
+    """A row per document of a block: its links' counts, and how many of them are their A id's best."""
+    rows = rows.sort_by([("doc", "ascending"), ("n_a", "ascending")])  # nulls last: a document's first row leads
+    place = np.frombuffer(b"".join(rows["place"].to_pylist()), dtype="<i4")
+    times = np.frombuffer(b"".join(rows["times"].to_pylist()), dtype="<i8")
+    edges = np.append(0, np.cumsum(pc.binary_length(rows["place"]).to_numpy() // 4))
+    count, best = np.zeros((2, int(place.max(initial=-1)) + 1), dtype=np.int64)
+    at = counted["at"].to_numpy()
+    count[at], best[at] = counted["n"].to_numpy(), counted["is_best"].to_numpy()
+    docs = rows.filter(pc.is_valid(rows["n_a"]))
+    begins = edges[:-1][pc.is_valid(rows["n_a"]).to_numpy()]
+    values = {}
+    for name, per_pair in (("count_sum", count), ("n_best", best)):
+        sums = np.append(0, np.cumsum(per_pair[place] * times))
+        values[name] = pa.array(np.diff(np.append(sums[begins], sums[-1])), pa.int64())
+    return pa.table({c: values[c] if c in values else docs[c] for c in (c.split()[0] for c in _OUT.split(", "))})
 
 
 def link_counts(
@@ -416,8 +431,10 @@ def link_counts(
     """Per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     blocks = _blocks(_read(documents, id_col, text_col), a_path, b_path)
     size_a, size_b = _vocabularies(a_path, b_path).size
-    named = blocks.select("block", F.posexplode(F.arrays_zip("pair", "held")).alias("at", "of")).select(
-        "block", "at", "of.*"
+    named = (
+        blocks.where("at IS NOT NULL")
+        .select("block", "at", F.posexplode(F.arrays_zip("pair", "held")).alias("nth", "of"))
+        .select("block", (F.col("at") + F.col("nth")).alias("at"), "of.*")
     )
     counts = (
         named.groupBy("pair")
@@ -428,10 +445,8 @@ def link_counts(
     best = counts.groupBy("a").agg(F.max("n").alias("best"))
     if size_a <= MOST_BEST:  # a row per id of A
         best = F.broadcast(best)
-    counted = (
-        named.join(counts.join(best, "a"), "pair")
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("at", "n", (F.col("n") == F.col("best")).alias("is_best"))).alias("counts"))
+    counted = named.join(counts.join(best, "a"), "pair").select(
+        F.col("block").alias("_block"), "at", "n", (F.col("n") == F.col("best")).alias("is_best")
     )
-    met = blocks.drop("pair", "held").join(counted, "block", "left")
-    return met.mapInArrow(_summed, _OUT)
+    rows = blocks.where("doc IS NOT NULL").drop("at", "pair", "held")
+    return rows.groupBy("block").cogroup(counted.groupBy("_block")).applyInArrow(_summed, _OUT)

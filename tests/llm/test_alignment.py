@@ -158,3 +158,24 @@ def test_empty_table_and_clashing_columns(spark):
 def test_query_against_brute_force(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert results(QUERIES["op13_cross_tokenizer_alignment"](spark, sf_dir)) == brute(docs)
+
+
+def test_stored_rows_are_of_bounded_size(docs_of, monkeypatch):
+    known = AL.Vocabularies(A, B)
+    monkeypatch.setattr(AL, "PART", 5, raising=False)
+    block = AL._Block()
+    block.add([r[0] for r in ROWS], [r[1] for r in ROWS], known)
+    rows = [r for batch in block.rows(0) for r in batch.to_pylist()]
+    assert max(len(r["place"] or b"") for r in rows) == 4 * 5 and max(len(r["pair"] or []) for r in rows) == 5
+    assert [r["doc_id"] for r in rows if r["n_a"] is not None] == [r[0] for r in ROWS]
+    pairs = [x for r in rows for x in r["pair"] or []]
+    assert pairs == sorted(set(pairs))
+    # A document's parts add up.
+    cut = [r for r in rows if r["doc"] is not None]
+    count = np.ones(len(pairs), dtype=np.int64)
+    counted = {"at": np.arange(len(pairs)), "n": count, "is_best": count == 1}
+    schema = AL._BLOCK
+    summed = AL._summed(AL.pa.Table.from_pylist(cut[::-1], schema), AL.pa.table(counted)).to_pylist()
+    assert [(r["doc_id"], r["count_sum"], r["n_best"]) for r in summed] == [
+        (r["doc_id"], r["n_links"], r["n_links"]) for r in cut if r["n_a"] is not None
+    ]
