@@ -10,7 +10,7 @@ from peerglass.sources.tables import durable
 
 def _mapped(df: DataFrame, column: str, to: DataFrame) -> DataFrame:
     """Replaces a column's values by their root, where they have one."""
-    look = to.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    look = to.select(F.col("node").alias("_node"), F.col("root").alias("_root")).hint("merge")
     return (
         df.join(look, F.col(column) == F.col("_node"), "left")
         .withColumn(column, F.coalesce("_root", column))
@@ -24,7 +24,8 @@ def roots(edges: DataFrame) -> DataFrame:
     Each pass points every node at its least neighbour, follows these pointers to
     their end, and replaces nodes by what they point to; edges inside a component
     vanish. Pointers go to lesser nodes, so they form trees. Groups are reduced by
-    partial minima, so a node with very many edges is no hot spot.
+    partial minima, so a node with very many edges is no hot spot. All tables here grow
+    with the graph, so none is broadcast, however small its file is.
     """
     found, edges = None, edges.select("a", "b").where("a != b")
     while True:
@@ -35,7 +36,7 @@ def roots(edges: DataFrame) -> DataFrame:
             "component-steps",
         )
         while not step.join(
-            step.select(F.col("node").alias("root")), "root", "left_semi"
+            step.select(F.col("node").alias("root")).hint("merge"), "root", "left_semi"
         ).isEmpty():
             step = durable(_mapped(step, "root", step), "component-steps")
         found = step if found is None else _mapped(found, "root", step).unionByName(step)

@@ -12,7 +12,9 @@ group is compared, on the full sets, with its lead, the class with most bucket
 mates; those found alike are one component. Classes that stay outside are then
 compared with all others of their group, block by block, as products of their sets
 within tasks (see ``_across``), so no link inside a group is lost and no pairs are
-written out.
+written out. Every join is of tables that grow with the documents, and the planner
+sees neither how well their files pack nor what ``explode`` makes of them; so they are
+merged, and none goes through the driver as a broadcast.
 
 Defined results: words are runs of anything but ASCII white space, with A-Z
 lower-cased; a text with fewer words than a shingle is one shingle; null text and
@@ -202,7 +204,7 @@ def near_duplicates(
         .select(F.col("bucket").alias("_bucket"), "lead", "size")
     )
     members = durable(
-        cells.join(shared, F.col("bucket") == F.col("_bucket")).drop("_bucket"), "minhash-members"
+        cells.join(shared.hint("merge"), F.col("bucket") == F.col("_bucket")).drop("_bucket"), "minhash-members"
     )
     labels = None
     if not members.isEmpty():
@@ -210,11 +212,11 @@ def near_duplicates(
     if labels is None:
         known = classes.withColumn("root", F.col("node"))
     else:
-        known = classes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        known = classes.join(labels.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = known.select("content", "first", "root")
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = known.join(least, "root").select(F.col("content").alias("_content"), "component_id")
-    placed = signed.join(named, F.col("content") == F.col("_content"), "left")
+    named = known.join(least.hint("merge"), "root").select(F.col("content").alias("_content"), "component_id")
+    placed = signed.join(named.hint("merge"), F.col("content") == F.col("_content"), "left")
     component = F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return placed.select(
         "doc_id",
@@ -228,7 +230,7 @@ def _relabelled(labels: DataFrame | None, edges: DataFrame) -> DataFrame | None:
     """Labels (node, root) after further edges (a, b) between nodes."""
     if labels is not None:
         for end in ("a", "b"):
-            look = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+            look = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r")).hint("merge")
             edges = (
                 edges.join(look, F.col(end) == F.col("_n"), "left")
                 .withColumn(end, F.coalesce("_r", end))
@@ -240,11 +242,11 @@ def _relabelled(labels: DataFrame | None, edges: DataFrame) -> DataFrame | None:
     new = roots(edges)
     if labels is None:
         return new
-    look = new.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    look = new.select(F.col("node").alias("_n"), F.col("root").alias("_r")).hint("merge")
     return durable(
         labels.join(look, F.col("root") == F.col("_n"), "left")
         .select("node", F.coalesce("_r", "root").alias("root"))
-        .unionByName(new.join(labels, "node", "left_anti")),
+        .unionByName(new.join(labels.hint("merge"), "node", "left_anti")),
         "minhash-labels",
     )
 
@@ -253,16 +255,18 @@ def _join_alike(
     docs: DataFrame, classes: DataFrame, members: DataFrame, words: int, threshold: int
 ) -> DataFrame | None:
     """(node, root) of the classes that links join to a lesser one; None if there are none."""
-    wanted = members.select("node").distinct().join(classes.select("node", "first", "content"), "node")
+    wanted = members.select("node").distinct().join(
+        classes.select("node", "first", "content").hint("merge"), "node"
+    )
     # Ids may repeat, so the content decides which text is meant.
     texts = docs.join(
-        wanted.select(F.col("first").alias("_first")).distinct(),
+        wanted.select(F.col("first").alias("_first")).distinct().hint("merge"),
         F.col("doc_id").eqNullSafe(F.col("_first")),
         "left_semi",
     )
     sets = durable(
         _sets(texts, words)
-        .join(wanted.select("node", "content"), "content")
+        .join(wanted.select("node", "content").hint("merge"), "content")
         .dropDuplicates(["content"])
         .select("node", "shingles"),
         "minhash-sets",
@@ -273,19 +277,19 @@ def _join_alike(
     groups = durable(
         members.groupBy("node")
         .agg(F.first("n").alias("n"), F.sum("size").alias("weight"))
-        .join(blobs, "node", "left")
+        .join(blobs.hint("merge"), "node", "left")
         .select(F.coalesce("root", "node").alias("group"), "node", "n", "weight"),
         "minhash-groups",
     )
     leads = groups.groupBy("group").agg(F.max(F.struct("weight", "node")).alias("lead"))
     of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}"))
     both = F.size(F.array_intersect("_node", "_lead")).cast("long")
-    pairs = groups.join(leads.select("group", F.col("lead.node").alias("lead")), "group").where(
-        "node != lead"
-    )
+    pairs = groups.join(
+        leads.select("group", F.col("lead.node").alias("lead")).hint("merge"), "group"
+    ).where("node != lead")
     stars = (
-        pairs.join(of("node"), "node")
-        .join(of("lead"), "lead")
+        pairs.join(of("node").hint("merge"), "node")
+        .join(of("lead").hint("merge"), "lead")
         .where(100 * both >= threshold * (F.size("_node") + F.size("_lead") - both))
         .select(F.col("lead").alias("a"), F.col("node").alias("b"))
     )
@@ -305,7 +309,7 @@ def _across(
     """
     root = F.col("node")
     if labels is not None:
-        groups = groups.join(labels, "node", "left")
+        groups = groups.join(labels.hint("merge"), "node", "left")
         root = F.coalesce("root", "node")
     groups = groups.withColumn("root", root)
     main = (
@@ -324,7 +328,7 @@ def _across(
         )
     )
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    dealt = groups.join(main, "group").withColumn("loose", F.col("root") != F.col("main"))
+    dealt = groups.join(main.hint("merge"), "group").withColumn("loose", F.col("root") != F.col("main"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("loose"), F.col("loose_blocks")).otherwise(F.col("main_blocks")))
     dealt = durable(dealt.withColumn("own", own), "minhash-dealt")
     tile = lambda kind, i, j: F.struct(
@@ -340,7 +344,7 @@ def _across(
     ).otherwise(F.transform(every("loose_blocks"), lambda i: tile("main", i, ours)))
     met = (
         dealt.select("group", "node", "root", "loose", F.explode(tiles).alias("tile"))
-        .join(sets, "node")
+        .join(sets.hint("merge"), "node")
         .select("group", "tile.*", "node", "root", "loose", "shingles")
     )
     return met.groupBy("group", "kind", "i", "j").applyInArrow(

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 
+from peerglass.llm import components, minhash
 from peerglass.llm.components import roots
 from peerglass.llm.minhash import MinMax, near_duplicates
 
@@ -102,3 +103,19 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 70)] + [(100, 101), (103, 101), (5, 5), (101, 100)]
     got = dict(roots(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 1 for i in range(2, 71)} | {101: 100, 103: 100}
+
+
+def test_no_table_is_broadcast(docs_of, monkeypatch):
+    plans = []
+
+    def noted(df, *args, store=minhash.durable, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, *args, **options)
+
+    for module in (minhash, components):
+        monkeypatch.setattr(module, "durable", noted)
+    rows = corpus()
+    found = near_duplicates(docs_of(rows), words=3, threshold=85)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 5
+    assert not [p for p in plans if "Broadcast" in p]
