@@ -187,3 +187,29 @@ def test_moves_within_a_task_look_at_each_point_once_and_then_at_changed_ones(mo
         assert CL._rested(x, n, first, 300) == want
         monkeypatch.undo()
         monkeypatch.setattr(CL, "_CHUNK", 64)
+
+
+def test_few_blocks_are_still_dealt_to_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(CL, "BLOCK", 50)
+    points = spark.range(2000).select(
+        F.lit("w").alias("window_id"), F.array(*[F.col("id").cast("double")] * len(CL.CLUSTER_INPUTS)).alias("point")
+    )
+    blocks = CL._blocks(points, ["window_id"])
+    assert len(blocks.inputFiles()) >= spark.sparkContext.defaultParallelism
+    assert blocks.agg(F.sum(F.size("r"))).first()[0] == 2000
+
+
+def test_sums_are_exact_beyond_what_doubles_hold():
+    size = len(CL.CLUSTER_INPUTS)
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(size, 500)), 8)
+    centers = [{"id": i, "center": x[:, 9 * i].tolist()} for i in range(4)]
+    near, gap = CL._nearest(x, [c["center"] for c in centers])
+    for times in (1, 10**6 + 1):
+        n = rng.integers(1, 9, 500) * times
+        want = {}
+        for i, j in enumerate(near.tolist()):
+            cost = int(np.floor(gap[i] * 1e8 + 0.5))
+            row = [int(n[i]), *(int(v) * int(n[i]) for v in np.rint(x[:, i] * 1e8)), cost * int(n[i])]
+            want[j] = [a + b for a, b in zip(want.get(j, [0] * len(row)), row, strict=True)]
+        assert {r[0]: list(r[1:]) for r in CL._sums(x, n, centers)} == want
